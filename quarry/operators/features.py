@@ -19,6 +19,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.ranking import dense_codes
 from quarry.functions.stats import quantile_exprs
 
 # Fixed values.
@@ -463,12 +464,10 @@ def factorize(df: DataFrame, cols: list[str]) -> DataFrame:
     ``zipWithIndex`` (range-partitioned, no single-task window); the code
     table is joined back by shuffle, sized by the distinct values.
     """
-    spark = df.sparkSession
     out = df
     for c in cols:
-        vals = df.select(_q(c).cast("string").alias("__v")).where(F.col("__v").isNotNull()).distinct().orderBy("__v")
-        idx = vals.rdd.zipWithIndex().map(lambda t: (t[0][0], float(t[1])))
-        codes = spark.createDataFrame(idx, "__v string, __code double")
+        vals = df.select(_q(c).cast("string").alias("__v"))
+        codes = dense_codes(vals, "__v", "__code").withColumn("__code", F.col("__code").cast("double"))
         out = out.join(codes, out[f"`{c}`"].cast("string") == codes["__v"], "left").withColumn(
             c, F.coalesce(F.col("__code"), F.lit(-1.0))
         ).drop("__v", "__code")
