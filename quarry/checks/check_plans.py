@@ -1 +1,101 @@
-"""Registered checks (filled in as operators land)."""
+"""Checks for plan generation, memory lookup and end-to-end runs (O-*, S-*)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quarry.checks.inputs import DOCS_LABELLED_SQL, docs_labelled, docs_train
+from quarry.checks.check_profile import DOCS_COLS, _issues_sql
+from quarry.operators.issues import detect_issues
+from quarry.plans.runs import run_rule_baseline
+from quarry.plans.space import propose, rule_plan, search_space
+from quarry.registry import r6, register, table
+from quarry.sources.plan_memory import top_k_per_query
+
+DIM = 64
+
+
+@register(
+    "rule_plan_documents",
+    "WITH x AS (" + _issues_sql(DOCS_LABELLED_SQL, DOCS_COLS, "quality", "binary") + """)
+SELECT 'rule_based' AS plan_id,
+  CASE WHEN count_if(issue_type = 'high_missingness' AND severity = 'high') > 0 THEN 'knn' ELSE 'median' END AS imputation,
+  CASE WHEN count_if(issue_type = 'outliers' AND severity = 'high') > 0 THEN 'winsorize' ELSE 'none' END AS outlier_handling,
+  'onehot' AS encoding,
+  CASE WHEN count_if(issue_type = 'outliers' AND severity = 'high') > 0 THEN 'robust' ELSE 'standard' END AS scaling,
+  'logistic_regression' AS model,
+  CASE WHEN count_if(issue_type = 'class_imbalance' AND severity IN ('high', 'medium')) > 0 THEN 'class_weight' ELSE 'none' END AS imbalance_strategy
+FROM x""",
+)
+def q_rule_plan(spark, sf):
+    """O-1: the rule baseline plan derived from the issues of documents + labels."""
+    iss = detect_issues(docs_labelled(spark, sf), "quality")
+    return rule_plan(iss, "binary").drop("model_params")
+
+
+@register(
+    "search_space_documents",
+    """WITH t AS (SELECT count(DISTINCT quality) AS k FROM labels)
+SELECT model, CAST(count(*) AS BIGINT) AS n_plans
+FROM (SELECT * FROM (VALUES ('median'), ('mean'), ('knn'), ('iterative')) a(imputation),
+      (VALUES ('winsorize'), ('none')) b(outlier_handling), (VALUES ('onehot'), ('target'), ('ordinal')) c(encoding),
+      (VALUES ('standard'), ('robust'), ('minmax'), ('none')) d(scaling),
+      (VALUES ('logistic_regression'), ('random_forest'), ('gradient_boosting'), ('xgboost'), ('lightgbm')) e(model),
+      (VALUES ('class_weight'), ('smote'), ('none')) f(imbalance_strategy)) s, t
+WHERE t.k <= 20
+GROUP BY model""",
+)
+def q_search_space(spark, sf):
+    """O-3: the option grid for the task type of the labels (classification: 1440 plans)."""
+    from quarry.operators.profile import infer_target_type
+
+    k = table(spark, sf, "labels").select("quality").distinct().count()
+    task = infer_target_type("numeric", k)
+    return search_space(spark, task).groupBy("model").agg(F.count(F.lit(1)).alias("n_plans"))
+
+
+@register("candidate_plans_documents")
+def q_candidates(spark, sf):
+    """O-5: three new plans for documents + labels given its issues (rows-only)."""
+    iss = detect_issues(docs_labelled(spark, sf), "quality")
+    return propose(iss, None, None, "binary", n=3)
+
+
+NN_SQL = f"""
+WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+d AS (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, {DIM + 1}) r(i) GROUP BY label, i),
+c AS (SELECT label AS query, list(m ORDER BY i) AS centroid FROM d GROUP BY label),
+s AS (SELECT c.query, e.vec_id, list_cosine_similarity(e.v, c.centroid) AS sim FROM e, c),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY sim DESC, vec_id) AS rank FROM s)
+SELECT CAST(query AS INTEGER) AS query, vec_id, R6(sim) AS similarity, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3"""
+
+
+@register("nearest_to_centroids_embeddings", NN_SQL)
+def q_nearest(spark, sf):
+    """O-8: exact cosine top-3 of all embeddings for each label centroid (10 query vectors)."""
+    e = table(spark, sf, "embeddings")
+    cents = (
+        e.select("label", F.posexplode("embedding").alias("i", "v"))
+        .groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("m"))
+        .groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("c"))
+        .collect()
+    )
+    queries = [(int(r["label"]), [x["m"] for x in r["c"]]) for r in cents]
+    top = top_k_per_query(e.select("vec_id", F.col("embedding").cast("array<double>").alias("v")), "v", "vec_id", queries, 3)
+    return top.select(F.col("query").cast("int").alias("query"), "vec_id", r6(F.col("similarity")).alias("similarity"),
+                      F.col("rank").cast("int").alias("rank"))
+
+
+@register("rule_baseline_documents_quality")
+def q_rule_baseline_docs(spark, sf):
+    """O-2: rule baseline end to end on labelled documents (binary target)."""
+    r = run_rule_baseline(docs_train(spark, sf), "quality", ["doc_id"])
+    return r.summary(spark)
+
+
+@register("rule_baseline_orders_totalprice")
+def q_rule_baseline_orders(spark, sf):
+    """O-2: rule baseline end to end on orders (regression target)."""
+    o = table(spark, sf, "orders").drop("o_orderdate")
+    r = run_rule_baseline(o, "o_totalprice", ["o_orderkey"])
+    return r.summary(spark)
