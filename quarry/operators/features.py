@@ -297,7 +297,7 @@ class OneHotEncode(Estimator, _Stage):
         si = StringIndexer(inputCols=cols, outputCols=[f"{c}__idx" for c in cols], handleInvalid="keep",
                            stringOrderType="alphabetAsc").fit(df)
         enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__enc" for c in cols],
-                            dropLast=True, handleInvalid="keep").fit(si.transform(df))
+                            dropLast=True, handleInvalid="error").fit(si.transform(df))
         return _OneHotModel(si, enc, cols)
 
 
