@@ -86,8 +86,9 @@ class ModelStage(Estimator):
     come from one small aggregation over the training frame.
     """
 
-    def __init__(self, model, task, params=None, weight_col=None, n_classes=2):
+    def __init__(self, model, task, params=None, weight_col=None, n_classes=2, smote=False):
         super().__init__()
+        self.smote = smote
         self.model, self.task, self.model_params = model, task, dict(params or {})
         self.weight_col, self.n_classes = weight_col, n_classes
         is_reg = task == "regression"
@@ -135,6 +136,11 @@ class ModelStage(Estimator):
         raise ValueError(f"Unknown model: '{m}'")
 
     def _fit(self, df):
+        if self.smote:
+            # F-17: oversampling happens inside the fit only, after preprocessing (train rows only)
+            from quarry.operators.neighbors import smote
+
+            df = smote(df.select("features", "label"), "label", "features")
         w = F.col(self.weight_col) if self.weight_col else F.lit(1.0)
         row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("wsum"), F.stddev_pop("label").alias("ystd")).first()
         facts = {"n": max(row["n"], 1), "wsum": max(row["wsum"] or 1.0, 1e-12), "ystd": row["ystd"] or 0.0}
@@ -193,11 +199,8 @@ def build_pipeline(plan: dict, column_types: dict, task: str, n_classes: int = 2
         else:
             stages.append(FE.TargetEncode(categorical, "label", list(range(n_classes)) if task != "regression" else None))
     stages.append(FE.AssembleFeatures(numeric, categorical))
-    if plan.get("imbalance_strategy") == "smote" and task != "regression":
-        from quarry.operators.neighbors import Smote
-
-        stages.append(Smote())
-    stages.append(ModelStage(plan["model"], task, _params(plan), weight_col, n_classes))
+    smote = plan.get("imbalance_strategy") == "smote" and task != "regression"
+    stages.append(ModelStage(plan["model"], task, _params(plan), weight_col, n_classes, smote=smote))
     return Pipeline(stages=stages)
 
 

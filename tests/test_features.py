@@ -74,3 +74,49 @@ def test_iterative_imputer_recovers_linear_relation(spark):
     df = spark.createDataFrame(rows, "x double, y double")
     out = FE.IterativeImpute(["x", "y"]).fit(df).transform(df).where(F.col("x") == 5.0).first()
     assert abs(out["y"] - 11.0) < 1e-3
+
+
+def test_knn_imputer_matches_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    X = rng.normal(size=(60, 3)).round(3)
+    X[rng.random((60, 3)) < 0.15] = np.nan
+    X[:, 0] = np.where(np.isnan(X[:, 0]), 0.5, X[:, 0]) if False else X[:, 0]
+    rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in X]
+    df = spark.createDataFrame(rows, "a double, b double, c double")
+    from quarry.operators.neighbors import KnnImpute
+
+    out = KnnImpute(["a", "b", "c"]).fit(df).transform(df).collect()
+
+    def dist(x, y):
+        m = ~np.isnan(x) & ~np.isnan(y)
+        return np.sqrt(3 / m.sum() * np.sum((x[m] - y[m]) ** 2)) if m.sum() else np.nan
+
+    got = {tuple(np.nan if v is None else v for v in r): None for r in rows}
+    expect = []
+    for i, x in enumerate(X):
+        y = x.copy()
+        for j in np.where(np.isnan(x))[0]:
+            cand = [(dist(x, X[d]), d) for d in range(60) if d != i and not np.isnan(X[d, j])]
+            cand = sorted([c for c in cand if not np.isnan(c[0])])[:5]
+            y[j] = np.mean([X[d, j] for _, d in cand])
+        expect.append(y)
+    exp_sorted = sorted(tuple(round(v, 9) for v in r) for r in expect)
+    got_sorted = sorted(tuple(round(v, 9) for v in (r["a"], r["b"], r["c"])) for r in out)
+    assert exp_sorted == got_sorted
+
+
+def test_smote_balances_classes(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.dense([float(i), float(i % 7)]), 0.0) for i in range(40)] + \
+           [(Vectors.dense([100.0 + i, float(i % 3)]), 1.0) for i in range(8)]
+    df = spark.createDataFrame(rows, ["features", "label"])
+    from quarry.operators.neighbors import smote
+
+    out = smote(df)
+    counts = {r["label"]: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {0.0: 40, 1.0: 40}
+    xs = [r["features"][0] for r in out.where("label = 1.0").collect()]
+    assert min(xs) >= 100.0 and max(xs) <= 107.0  # synthetic rows lie between class members
