@@ -99,3 +99,55 @@ def q_rule_baseline_orders(spark, sf):
     o = table(spark, sf, "orders").drop("o_orderdate")
     r = run_rule_baseline(o, "o_totalprice", ["o_orderkey"])
     return r.summary(spark)
+
+
+@register(
+    "missingness_chart_documents",
+    "WITH t AS (" + DOCS_LABELLED_SQL + """),
+m AS (SELECT 'doc_id' AS c, avg(CASE WHEN doc_id IS NULL THEN 1.0 ELSE 0 END) AS r FROM t
+      UNION ALL SELECT 'lang', avg(CASE WHEN lang IS NULL THEN 1.0 ELSE 0 END) FROM t
+      UNION ALL SELECT 'source', avg(CASE WHEN source IS NULL THEN 1.0 ELSE 0 END) FROM t
+      UNION ALL SELECT 'n_chars', avg(CASE WHEN n_chars IS NULL THEN 1.0 ELSE 0 END) FROM t
+      UNION ALL SELECT 'text', avg(CASE WHEN text IS NULL THEN 1.0 ELSE 0 END) FROM t
+      UNION ALL SELECT 'quality', avg(CASE WHEN quality IS NULL THEN 1.0 ELSE 0 END) FROM t)
+SELECT c AS column_name, R6(r) AS missing_rate, CAST(0.3 AS DOUBLE) AS threshold, r >= 0.3 AS above_threshold FROM m WHERE r > 0""",
+)
+def q_missingness_chart(spark, sf):
+    """E-15: missingness chart data (columns with any missing value, 0.30 marker)."""
+    from quarry.operators.profile import profile_columns
+    from quarry.plans.compare import missingness_chart
+
+    mc = missingness_chart(profile_columns(docs_labelled(spark, sf), with_values=False))
+    return mc.select(F.col("column").alias("column_name"), r6(F.col("missing_rate")).alias("missing_rate"), "threshold",
+                     "above_threshold")
+
+
+@register(
+    "dataset_summary_documents",
+    "WITH x AS (" + _issues_sql(DOCS_LABELLED_SQL, DOCS_COLS, "quality", "binary") + "), t AS (" + DOCS_LABELLED_SQL + """),
+m AS (SELECT count(*) AS n_rows,
+             (avg(CASE WHEN doc_id IS NULL THEN 1.0 ELSE 0 END) + avg(CASE WHEN lang IS NULL THEN 1.0 ELSE 0 END)
+              + avg(CASE WHEN source IS NULL THEN 1.0 ELSE 0 END) + avg(CASE WHEN n_chars IS NULL THEN 1.0 ELSE 0 END)
+              + avg(CASE WHEN text IS NULL THEN 1.0 ELSE 0 END) + avg(CASE WHEN quality IS NULL THEN 1.0 ELSE 0 END)) / 6 AS mm,
+             avg(CASE WHEN quality IS NULL THEN 1.0 ELSE 0 END) AS mx FROM t),
+d AS (SELECT sum(n - 1) AS nd FROM (SELECT count(*) AS n FROM t GROUP BY doc_id, lang, source, n_chars, text, quality) g)
+SELECT CAST(m.n_rows AS BIGINT) AS n_rows, 'quality' AS target_column, 'binary' AS target_type,
+       round(CAST(d.nd AS DOUBLE) / m.n_rows, 4) AS duplicate_rate, 6 AS n_cols, CAST(3 AS BIGINT) AS n_numeric,
+       CAST(3 AS BIGINT) AS n_categorical, round(CAST(m.mm AS DOUBLE), 4) AS avg_missing_rate,
+       round(CAST(m.mx AS DOUBLE), 4) AS max_missing_rate,
+       (SELECT CAST(count_if(severity = 'high') AS BIGINT) FROM x) AS n_high,
+       (SELECT CAST(count_if(severity = 'medium') AS BIGINT) FROM x) AS n_medium,
+       (SELECT CAST(count_if(severity = 'low') AS BIGINT) FROM x) AS n_low
+FROM m, d""",
+)
+def q_dataset_summary(spark, sf):
+    """O-14 / S-10: one-row dataset summary with issue counts (4 dp)."""
+    from quarry.operators.profile import profile
+    from quarry.plans.compare import dataset_summary
+
+    df = docs_labelled(spark, sf)
+    prof = profile(df, "quality")
+    cols = spark.createDataFrame(prof.columns)
+    iss = detect_issues(df, "quality", prof)
+    out = dataset_summary(cols, prof.to_frame(spark), iss)
+    return out.withColumn("n_cols", F.col("n_cols").cast("int"))

@@ -143,6 +143,15 @@ def _attempt_row(plan, score, metrics, cv_std, runtime, err, pos):
     )
 
 
+def out_of_fold(df: DataFrame, plan: dict, target: str, key: list[str], task: str, column_types: dict,
+                k: int = 3, seed: int = 42) -> DataFrame:
+    """E-17: out-of-fold predictions of one plan with k folds (chart data)."""
+    feats = {c: t for c, t in column_types.items() if c != target and c not in key}
+    lab, classes = label_index(df.where(F.col(f"`{target}`").isNotNull()), target, task)
+    folded = assign_folds(lab, key, "label", task, k, seed)
+    return cv_predictions(folded, plan, feats, task, classes, k)
+
+
 def select_best(attempts: DataFrame) -> DataFrame:
     """E-14: the highest-scoring non-failed attempt (1 row); raises if none succeeded."""
     ok = attempts.where(F.col("error").isNull() & (F.col("score") > F.lit(float("-inf"))))
