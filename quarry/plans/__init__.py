@@ -1,0 +1 @@
+"""Plan search, cross-validated evaluation, end-to-end runs and comparison tables."""

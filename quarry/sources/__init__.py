@@ -1,0 +1 @@
+"""Readers, append-only attempt log, plan memory and CSV export."""

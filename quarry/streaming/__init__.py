@@ -1,0 +1,8 @@
+"""Streaming.
+
+The modelled tool has no streaming operators (no watermarks, windows or
+stateful processing), so none are provided.  Its only append-only stream of
+records, the attempt log, is written once per optimisation round as a
+Parquet append (``quarry.sources.attempt_log``).  A Structured Streaming job
+can read that dataset with ``spark.readStream.schema(LOG_SCHEMA).parquet(path)``.
+"""
