@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,3 +35,101 @@ def pearson_expr(x: Column, y: Column) -> Column:
     yy = F.when(both, y)
     den = F.stddev_pop(xx) * F.stddev_pop(yy)
     return F.covar_pop(xx, yy) / F.when(den != 0, den)
+
+
+# Exact quantiles from a value-count table ----------------------------------------------
+
+HIST_BUCKETS = 1024
+RESOLVE_ROWS = 100_000  # a target is settled once its bucket holds at most this many distinct values
+MAX_DESCENT = 16
+
+
+def exact_quantiles(counts: DataFrame, specs: list[tuple], probs: list[float]) -> dict:
+    """Exact linearly interpolated quantiles from ``counts`` = (ordinal, v double, n bigint).
+
+    ``specs``: (ordinal, N, min, max) per numeric column (non-null count and
+    range from the scalar pass).  For p = q (N - 1) the values at ranks
+    floor(p) and floor(p) + 1 are located by histogram descent: each step is
+    one aggregation over the count table into ``HIST_BUCKETS`` equal-width
+    buckets of the current range per target; the bucket holding the target
+    rank becomes the next range.  When a bucket holds at most
+    ``RESOLVE_ROWS`` distinct values they are fetched (bounded) and ranked on
+    the driver.  Works for any distribution: each descent divides the range by
+    the bucket count, and a single repeated value ends it at once.
+    Returns {(ordinal, q): value}.
+    """
+    spark = counts.sparkSession
+    targets = {}  # tid -> dict(ordinal, rank, lo, hi, offset)
+    tid = 0
+    plan = []
+    for ordinal, total, lo, hi in specs:
+        for q in probs:
+            pos = q * (total - 1)
+            f = int(pos // 1)
+            ranks = [f] + ([f + 1] if pos > f and f + 1 < total else [])
+            ids = []
+            for r in ranks:
+                targets[tid] = dict(ordinal=ordinal, rank=r, lo=lo, hi=hi, offset=0)
+                ids.append(tid)
+                tid += 1
+            plan.append((ordinal, q, pos - f, ids))
+    values = {}
+    pending = set(targets)
+    for _ in range(MAX_DESCENT):
+        if not pending:
+            break
+        spec = spark.createDataFrame(
+            [(t, targets[t]["ordinal"], float(targets[t]["lo"]), float(targets[t]["hi"])) for t in sorted(pending)],
+            "tid int, ordinal int, lo double, hi double",
+        )
+        # targets are schema-sized (4 per numeric column): a bounded broadcast
+        j = counts.join(F.broadcast(spec), "ordinal").where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+        width = (F.col("hi") - F.col("lo")) / HIST_BUCKETS
+        b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(HIST_BUCKETS - 1))).otherwise(0)
+        hist = j.groupBy("tid", b.cast("int").alias("b")).agg(
+            F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("rows"), F.min("v").alias("bmin"), F.max("v").alias("bmax")
+        ).collect()
+        by_t = {}
+        for r in hist:
+            by_t.setdefault(r["tid"], []).append(r)
+        fetch = []
+        for t in list(pending):
+            st = targets[t]
+            acc = st["offset"]
+            for r in sorted(by_t.get(t, []), key=lambda r: r["b"]):
+                if acc + r["cnt"] > st["rank"]:
+                    if r["rows"] <= RESOLVE_ROWS or r["bmin"] == r["bmax"]:
+                        if r["bmin"] == r["bmax"]:
+                            values[t] = r["bmin"]
+                            pending.discard(t)
+                        else:
+                            fetch.append((t, r["bmin"], r["bmax"], acc))
+                    else:
+                        st["lo"], st["hi"], st["offset"] = r["bmin"], r["bmax"], acc
+                    break
+                acc += r["cnt"]
+        if fetch:
+            fspec = spark.createDataFrame([(t, targets[t]["ordinal"], float(a), float(z)) for t, a, z, _ in fetch],
+                                          "tid int, ordinal int, lo double, hi double")
+            rows = counts.join(F.broadcast(fspec), "ordinal").where(
+                (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).select("tid", "v", "n").collect()
+            got = {}
+            for r in rows:
+                got.setdefault(r["tid"], []).append((r["v"], r["n"]))
+            for t, _, _, acc in fetch:
+                for v, n in sorted(got.get(t, [])):
+                    if acc + n > targets[t]["rank"]:
+                        values[t] = v
+                        break
+                    acc += n
+                pending.discard(t)
+    out = {}
+    for ordinal, q, frac, ids in plan:
+        if any(i not in values for i in ids):
+            out[(ordinal, q)] = None
+        elif len(ids) == 1:
+            out[(ordinal, q)] = values[ids[0]]
+        else:
+            a, b = values[ids[0]], values[ids[1]]
+            out[(ordinal, q)] = a + frac * (b - a)
+    return out

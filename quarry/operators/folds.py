@@ -21,7 +21,16 @@ from pyspark.sql import functions as F
 # Split share and seed used by every runner.
 TEST_SIZE = 0.2
 SEED = 42
-BUCKET_HEX_DIGITS = 5  # 2**20 hash-prefix buckets per class for the two-level rank
+MAX_BUCKET_HEX_DIGITS = 5  # at most 2**20 hash-prefix buckets per class for the two-level rank
+ROWS_PER_BUCKET = 1000
+
+
+def bucket_digits(n_rows: int) -> int:
+    """Hex digits of the hash prefix: about ``ROWS_PER_BUCKET`` rows per bucket, 1..5 digits."""
+    import math
+
+    need = max(n_rows / ROWS_PER_BUCKET, 1.0)
+    return int(min(MAX_BUCKET_HEX_DIGITS, max(1, math.ceil(math.log(need, 16)))))
 
 
 def key_string(key: list[str]) -> Column:
@@ -55,7 +64,7 @@ def assign_kfold(df: DataFrame, key: list[str], k: int = 5, seed: int = SEED, co
 
 
 def assign_stratified(df: DataFrame, key: list[str], label: str, k: int = 5, seed: int = SEED,
-                      col: str = "fold") -> DataFrame:
+                      col: str = "fold", n_rows: int | None = None) -> DataFrame:
     """E-3: stratified k-fold; per class, fold sizes differ by at most one.
 
     fold = (rank of the row inside its class by (hash, key) - 1) mod k,
@@ -63,12 +72,11 @@ def assign_stratified(df: DataFrame, key: list[str], label: str, k: int = 5, see
     """
     h = row_hash(key, seed, "fold")
     ks = key_string(key)
-    base = df.withColumn("__h", h).withColumn("__ks", ks).withColumn(
-        "__b", F.substring("__h", 1, BUCKET_HEX_DIGITS)
-    )
+    digits = bucket_digits(n_rows if n_rows is not None else df.count())
+    base = df.withColumn("__h", h).withColumn("__ks", ks).withColumn("__b", F.substring("__h", 1, digits))
     lab = F.col(f"`{label}`")
     counts = base.groupBy(lab.alias("__lab"), F.col("__b")).agg(F.count(F.lit(1)).alias("__cnt"))
-    # bounded per class by the bucket count (2**20), not by the row count
+    # bounded per class by the bucket count (at most 2**20), not by the row count
     w_off = Window.partitionBy("__lab").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("__off", F.coalesce(F.sum("__cnt").over(w_off), F.lit(0))).drop("__cnt")
     w_in = Window.partitionBy(lab, F.col("__b")).orderBy("__h", "__ks")

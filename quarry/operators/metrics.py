@@ -32,7 +32,7 @@ from quarry.functions.stats import median_expr
 CV_STD_PENALTY = 0.5
 COMPLEXITY_PENALTY = 0.01
 PROB_EPS = 1e-15
-SCORE_BUCKETS = 4096
+SCORE_BUCKETS = 256  # prefix-sum buckets: each (group, bucket) window holds ~1/256 of a group's scores
 
 BINARY_METRICS = [
     "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "sensitivity", "specificity",
@@ -188,6 +188,30 @@ def _clip(p: Column) -> Column:
     return F.least(F.greatest(p, F.lit(PROB_EPS)), F.lit(1 - PROB_EPS))
 
 
+def _materialised(fn):
+    """Run a metric builder on a persisted input and return its (small) result materialised.
+
+    The predictions frame feeds several aggregations (confusion table, AUC
+    counts, probability averages); persisting it once avoids recomputing its
+    lineage per consumer.  The result has one row per group.
+    """
+    import functools
+
+    @functools.wraps(fn)
+    def run(preds: DataFrame, *a, **kw):
+        from pyspark import StorageLevel
+
+        p = preds.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            res = fn(p, *a, **kw)
+            return preds.sparkSession.createDataFrame(res.collect(), res.schema)
+        finally:
+            p.unpersist()
+
+    return run
+
+
+@_materialised
 def binary_metrics(preds: DataFrame, groups: list[str], label: str = "label", prediction: str = "prediction",
                    score: str | None = "score") -> DataFrame:
     """E-6: the 13 binary metrics per group."""
@@ -214,6 +238,7 @@ def binary_metrics(preds: DataFrame, groups: list[str], label: str = "label", pr
     return out.select(*groups, *BINARY_METRICS)
 
 
+@_materialised
 def multiclass_metrics(preds: DataFrame, groups: list[str], classes: list, label: str = "label",
                        prediction: str = "prediction", probs: str | None = "probs") -> DataFrame:
     """E-8: the 11 multiclass metrics; ``probs[i]`` is the probability of ``classes[i]``."""

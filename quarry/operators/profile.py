@@ -18,13 +18,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.functions.dtypes import is_nested, logical_dtype
 from quarry.functions.nulls import FLOATING, is_missing, nan_to_null
-from quarry.functions.stats import quantile_exprs
+from quarry.functions.stats import exact_quantiles, quantile_exprs
 
 # Fixed values of the modelled tool's profiler.
 MAX_SAMPLE_VALUES = 5
@@ -55,8 +56,15 @@ def value_string(name: str, dt: T.DataType) -> Column:
     return c.cast("string")
 
 
-def scalar_profile(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
-    """A-1, A-4, A-5, A-9: one row per column from a single wide aggregation."""
+QUARTILES = [0.25, 0.75]
+
+
+def scalar_profile(df: DataFrame, approx_quantiles: bool = False, brackets: bool = False) -> DataFrame:
+    """A-1, A-4, A-5, A-9: one row per column from a single wide aggregation.
+
+    ``brackets=True`` leaves the quartiles out (NULL); :func:`profile_columns`
+    then selects them exactly from the value-count table.
+    """
     fields = df.schema.fields
     exprs = [F.count(F.lit(1)).alias("__n")]
     structs = []
@@ -72,7 +80,7 @@ def scalar_profile(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
                 F.min(x).alias(f"mn{i}"),
                 F.max(x).alias(f"mx{i}"),
                 F.count(x).alias(f"nn{i}"),
-                quantile_exprs(x, [0.25, 0.75], approx=approx_quantiles).alias(f"qs{i}"),
+                *([] if brackets else [quantile_exprs(x, QUARTILES, approx=approx_quantiles).alias(f"qs{i}")]),
             ]
             std = F.when(F.col(f"nn{i}") == 1, F.lit(0.0)).otherwise(F.col(f"sd{i}"))
             num = [
@@ -80,8 +88,8 @@ def scalar_profile(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
                 std,
                 F.col(f"mn{i}"),
                 F.col(f"mx{i}"),
-                F.col(f"qs{i}")[0],
-                F.col(f"qs{i}")[1],
+                F.lit(None).cast("double") if brackets else F.col(f"qs{i}")[0],
+                F.lit(None).cast("double") if brackets else F.col(f"qs{i}")[1],
             ]
         structs.append(
             F.struct(
@@ -97,15 +105,23 @@ def scalar_profile(df: DataFrame, approx_quantiles: bool = False) -> DataFrame:
                 num[3].alias("max"),
                 num[4].alias("q1"),
                 num[5].alias("q3"),
+                (F.col(f"nn{i}") if dtype == "numeric" else F.lit(None).cast("long")).alias("n_nonnull"),
             )
         )
     wide = df.agg(*exprs)
     return wide.select(F.explode(F.array(*structs)).alias("p")).select("p.*")
 
 
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
 def value_counts_long(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Unpivot -> (ordinal, value, n): counts of every non-null distinct value.
+    """Unpivot -> (ordinal, value, n, num): counts of every non-null distinct value.
 
+    Values are grouped on typed slots (integral -> long, float/double -> double
+    with NaN -> NULL and -0.0 -> 0.0, everything else -> string), so numbers are
+    formatted as strings only once per distinct value, after the aggregation.
+    ``num`` is the numeric value (double) for numeric columns, else NULL.
     Nested columns are skipped (missingness only).  Partial aggregation keeps
     the shuffle proportional to distinct values per task, not to rows.
     """
@@ -115,25 +131,46 @@ def value_counts_long(df: DataFrame, columns: list[str] | None = None) -> DataFr
         if not is_nested(f.dataType) and (columns is None or f.name in columns)
     ]
     if not fields:
-        return df.sparkSession.createDataFrame([], "ordinal int, value string, n bigint")
-    kv = F.explode(
-        F.array(*[F.struct(F.lit(i).alias("ordinal"), value_string(f.name, f.dataType).alias("value")) for i, f in fields])
-    )
-    return (
+        return df.sparkSession.createDataFrame([], "ordinal int, value string, n bigint, num double")
+
+    def slots(name, dt):
+        c = _q(name)
+        if isinstance(dt, INTEGRAL):
+            return F.lit(None).cast("string"), c.cast("long"), F.lit(None).cast("double")
+        if isinstance(dt, FLOATING):
+            return F.lit(None).cast("string"), F.lit(None).cast("long"), nan_to_null(c).cast("double") + F.lit(0.0)
+        return value_string(name, dt), F.lit(None).cast("long"), F.lit(None).cast("double")
+
+    kv = F.explode(F.array(*[
+        F.struct(F.lit(i).alias("ordinal"), *[e.alias(a) for e, a in zip(slots(f.name, f.dataType), ("s", "l", "d"))])
+        for i, f in fields
+    ]))
+    counted = (
         df.select(kv.alias("kv"))
-        .select("kv.ordinal", "kv.value")
-        .where(F.col("value").isNotNull())
-        .groupBy("ordinal", "value")
+        .select("kv.ordinal", "kv.s", "kv.l", "kv.d")
+        .where(F.col("s").isNotNull() | F.col("l").isNotNull() | F.col("d").isNotNull())
+        .groupBy("ordinal", "s", "l", "d")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+    return counted.select(
+        "ordinal",
+        F.coalesce("s", F.col("l").cast("string"), F.col("d").cast("string")).alias("value"),
+        "n",
+        F.coalesce(F.col("l").cast("double"), F.col("d")).alias("num"),
+    )
 
 
 def top_values(counts: DataFrame, k: int, ordinals: list[int] | None = None) -> DataFrame:
-    """A-6: k most frequent values per column; ties broken by value ascending."""
-    if ordinals is not None:
-        counts = counts.where(F.col("ordinal").isin(ordinals))
+    """A-6: k most frequent values per column; ties broken by value ascending.
+
+    The column filter is applied after the bounded top-k so the count table's
+    exchange stays identical to the other consumers' and is reused.
+    """
     w = Window.partitionBy("ordinal").orderBy(F.desc("n"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    top = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if ordinals is not None:
+        top = top.where(F.col("ordinal").isin(ordinals))
+    return top
 
 
 def sample_values(counts: DataFrame, numeric_ordinals: list[int], k: int = MAX_SAMPLE_VALUES) -> DataFrame:
@@ -143,9 +180,8 @@ def sample_values(counts: DataFrame, numeric_ordinals: list[int], k: int = MAX_S
     "smallest k".  Bounded top-k, never a full ``collect_set``.
     """
     is_num = F.col("ordinal").isin(numeric_ordinals) if numeric_ordinals else F.lit(False)
-    w = Window.partitionBy("ordinal").orderBy(
-        F.when(is_num, F.col("value").cast("double")).asc_nulls_last(), F.col("value")
-    )
+    key = F.col("num") if "num" in counts.columns else F.col("value").cast("double")
+    w = Window.partitionBy("ordinal").orderBy(F.when(is_num, key).asc_nulls_last(), F.col("value"))
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -155,14 +191,44 @@ def profile_columns(df: DataFrame, approx_quantiles: bool = False, with_values:
     Columns: ordinal, column, dtype, n_rows, n_missing, missing_rate, n_unique,
     mean, std, min, max, q1, q3, sample_values array<string>,
     top_categories array<struct<value string, n bigint>> (categoricals only).
+
+    Quartiles are exact (linear interpolation) without an exact-percentile
+    aggregate: they are selected from the value-count table (shared with
+    distinct counts, top values and samples) by histogram descent, see
+    :func:`quarry.functions.stats.exact_quantiles`.  ``approx_quantiles=True``
+    uses a percentile sketch instead.  The result (one row per column) is
+    materialised.
     """
-    scal = scalar_profile(df, approx_quantiles=approx_quantiles)
     if not with_values:
-        return scal
+        return scalar_profile(df, approx_quantiles=approx_quantiles).drop("n_nonnull")
     types = [logical_dtype(f.dataType) for f in df.schema.fields]
     numeric = [i for i, t in enumerate(types) if t == "numeric"]
     categorical = [i for i, t in enumerate(types) if t == "categorical" and not is_nested(df.schema.fields[i].dataType)]
-    counts = value_counts_long(df)
+    # the count table feeds quartiles, distinct counts, top values and samples: built once
+    counts = value_counts_long(df).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _profile_from_counts(df, counts, numeric, categorical, approx_quantiles)
+    finally:
+        counts.unpersist()
+
+
+def _profile_from_counts(df, counts, numeric, categorical, approx_quantiles):
+    use_brackets = bool(numeric) and not approx_quantiles
+    scal = scalar_profile(df, approx_quantiles=approx_quantiles, brackets=use_brackets)
+    if use_brackets:
+        srows = scal.collect()  # one row per column
+        specs = [(r["ordinal"], int(r["n_nonnull"]), r["min"], r["max"])
+                 for r in srows if r["dtype"] == "numeric" and r["n_nonnull"]]
+        qv = {}
+        if specs:
+            nums = counts.where(F.col("ordinal").isin(numeric)).select("ordinal", F.col("num").alias("v"), "n")
+            qv = exact_quantiles(nums, specs, QUARTILES)
+        fixed = [
+            {**r.asDict(), "q1": qv.get((r["ordinal"], QUARTILES[0])), "q3": qv.get((r["ordinal"], QUARTILES[1]))}
+            for r in srows
+        ]
+        scal = df.sparkSession.createDataFrame([tuple(d[c] for c in scal.columns) for d in fixed], scal.schema)
+    scal = scal.drop("n_nonnull")
     n_unique = counts.groupBy("ordinal").agg(F.count(F.lit(1)).alias("n_unique"))
     samples = (
         sample_values(counts, numeric)
@@ -187,10 +253,12 @@ def profile_columns(df: DataFrame, approx_quantiles: bool = False, with_values:
         .withColumn("n_unique", F.coalesce("n_unique", F.lit(0).cast("long")))
         .withColumn("sample_values", F.coalesce("sample_values", F.array().cast("array<string>")))
     )
-    return out.select(
+    res = out.select(
         "ordinal", "column", "dtype", "n_rows", "n_missing", "missing_rate", "n_unique",
         "mean", "std", "min", "max", "q1", "q3", "sample_values", "top_categories",
     ).orderBy("ordinal")
+    # one row per column: materialised here so the shared count table can be released
+    return df.sparkSession.createDataFrame(res.collect(), res.schema)
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:

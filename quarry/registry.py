@@ -79,7 +79,9 @@ def _load_all() -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from quarry.sources.readers import load_table
+
+    return load_table(spark, f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def r6(c):

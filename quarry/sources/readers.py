@@ -9,6 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet"}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a thinly split input at least one partition per core.
+
+    A file written as one row group scans in one task, and every operator
+    fused into that scan (unpivots, partial aggregates) then runs on one core.
+    When the scan has fewer splits than the session's default parallelism the
+    rows are round-robin repartitioned to it; inputs that are already split
+    wider (any large table) are returned unchanged, so no extra shuffle.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def load_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     """S-3: dispatch on the lower-cased suffix; unknown suffixes raise ValueError.
 
@@ -23,8 +38,8 @@ def load_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        return reader.csv(path, header=True, inferSchema=schema is None)
-    return reader.parquet(path)
+        return spread(reader.csv(path, header=True, inferSchema=schema is None))
+    return spread(reader.parquet(path))
 
 
 def write_csv(df: DataFrame, path: str, single_file: bool = True) -> None:
