@@ -1 +1,142 @@
-"""Registered checks (filled in as operators land)."""
+"""Checks for the feature-stage fits (F-*): fitted parameters and transformed rows."""
+
+from __future__ import annotations
+
+from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
+
+from quarry.checks.check_eval import LI_KEY
+from quarry.checks.inputs import LINEITEM_MESSY_SQL, docs_train, lineitem_messy
+from quarry.operators import features as FE
+from quarry.registry import r6, register, table
+
+NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def _param_rows(spark, rows):
+    return spark.createDataFrame(rows, "column_name string, a double, b double").select(
+        "column_name", r6(F.col("a")).alias("a"), r6(F.col("b")).alias("b"))
+
+
+def _params_sql(exprs_a, exprs_b, src="li"):
+    parts = [f"SELECT '{c}' AS column_name, R6({exprs_a.format(c=c)}) AS a, R6({exprs_b.format(c=c)}) AS b FROM {src}"
+             for c in NUM]
+    return "WITH li AS (" + LINEITEM_MESSY_SQL + ") " + " UNION ALL ".join(parts)
+
+
+@register("impute_fit_lineitem", _params_sql("avg({c})", "quantile_cont({c}, 0.5)"))
+def q_impute_fit(spark, sf):
+    """F-3: fitted mean (a) and exact median (b) per numeric column (with missing values)."""
+    df = lineitem_messy(spark, sf)
+    mean = FE.SimpleImpute(NUM, "mean").fit(df).values
+    med = FE.SimpleImpute(NUM, "median").fit(df).values
+    return _param_rows(spark, [(c, mean[c], med[c]) for c in NUM])
+
+
+@register(
+    "winsor_bounds_lineitem",
+    _params_sql("quantile_cont({c}, 0.25) - 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))",
+                "quantile_cont({c}, 0.75) + 1.5 * (quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25))"),
+)
+def q_winsor(spark, sf):
+    """F-7: fitted clipping fence (a = lower, b = upper) per column."""
+    b = FE.Winsorizer(NUM).fit(lineitem_messy(spark, sf)).bounds
+    return _param_rows(spark, [(c, b[c][0], b[c][1]) for c in NUM])
+
+
+@register("standard_scaler_lineitem", _params_sql("avg({c})", "stddev_pop({c})"))
+def q_standard(spark, sf):
+    """F-9: fitted shift (mean) and scale (population std)."""
+    p = FE.Scaler(NUM, "standard").fit(lineitem_messy(spark, sf)).affine
+    return _param_rows(spark, [(c, p[c][0], p[c][1]) for c in NUM])
+
+
+@register("robust_scaler_lineitem",
+          _params_sql("quantile_cont({c}, 0.5)", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"))
+def q_robust(spark, sf):
+    """F-10: fitted centre (median) and scale (IQR)."""
+    p = FE.Scaler(NUM, "robust").fit(lineitem_messy(spark, sf)).affine
+    return _param_rows(spark, [(c, p[c][0], p[c][1]) for c in NUM])
+
+
+@register("minmax_scaled_lineitem", """
+WITH li AS (""" + LINEITEM_MESSY_SQL + """), m AS (SELECT min(l_tax) AS lo, max(l_tax) AS hi FROM li)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice,
+       R6(CASE WHEN hi > lo THEN (l_tax - lo) / (hi - lo) ELSE l_tax - lo END) AS l_tax
+FROM li, m""")
+def q_minmax(spark, sf):
+    """F-11: rows transformed by the fitted min-max scaler."""
+    df = lineitem_messy(spark, sf).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_tax")
+    out = FE.Scaler(["l_tax"], "minmax").fit(df).transform(df)
+    return out.withColumn("l_tax", r6(F.col("l_tax")))
+
+
+@register("ordinal_codes_orders", """
+WITH c AS (SELECT o_orderpriority AS v, CAST(row_number() OVER (ORDER BY o_orderpriority) - 1 AS DOUBLE) AS code
+           FROM (SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority IS NOT NULL) d)
+SELECT o.o_orderkey, coalesce(c.code, -1.0) AS code FROM orders o LEFT JOIN c ON o.o_orderpriority = c.v""")
+def q_ordinal(spark, sf):
+    """F-14: sorted-category ordinal codes (unseen -> -1)."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    out = FE.OrdinalEncode(["o_orderpriority"]).fit(o).transform(o)
+    return out.select("o_orderkey", F.col("o_orderpriority__enc").alias("code"))
+
+
+@register("onehot_counts_orders", """
+SELECT o_orderstatus AS category, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderstatus""")
+def q_onehot(spark, sf):
+    """F-12: one-hot vectors; rows per hot slot, mapped back to the category name."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    m = FE.OneHotEncode(["o_orderstatus"]).fit(o)
+    labels = m.indexer.labelsArray[0]
+    arr = m.transform(o).select(vector_to_array("o_orderstatus__enc").alias("v"))
+    slot = F.array_position(F.col("v"), 1.0) - 1
+    cats = F.array(*[F.lit(x) for x in labels])
+    return arr.select(cats[slot.cast("int")].alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("class_weights_documents", """
+WITH t AS (SELECT l.quality FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+c AS (SELECT quality, count(*) AS n FROM t GROUP BY quality)
+SELECT CAST(quality AS DOUBLE) AS label, R6((SELECT count(*) FROM t) * 1.0 / ((SELECT count(*) FROM c) * n)) AS weight FROM c""")
+def q_class_weights(spark, sf):
+    """F-16: balanced class weights n / (k * n_c)."""
+    d = docs_train(spark, sf).select(F.col("quality").cast("double").alias("label"))
+    w = FE.class_weight_column(d).select("label", "weight").distinct()
+    return w.select("label", r6(F.col("weight")).alias("weight"))
+
+
+@register("target_encoding_documents", """
+WITH t AS (SELECT d.source, CAST(l.quality AS DOUBLE) AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+p AS (SELECT avg(y) AS prior FROM t)
+SELECT source, R6((sum(y) + 10.0 * prior) / (count(*) + 10.0)) AS encoding FROM t, p GROUP BY source, prior""")
+def q_target_encoding(spark, sf):
+    """F-13: smoothed per-category target means (m = 10)."""
+    d = docs_train(spark, sf).select("source", F.col("quality").cast("double").alias("label"))
+    m = FE.TargetEncode(["source"], "label").fit(d)
+    t, small = m.tables["source"]
+    return t.select(F.col("__v").alias("source"), r6(F.col("__te0")).alias("encoding"))
+
+
+@register("factorize_part", """
+WITH c AS (SELECT p_type AS v, CAST(row_number() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS code
+           FROM (SELECT DISTINCT p_type FROM part) d)
+SELECT p.p_partkey, coalesce(c.code, -1.0) AS p_type FROM part p LEFT JOIN c ON p.p_type = c.v""")
+def q_factorize(spark, sf):
+    """F-15: dense value-order codes for strings (NULL -> -1)."""
+    p = table(spark, sf, "part").select("p_partkey", "p_type")
+    return FE.factorize(p, ["p_type"])
+
+
+@register("knn_imputed_lineitem")
+def q_knn(spark, sf):
+    """F-4: k-NN imputation of the missing quantities (exact band search; no SQL twin)."""
+    df = lineitem_messy(spark, sf).select(*LI_KEY[:2], "l_extendedprice", "l_discount", "l_quantity")
+    return FE_knn(df)
+
+
+def FE_knn(df):
+    from quarry.operators.neighbors import KnnImpute
+
+    cols = ["l_extendedprice", "l_discount", "l_quantity"]
+    return KnnImpute(cols).fit(df).transform(df)
