@@ -1,11 +1,11 @@
 """Exact k-nearest neighbours without all-pairs joins (F-4 k-NN imputation, F-17 SMOTE).
 
-Band search on an anchor coordinate ``a`` (the most complete column): for two
-rows that both have ``a``, the nan-Euclidean distance is at least |x_a - y_a|
-(its weight is >= 1 and the anchor term is one of the summed squares).  A
-receiver's candidates are the donors whose anchor lies within radius R (an
-equi-join on anchor buckets of width R, each receiver probing its own and the
-two adjacent buckets).  When at least k candidates lie within distance R,
+Grid band search on up to three anchor coordinates (the most complete
+columns): for two rows that both have anchor ``a``, the nan-Euclidean distance
+is at least |x_a - y_a| (its weight is >= 1 and the anchor term is one of the
+summed squares).  A receiver's candidates are the donors within radius R on
+every anchor (an equi-join on grid cells of side R, each receiver probing the
+3^g adjacent cells; a hot value on one anchor is split by the others).  When at least k candidates lie within distance R,
 every donor outside the band is farther away, so the k nearest are exact;
 otherwise the receiver is retried with radius 2R.  Once R exceeds the anchor's
 range the band holds every donor and the answer is final.  Rows without the
@@ -36,24 +36,44 @@ def nan_euclidean(x: Column, y: Column, n: int) -> Column:
     return F.when(present > 0, F.sqrt(total * F.lit(float(n)) / present))
 
 
-def band_knn(receivers: DataFrame, donors: DataFrame, n_dims: int, anchor: int, k: int,
-             targets: Column | None = None) -> DataFrame:
-    """Exact k nearest donors per (receiver, target) with the band search.
+GRID_ANCHORS = 3
+
+
+def band_knn(receivers: DataFrame, donors: DataFrame, n_dims: int, anchors, k: int) -> DataFrame:
+    """Exact k nearest donors per (receiver, target) with a grid band search.
 
     receivers: (rid, rv array<double>, tgt array<int>) — ``tgt`` lists the
     coordinates to impute (or ``[-1]`` to ask for plain neighbours);
     donors: (did, dv array<double>).  A donor qualifies for target j when
-    ``dv[j]`` is present (always for -1).  Returns (rid, j, did, dist, rank).
+    ``dv[j]`` is present (always for -1).  ``anchors``: up to three coordinate
+    indexes; cells of side R on them, each receiver probing the 3^g adjacent
+    cells, so a hot value on one anchor is split by the others.  Returns
+    (rid, j, did, dist, dv, rank).
     """
-    spark = receivers.sparkSession
-    ra, da = F.col("rv")[anchor], F.col("dv")[anchor]
-    stats = donors.agg(F.min(da).alias("lo"), F.max(da).alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    lo, hi, n_d = stats["lo"], stats["hi"], stats["n"]
-    span = (hi - lo) if lo is not None and hi is not None else 0.0
-    radius = max(span * min(1.0, 4.0 * k / max(n_d, 1)), 1e-9) if span > 0 else 1.0
-    donors_a = donors.where(da.isNotNull()).persist(StorageLevel.MEMORY_AND_DISK)
-    donors_na = donors.where(da.isNull())
-    pending = receivers.where(ra.isNotNull())
+    anchors = [anchors] if isinstance(anchors, int) else list(anchors)[:GRID_ANCHORS]
+    ra = [F.col("rv")[a] for a in anchors]
+    da = [F.col("dv")[a] for a in anchors]
+    have_r = F.lit(True)
+    have_d = F.lit(True)
+    for c in ra:
+        have_r = have_r & c.isNotNull()
+    for c in da:
+        have_d = have_d & c.isNotNull()
+    stats = donors.where(have_d).agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(da)],
+                                     *[F.max(c).alias(f"hi{i}") for i, c in enumerate(da)],
+                                     F.count(F.lit(1)).alias("n")).first()
+    n_d = stats["n"]
+    spans = [(stats[f"hi{i}"] - stats[f"lo{i}"]) if stats[f"lo{i}"] is not None else 0.0 for i in range(len(anchors))]
+    span = max(spans) if spans else 0.0
+    # start where a cell neighbourhood holds a few times k donors on average
+    frac = min(1.0, (4.0 * k / max(n_d, 1)) ** (1.0 / max(len(anchors), 1)))
+    radius = max(span * frac, 1e-9) if span > 0 else 1.0
+    donors_a = donors.where(have_d).persist(StorageLevel.MEMORY_AND_DISK)
+    donors_na = donors.where(~have_d)
+    pending = receivers.where(have_r)
+    offsets = [[]]
+    for _ in anchors:
+        offsets = [o + [d] for o in offsets for d in (-1, 0, 1)]
     results = []
     rounds = 0
     while True:
@@ -62,9 +82,14 @@ def band_knn(receivers: DataFrame, donors: DataFrame, n_dims: int, anchor: int,
         if final:
             cand = _all_band(pending, donors_a)
         else:
-            probe = pending.withColumn("__b", F.explode(F.array(*[F.floor(ra / radius) + o for o in (-1, 0, 1)])))
-            don = donors_a.withColumn("__b", F.floor(da / radius))
-            cand = probe.join(don, "__b").drop("__b").where(F.abs(F.col("rv")[anchor] - F.col("dv")[anchor]) <= radius)
+            cell_r = [F.floor(c / radius).cast("long") for c in ra]
+            probe = pending.withColumn("__cell", F.explode(F.array(*[
+                F.array(*[cell_r[i] + o[i] for i in range(len(anchors))]) for o in offsets])))
+            don = donors_a.withColumn("__cell", F.array(*[F.floor(c / radius).cast("long") for c in da]))
+            near = F.lit(True)
+            for i, a in enumerate(anchors):
+                near = near & (F.abs(F.col("rv")[a] - F.col("dv")[a]) <= radius)
+            cand = probe.join(don, "__cell").drop("__cell").where(near)
         scored = _score(cand, n_dims)
         ranked = _rank(scored, k)
         if final:
@@ -84,17 +109,16 @@ def band_knn(receivers: DataFrame, donors: DataFrame, n_dims: int, anchor: int,
         if pending.take(1) == []:
             break
         radius *= 2
-    # rows without the anchor on either side are compared directly (exact)
-    extra = []
-    no_anchor_r = receivers.where(ra.isNull())
-    extra.append(_all_pairs_direct(no_anchor_r, donors, n_dims))
-    extra.append(_all_pairs_direct(receivers.where(ra.isNotNull()), donors_na, n_dims))
+    donors_a.unpersist()
+    # rows lacking an anchor on either side are compared directly (exact)
+    extra = [
+        _all_pairs_direct(receivers.where(~have_r), donors, n_dims),
+        _all_pairs_direct(receivers.where(have_r), donors_na, n_dims),
+    ]
     merged = results[0]
     for r in results[1:] + extra:
         merged = merged.unionByName(r)
-    # re-rank after merging the no-anchor candidates
-    out = _rank(merged.drop("rank"), k)
-    return out
+    return _rank(merged.drop("rank"), k)
 
 
 def _all_band(pending: DataFrame, donors_a: DataFrame) -> DataFrame:
@@ -165,7 +189,11 @@ class KnnImpute(Estimator):
         cols = [c for c in self.cols if c in df.columns]
         stats = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n::{c}") for c in cols],
                        *[F.avg(F.col(f"`{c}`")).alias(f"m::{c}") for c in cols]).first()
-        anchor = max(range(len(cols)), key=lambda i: (stats[f"n::{cols[i]}"], -i))
+        # complete columns carry the grid (each gives a lower bound of the distance);
+        # without one, the single most complete column is the (1-D) band
+        n_rows = df.count()
+        complete = [i for i, c in enumerate(cols) if stats[f"n::{c}"] == n_rows]
+        anchor = complete[:GRID_ANCHORS] or [max(range(len(cols)), key=lambda i: (stats[f"n::{cols[i]}"], -i))]
         dv = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
         # identical donor vectors share an id; ties among them are interchangeable (same values)
         donors = df.select(F.concat(F.lit("d"), F.xxhash64(dv).cast("string")).alias("did"), dv.alias("dv"))
@@ -199,7 +227,7 @@ def smote(df: DataFrame, label: str = "label", features: str = "features", k: in
         dim = len(members.first()["rv"])
         donors = members.select(F.col("rid").alias("did"), F.col("rv").alias("dv"))
         recv = members.withColumn("tgt", F.array(F.lit(-1)))
-        nn = band_knn(recv, donors, dim, 0, k)
+        nn = band_knn(recv, donors, dim, list(range(min(dim, GRID_ANCHORS))), k)
         nn_arr = nn.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("rank", "dv"))).alias("nns"))
         per, extra = divmod(need, n_c)
         ranked = members.withColumn("__h", F.xxhash64("rid", F.lit(seed)))
