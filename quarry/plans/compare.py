@@ -119,24 +119,26 @@ def missingness_chart(columns: DataFrame) -> DataFrame:
     ).orderBy(F.desc("missing_rate"))
 
 
-def feature_importance(model, spark, top: int = TOP_FEATURES) -> DataFrame | None:
-    """E-16: top named feature importances of a fitted tree pipeline (None for linear models)."""
-    from quarry.operators.features import _AssembleModel
+def feature_importance(model, scored: DataFrame, top: int = TOP_FEATURES) -> DataFrame | None:
+    """E-16: the ``top`` largest importances of a fitted tree pipeline, with slot names.
+
+    ``scored`` is any frame the pipeline produced (its ``features`` column
+    carries the ML attribute metadata naming each vector slot).  Returns None
+    for models without importances (linear models).
+    """
     from quarry.operators.models import _FittedModel
 
-    stages = model.stages
-    inner = next((s.inner for s in stages if isinstance(s, _FittedModel)), None)
-    asm = next((s for s in stages if isinstance(s, _AssembleModel)), None)
-    if inner is None or not hasattr(inner, "featureImportances") or asm is None:
+    inner = next((s.inner for s in model.stages if isinstance(s, _FittedModel)), None)
+    if inner is None or not hasattr(inner, "featureImportances"):
         return None
     imp = inner.featureImportances.toArray().tolist()
-    names = []
-    for c in asm.inputs:
-        names.append(c)
-    if len(names) != len(imp):
-        names = [f"f{i}" for i in range(len(imp))]
-    rows = sorted(zip(names, imp), key=lambda t: -t[1])[:top]
-    return spark.createDataFrame(rows, "feature string, importance double")
+    names = {i: f"f{i}" for i in range(len(imp))}
+    attrs = scored.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
+    for group in attrs.values():
+        for a in group:
+            names[a["idx"]] = a.get("name", names.get(a["idx"]))
+    rows = sorted(((names[i], float(v)) for i, v in enumerate(imp)), key=lambda t: -t[1])[:top]
+    return scored.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 
 def actual_vs_predicted(preds: DataFrame) -> DataFrame:

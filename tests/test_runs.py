@@ -59,3 +59,16 @@ def test_exploratory_run(spark):
     assert out["issues"] is not None and out["profile"].target is None
     facts = report_facts({"issues": out["issues"].select("issue_type", "severity")})
     assert facts.where(F.col("section") == "issues").count() >= 0
+
+
+def test_feature_importance_names(spark):
+    from quarry.operators.models import build_pipeline
+    from quarry.plans.compare import feature_importance
+
+    df = _df(spark).withColumn("label", F.col("target").cast("double"))
+    plan = dict(plan_id="rf", imputation="median", outlier_handling="none", encoding="onehot", scaling="none",
+                model="random_forest", imbalance_strategy="none", model_params={"n_estimators": 5})
+    m = build_pipeline(plan, {"a": "numeric", "b": "numeric", "c": "categorical"}, "binary").fit(df)
+    fi = feature_importance(m, m.transform(df)).collect()
+    names = [r["feature"] for r in fi]
+    assert "a" in names and "b" in names and all(not n.startswith("f") or n.startswith("f") and n in ("a", "b") for n in names[:2])
