@@ -1,6 +1,6 @@
 """Table preparation before modelling (P-1 .. P-10, D-1, A-11).
 
-``prepare`` runs at most three Spark jobs regardless of width:
+``prepare`` runs three aggregation jobs regardless of width (plus one checkpoint write):
 
 1. one aggregation measuring how many values of each string column parse as
    numbers (P-5);
@@ -8,8 +8,9 @@
    non-null counts and min/max (P-6 missingness and P-7 constancy);
 3. the rare-class count on the target (A-11).
 
-The cleaned frame itself stays lazy: it is the coerced projection, de-duplicated
-(one shuffle, map-side combined), minus the dropped columns.
+The de-duplicated frame (one shuffle, map-side combined) is checkpointed to
+the session's checkpoint folder, because both aggregations and every later
+step of a run read it; the result is that table minus the dropped columns.
 """
 
 from __future__ import annotations
@@ -153,7 +154,9 @@ def prepare(df: DataFrame, target: str | None = None, cfg: PrepConfig | None = N
     if cfg.coerce_numeric:
         out, rep.coerced_columns, rows = coerce_numeric(out, target)
     if cfg.drop_duplicates:
-        out = drop_duplicate_rows(out)
+        # the de-duplicated table feeds two aggregations here and every later step of a run:
+        # written once to the checkpoint folder (lineage cut, survives executor loss)
+        out = drop_duplicate_rows(out).checkpoint(eager=True)
     features = [c for c in out.columns if c != target]
     stats = column_presence(out, features)
     n_after = int(stats["__n"])
