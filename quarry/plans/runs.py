@@ -73,6 +73,22 @@ class RunResult:
         )
 
 
+from contextlib import contextmanager
+
+from pyspark import StorageLevel
+
+
+@contextmanager
+def persisted(*frames: DataFrame):
+    """Persist frames for the duration of a run (every step re-reads them), then release."""
+    held = [f.persist(StorageLevel.MEMORY_AND_DISK) for f in frames]
+    try:
+        yield held
+    finally:
+        for f in held:
+            f.unpersist()
+
+
 def _plans(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
@@ -123,13 +139,13 @@ def run_rule_baseline(df: DataFrame, target: str, key: list[str], cv: int = CV_F
                       seed: int = 42) -> RunResult:
     """O-2: split -> profile -> issues -> rule plan -> CV -> refit (no preparation step)."""
     t0 = time.perf_counter()
-    train, test = split(df, key, test_size, seed)
-    prof = build_profile(train, target)
-    issues = detect_issues(train, target, prof)
-    plan = _plans(rule_plan(issues, prof.target_type))
-    attempts = evaluate_plans(train, plan, target, key, prof.target_type, prof.dtypes(), cv, seed)
-    best = select_best(attempts).first()
-    model, test_metrics = fit_best(train, test, plan[0], target, key, prof.target_type)
+    with persisted(*split(df, key, test_size, seed)) as (train, test):
+        prof = build_profile(train, target)
+        issues = detect_issues(train, target, prof)
+        plan = _plans(rule_plan(issues, prof.target_type))
+        attempts = evaluate_plans(train, plan, target, key, prof.target_type, prof.dtypes(), cv, seed)
+        best = select_best(attempts).first()
+        model, test_metrics = fit_best(train, test, plan[0], target, key, prof.target_type)
     return RunResult("rule_based", uuid.uuid4().hex[:12], _best_dict(best), best["score"], best["metric_values"],
                      best["cv_std"], time.perf_counter() - t0, 1, attempts, model, test_metrics,
                      profile=prof, issues=issues)
@@ -144,10 +160,14 @@ def run_random_search(df: DataFrame, target: str, key: list[str], n_trials: int
     budget is used up (checked between plans), as the budgeted baseline does.
     """
     t0 = time.perf_counter()
-    train, test = split(df, key, test_size, seed)
+    with persisted(*split(df, key, test_size, seed)) as (train, test):
+        return _random_search(train, test, t0, target, key, n_trials, cv, seed, deadline_s, method)
+
+
+def _random_search(train, test, t0, target, key, n_trials, cv, seed, deadline_s, method) -> RunResult:
     prof = build_profile(train, target)
     task = prof.target_type
-    plans = _plans(sample_plans(search_space(df.sparkSession, task), n_trials, seed))
+    plans = _plans(sample_plans(search_space(train.sparkSession, task), n_trials, seed))
     dtypes = prof.dtypes()
     if deadline_s is None:
         attempts = evaluate_plans(train, plans, target, key, task, dtypes, cv, seed)
@@ -191,7 +211,13 @@ def run_predictive(df: DataFrame, target: str, key: list[str], max_rounds: int =
     spark = df.sparkSession
     run_id = uuid.uuid4().hex[:12]
     clean, prep_report = prepare(df, target, prep)
-    train, test = split(clean, key, 0.2, seed)
+    with persisted(*split(clean, key, 0.2, seed)) as (train, test):
+        return _predictive(spark, run_id, t0, train, test, target, key, max_rounds, n_plans, cv, score_threshold,
+                           min_improvement, log_path, memory_path, use_memory, seed, proposer, prep_report)
+
+
+def _predictive(spark, run_id, t0, train, test, target, key, max_rounds, n_plans, cv, score_threshold,
+                min_improvement, log_path, memory_path, use_memory, seed, proposer, prep_report) -> RunResult:
     prof = build_profile(train, target)
     task = prof.target_type
     issues = detect_issues(train, target, prof)
