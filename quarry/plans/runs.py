@@ -283,3 +283,25 @@ def run_exploratory(df: DataFrame, key: list[str], goal: str | None = None, meth
     summary = summarize_clusters(df, clusters.labels, key, feats) if clusters.labels is not None else None
     return {"profile": prof, "issues": issues, "questions": questions, "clusters": clusters,
             "cluster_summary": summary, "goal": goal, "runtime_secs": time.perf_counter() - t0}
+
+
+def run_from_goal(df: DataFrame, goal: str, key: list[str], target: str | None = None, **kw):
+    """G-8: route a plain-language goal to the exploratory or the predictive run.
+
+    The goal is routed against this table's columns (G-1..G-7); exploratory
+    goals run :func:`run_exploratory`, predictive goals need an explicit or a
+    resolved target column and run :func:`run_predictive`.
+    """
+    from quarry.operators.goals import route, route_goals
+    from quarry.operators.profile import profile_columns
+
+    spark = df.sparkSession
+    cols = [c for c in df.columns if c not in key]
+    prof = {r["column"]: r for r in profile_columns(df.select(*cols), with_values=True).collect()}
+    goals = spark.createDataFrame([(0, goal)], "goal_id int, text string")
+    task = route_goals(goals, cols, {c: r["dtype"] for c, r in prof.items()},
+                       {c: r["n_unique"] for c, r in prof.items()}).first()
+    mode, resolved = route(task, target)
+    if mode == "exploratory":
+        return mode, task, run_exploratory(df, key, goal)
+    return mode, task, run_predictive(df, resolved, key, **kw)

@@ -72,3 +72,17 @@ def test_feature_importance_names(spark):
     fi = feature_importance(m, m.transform(df)).collect()
     names = [r["feature"] for r in fi]
     assert "a" in names and "b" in names and all(not n.startswith("f") or n.startswith("f") and n in ("a", "b") for n in names[:2])
+
+
+def test_run_from_goal_routes(spark):
+    import pytest
+    from quarry.plans.runs import run_from_goal
+
+    df = _df(spark)
+    mode, task, out = run_from_goal(df, "explore natural groups in this table", ["id"])
+    assert mode == "exploratory" and out["issues"] is not None
+    mode, task, res = run_from_goal(df, "predict target from a and b", ["id"], cv=3, max_rounds=1, n_plans=1,
+                                    proposer=cheap)
+    assert mode == "predictive" and task["target"] == "target" and res.n_iterations == 1
+    with pytest.raises(ValueError):
+        run_from_goal(df.drop("target"), "predict the weather tomorrow", ["id"])
