@@ -30,6 +30,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint
+
 from quarry.functions.ranking import dense_codes
 from quarry.operators.prep import nonconstant_columns
 
@@ -206,9 +208,9 @@ def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samp
     for _ in range(max_rounds):
         prop = cc.join(labels.withColumnRenamed("__id", "__nid").withColumnRenamed("__lab", "__nl"), "__nid").groupBy(
             "__id").agg(F.min("__nl").alias("__m"))
-        new = labels.join(prop, "__id", "left").select(
+        new = checkpoint(labels.join(prop, "__id", "left").select(
             "__id", F.least(F.col("__lab"), F.coalesce("__m", F.col("__lab"))).alias("__lab")
-        ).checkpoint(eager=True)
+        ))
         changed = new.join(labels.withColumnRenamed("__lab", "__old"), "__id").where(F.col("__lab") != F.col("__old")).count()
         labels = new
         if changed == 0:
@@ -291,7 +293,7 @@ def discover_clusters(df: DataFrame, key: list[str], features: list[str], method
     if best is None:
         vec.unpersist()
         return Clustering(None, None, 0, None, None, cols, tried)
-    labels = best[3].checkpoint(eager=True)
+    labels = checkpoint(best[3])
     k_found = labels.where(F.col("cluster") >= 0).select("cluster").distinct().count()
     db = davies_bouldin(std.join(labels, key), cols)
     vec.unpersist()

@@ -19,6 +19,8 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint
+
 from quarry.functions.ranking import dense_codes
 from quarry.functions.stats import quantile_exprs
 
@@ -420,7 +422,7 @@ class IterativeImpute(Estimator, _Stage):
                     for w, o in zip(lr.coefficients, others):
                         pred = pred + F.lit(float(w)) * F.col(f"`{o}`")
                     cur = cur.withColumn(c, F.when(F.col(f"{c}__miss"), pred).otherwise(F.col(f"`{c}`")))
-                cur = cur.checkpoint(eager=True)
+                cur = checkpoint(cur)
                 now = cur.agg(*[F.avg(F.when(F.col(f"{c}__miss"), F.col(f"`{c}`"))).alias(c) for c in missing]).first()
                 if prev is not None and max(abs((now[c] or 0) - (prev[c] or 0)) for c in missing) < self.tol:
                     break

@@ -21,6 +21,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint
+
 # Fixed values.
 KNN_NEIGHBOURS = 5
 SMOTE_NEIGHBOURS = 5
@@ -97,14 +99,13 @@ def band_knn(receivers: DataFrame, donors: DataFrame, n_dims: int, anchors, k: i
             break
         stat = ranked.groupBy("rid", "j").agg(F.count(F.lit(1)).alias("__c"), F.max("dist").alias("__kd"))
         ok = stat.where((F.col("__c") >= k) & (F.col("__kd") <= radius)).select("rid", "j")
-        results.append(ranked.join(ok, ["rid", "j"], "left_semi").checkpoint(eager=True))
+        results.append(checkpoint(ranked.join(ok, ["rid", "j"], "left_semi")))
         done = ok.groupBy("rid").agg(F.collect_set("j").alias("__done"))
-        pending = (
+        pending = checkpoint(
             pending.join(done, "rid", "left")
             .withColumn("tgt", F.array_except("tgt", F.coalesce("__done", F.array().cast("array<int>"))))
             .drop("__done")
             .where(F.size("tgt") > 0)
-            .checkpoint(eager=True)
         )
         if pending.take(1) == []:
             break

@@ -19,6 +19,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from quarry.session import checkpoint
 from pyspark.sql import types as T
 
 from quarry.functions.dtypes import is_nested
@@ -156,7 +158,7 @@ def prepare(df: DataFrame, target: str | None = None, cfg: PrepConfig | None = N
     if cfg.drop_duplicates:
         # the de-duplicated table feeds two aggregations here and every later step of a run:
         # written once to the checkpoint folder (lineage cut, survives executor loss)
-        out = drop_duplicate_rows(out).checkpoint(eager=True)
+        out = checkpoint(drop_duplicate_rows(out))
     features = [c for c in out.columns if c != target]
     stats = column_presence(out, features)
     n_after = int(stats["__n"])

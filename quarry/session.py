@@ -51,3 +51,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path
+
+
+def checkpoint(df, eager: bool = True):
+    """``DataFrame.checkpoint`` into the session's checkpoint folder.
+
+    The folder comes from ``spark.checkpoint.dir`` (or one already set on the
+    context); a scratch folder is only created when neither exists (tests,
+    local runs).  Checkpoint files are reliable storage, so a lost executor
+    does not lose the materialised rows.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
