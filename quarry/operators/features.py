@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quarry.session import checkpoint
 
 from quarry.functions.ranking import dense_codes
-from quarry.functions.stats import quantile_exprs
+from quarry.functions.stats import column_quantiles
 
 # Fixed values.
 WINSOR_FACTOR = 1.5
@@ -123,11 +123,10 @@ class SimpleImpute(Estimator, _Stage):
         if not cols:
             return _FillModel({})
         if self.strategy == "mean":
-            exprs = [F.avg(_q(c)).alias(c) for c in cols]
-        else:
-            exprs = [quantile_exprs(_q(c), [0.5])[0].alias(c) for c in cols]
-        row = df.agg(*exprs).first()
-        return _FillModel({c: row[c] for c in cols})
+            row = df.agg(*[F.avg(_q(c)).alias(c) for c in cols]).first()
+            return _FillModel({c: row[c] for c in cols})
+        med = column_quantiles(df, cols, [0.5])
+        return _FillModel({c: (med[c][0] if med[c] else None) for c in cols})
 
 
 class MostFrequentImpute(Estimator, _Stage):
@@ -180,12 +179,12 @@ class Winsorizer(Estimator, _Stage):
         cols = self._present(df, self.cols)
         if not cols:
             return _ClipModel({})
-        row = df.agg(*[quantile_exprs(_q(c), [0.25, 0.75]).alias(c) for c in cols]).first()
+        qs = column_quantiles(df, cols, [0.25, 0.75])
         bounds = {}
         for c in cols:
-            if row[c] is None:
+            if qs[c] is None:
                 continue
-            q1, q3 = row[c]
+            q1, q3 = qs[c]
             iqr = q3 - q1
             bounds[c] = (q1 - self.factor * iqr, q3 + self.factor * iqr)
         return _ClipModel(bounds)
@@ -223,11 +222,13 @@ class Scaler(Estimator, _Stage):
         for c in cols:
             if self.kind == "standard":
                 exprs += [F.avg(_q(c)).alias(f"a::{c}"), F.stddev_pop(_q(c)).alias(f"b::{c}")]
-            elif self.kind == "robust":
-                exprs += [quantile_exprs(_q(c), [0.25, 0.5, 0.75]).alias(f"q::{c}")]
-            else:
+            elif self.kind == "minmax":
                 exprs += [F.min(_q(c)).alias(f"a::{c}"), F.max(_q(c)).alias(f"b::{c}")]
-        row = df.agg(*exprs).first()
+        if self.kind == "robust":
+            qs = column_quantiles(df, cols, [0.25, 0.5, 0.75])
+            row = {f"q::{c}": qs[c] for c in cols}
+        else:
+            row = df.agg(*exprs).first()
         params = {}
         for c in cols:
             if self.kind == "standard":

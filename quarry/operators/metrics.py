@@ -13,7 +13,7 @@ Everything is computed from small aggregated tables:
   buckets from an approximate quantile sketch, then a window inside each
   (group, bucket)), so no task holds all distinct scores of a fold;
 * log-loss, Brier and the regression errors are plain averages;
-* the median absolute error uses the exact ``percentile`` aggregate.
+* the median absolute error is selected exactly from per-fold value counts.
 
 "Positive" in binary tasks is the larger label in sort order.  Group columns
 are required (at least the fold); fold-level results are small tables.  Zero
@@ -26,7 +26,6 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.stats import median_expr
 
 # Fixed values of the scoring rule.
 CV_STD_PENALTY = 0.5
@@ -277,10 +276,10 @@ def regression_metrics(preds: DataFrame, groups: list[str], label: str = "label"
         F.count(F.lit(1)).alias("__n"),
         F.avg(err * err).alias("__mse"),
         F.avg(F.abs(err)).alias("mae"),
-        median_expr(F.abs(err)).alias("median_ae"),
         F.var_pop(err).alias("__ve"),
         F.avg(F.when(y != 0, F.abs(err / y))).alias("__mape"),
     )
+    m = m.join(group_medians(preds, groups, F.abs(err)), groups, "left")
     sst = F.col("__vy") * F.col("__n")
     return m.select(
         *groups,
@@ -294,6 +293,33 @@ def regression_metrics(preds: DataFrame, groups: list[str], label: str = "label"
     )
 
 
+def group_medians(preds: DataFrame, groups: list[str], x: Column) -> DataFrame:
+    """Exact median of ``x`` per group (``median_ae``) without the ``percentile`` aggregate.
+
+    Per-group value counts, then the histogram-descent selection of
+    :func:`quarry.functions.stats.exact_quantiles`; groups (folds x plans)
+    are a small table.
+    """
+    from pyspark import StorageLevel
+
+    from quarry.functions.stats import exact_quantiles
+
+    spark = preds.sparkSession
+    counts = preds.groupBy(*groups, x.alias("__v")).agg(F.count(F.lit(1)).alias("__c")).where(F.col("__v").isNotNull())
+    keys = [tuple(r) for r in preds.select(*groups).distinct().collect()]
+    ids = spark.createDataFrame([(i, *k) for i, k in enumerate(keys)], ["ordinal", *groups])
+    c = counts.join(F.broadcast(ids), groups).select("ordinal", F.col("__v").alias("v"), F.col("__c").alias("n")).persist(
+        StorageLevel.MEMORY_AND_DISK)
+    try:
+        st = c.groupBy("ordinal").agg(F.sum("n").alias("N"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        med = exact_quantiles(c, [(r["ordinal"], int(r["N"]), r["lo"], r["hi"]) for r in st], [0.5])
+    finally:
+        c.unpersist()
+    rows = [(*k, med.get((i, 0.5))) for i, k in enumerate(keys)]
+    schema = ", ".join(f"`{g}` {preds.schema[g].dataType.simpleString()}" for g in groups) + ", median_ae double"
+    return spark.createDataFrame(rows, schema)
+
+
 def task_metrics(preds: DataFrame, groups: list[str], task: str, classes: list | None = None, **kw) -> DataFrame:
     """Dispatch on task type.  ``groups`` must be non-empty (e.g. ``["fold"]``)."""
     if task == "binary":
