@@ -67,9 +67,7 @@ def band_knn(receivers: DataFrame, donors: DataFrame, n_dims: int, anchors, k: i
     n_d = stats["n"]
     spans = [(stats[f"hi{i}"] - stats[f"lo{i}"]) if stats[f"lo{i}"] is not None else 0.0 for i in range(len(anchors))]
     span = max(spans) if spans else 0.0
-    # start where a cell neighbourhood holds a few times k donors on average
-    frac = min(1.0, (4.0 * k / max(n_d, 1)) ** (1.0 / max(len(anchors), 1)))
-    radius = max(span * frac, 1e-9) if span > 0 else 1.0
+    radius = initial_radius(spans, n_d, k)
     donors_a = donors.where(have_d).persist(StorageLevel.MEMORY_AND_DISK)
     donors_na = donors.where(~have_d)
     pending = receivers.where(have_r)
@@ -122,6 +120,34 @@ def band_knn(receivers: DataFrame, donors: DataFrame, n_dims: int, anchors, k: i
     return _rank(merged.drop("rank"), k)
 
 
+def initial_radius(spans: list[float], n_donors: int, k: int) -> float:
+    """Radius whose band holds about 4k donors if they were spread evenly.
+
+    Expected share of donors within R on every anchor = prod min(1, 2R / span);
+    anchors of very different scale are handled (a narrow anchor stops
+    narrowing once R covers it).  Found by bisection.
+    """
+    live = [x for x in spans if x and x > 0]
+    if not live:
+        return 1.0
+    target = min(1.0, 4.0 * k / max(n_donors, 1))
+
+    def share(r):
+        out = 1.0
+        for x in live:
+            out *= min(1.0, 2.0 * r / x)
+        return out
+
+    lo, hi = 0.0, max(live)
+    for _ in range(100):
+        mid = (lo + hi) / 2
+        if share(mid) < target:
+            lo = mid
+        else:
+            hi = mid
+    return max(hi, 1e-12)
+
+
 def _all_band(pending: DataFrame, donors_a: DataFrame) -> DataFrame:
     """Final round: one bucket covers the whole anchor range (every donor is a candidate)."""
     return pending.withColumn("__b", F.lit(0)).join(donors_a.withColumn("__b", F.lit(0)), "__b").drop("__b")
