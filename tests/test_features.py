@@ -82,7 +82,6 @@ def test_knn_imputer_matches_brute_force(spark):
     rng = np.random.default_rng(3)
     X = rng.normal(size=(60, 3)).round(3)
     X[rng.random((60, 3)) < 0.15] = np.nan
-    X[:, 0] = np.where(np.isnan(X[:, 0]), 0.5, X[:, 0]) if False else X[:, 0]
     rows = [tuple(None if np.isnan(v) else float(v) for v in r) for r in X]
     df = spark.createDataFrame(rows, "a double, b double, c double")
     from quarry.operators.neighbors import KnnImpute
