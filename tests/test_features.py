@@ -119,3 +119,30 @@ def test_smote_balances_classes(spark):
     assert counts == {0.0: 40, 1.0: 40}
     xs = [r["features"][0] for r in out.where("label = 1.0").collect()]
     assert min(xs) >= 100.0 and max(xs) <= 107.0  # synthetic rows lie between class members
+
+
+def test_knn_grid_path_with_hot_anchor_matches_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    n = 80
+    a = np.where(rng.random(n) < 0.5, 1.0, rng.normal(size=n).round(3))  # hot value on half the rows
+    b = rng.normal(scale=50, size=n).round(2)  # a second anchor on a very different scale
+    c = rng.normal(size=n).round(3)
+    c[rng.random(n) < 0.3] = np.nan
+    X = np.column_stack([a, b, c])
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in X],
+                               "a double, b double, c double")
+    from quarry.operators.neighbors import KnnImpute
+
+    out = KnnImpute(["a", "b", "c"]).fit(df).transform(df).collect()
+    expect = []
+    for i, x in enumerate(X):
+        y = x.copy()
+        if np.isnan(x[2]):
+            cand = sorted((np.sqrt(3 / 2 * ((x[0] - X[d, 0]) ** 2 + (x[1] - X[d, 1]) ** 2)), d)
+                          for d in range(n) if not np.isnan(X[d, 2]))[:5]
+            y[2] = np.mean([X[d, 2] for _, d in cand])
+        expect.append(tuple(round(v, 9) for v in y))
+    got = sorted(tuple(round(v, 9) for v in (r["a"], r["b"], r["c"])) for r in out)
+    assert got == sorted(expect)
