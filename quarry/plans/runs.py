@@ -89,6 +89,33 @@ def persisted(*frames: DataFrame):
             f.unpersist()
 
 
+def domain_questions(df: DataFrame, issues: DataFrame, target: str | None, name: str = "data") -> DataFrame:
+    """I-8 with V-8: clarification questions using the vocabulary's column wording.
+
+    Column names are tagged (exact + fuzzy) and the 15 most frequent values
+    of string columns are scanned; the domain question is asked first when
+    the table's domain class is ambiguous.
+    """
+    from pyspark.sql import types as T
+
+    from quarry.operators.profile import top_values, value_counts_long
+    from quarry.operators.vocab import VALUE_TOP_N, catalog_of, column_questions, domain_question, table_domain, tag_columns
+
+    spark = df.sparkSession
+    feats = df.drop(target) if target else df
+    strings = [f.name for f in feats.schema.fields if isinstance(f.dataType, T.StringType)]
+    top = None
+    if strings:
+        sub = feats.select(*strings)
+        names = spark.createDataFrame([(i, c) for i, c in enumerate(strings)], "ordinal int, column_name string")
+        top = top_values(value_counts_long(sub), VALUE_TOP_N).join(F.broadcast(names), "ordinal").select(
+            F.lit(name).alias("table_name"), "column_name", "value")
+    tags = tag_columns(catalog_of({name: feats}), top)
+    dq = domain_question(table_domain(tags)).select("question").collect()
+    return clarification_questions(issues, target, domain_question=dq[0]["question"] if dq else None,
+                                   column_questions=column_questions(tags).drop("table_name"))
+
+
 def _plans(df: DataFrame) -> list[dict]:
     return [r.asDict() for r in df.collect()]
 
@@ -221,7 +248,7 @@ def _predictive(spark, run_id, t0, train, test, target, key, max_rounds, n_plans
     prof = build_profile(train, target)
     task = prof.target_type
     issues = detect_issues(train, target, prof)
-    questions = clarification_questions(issues, target)
+    questions = domain_questions(train, issues, target)
     fp = prof.fingerprint()
     memory = PlanMemory(spark, memory_path) if memory_path else None
     mem_plans = None
@@ -277,7 +304,7 @@ def run_exploratory(df: DataFrame, key: list[str], goal: str | None = None, meth
     t0 = time.perf_counter()
     prof = build_profile(df, None)
     issues = detect_issues(df, None, prof)
-    questions = clarification_questions(issues, None)
+    questions = domain_questions(df, issues, None)
     feats = [c for c, t in prof.dtypes().items() if t == "numeric" and c not in key]
     clusters = discover_clusters(df, key, feats, method=method)
     summary = summarize_clusters(df, clusters.labels, key, feats) if clusters.labels is not None else None

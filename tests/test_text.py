@@ -49,3 +49,15 @@ def test_goal_routing(spark):
     assert r[3]["mode"] == "predictive"
     assert r[4]["target"] is None and r[4]["confidence"] == "low"
     assert r[5]["target"] == "injury_days" and r[5]["task_type"] == "regression"
+
+
+def test_domain_wording_in_questions(spark):
+    from quarry.operators.issues import detect_issues
+    from quarry.plans.runs import domain_questions
+
+    rows = [(i, None if i < 50 else float(i), float(i)) for i in range(100)]
+    df = spark.createDataFrame(rows, "id int, minutes_played double, target double")
+    iss = detect_issues(df, "target")
+    q = {(r["issue_type"], r["affected_column"]): r["question"] for r in domain_questions(df, iss, "target").collect()}
+    assert "take part" in q[("high_missingness", "minutes_played")]  # playing-time wording, not the generic one
+    assert "before the outcome" in q[("leakage_candidate", "minutes_played")]  # no leakage template for this category
