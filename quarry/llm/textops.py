@@ -40,12 +40,15 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 def word_class(kind: str) -> np.ndarray:
     """bool[256]: 'space' words are runs without space and \\t..\\r; 'alnum' words
-    are runs of digits, ASCII letters and all bytes of non-ASCII characters."""
+    are runs of digits, ASCII letters and all bytes of non-ASCII characters;
+    'letters' words are those without digits."""
     c = np.arange(256)
     if kind == "space":
         return ~((c == 0x20) | ((c >= 0x09) & (c <= 0x0D)))
     if kind == "alnum":
         return ((c >= 0x30) & (c <= 0x39)) | ((c >= 0x41) & (c <= 0x5A)) | ((c >= 0x61) & (c <= 0x7A)) | (c >= 0x80)
+    if kind == "letters":
+        return ((c >= 0x41) & (c <= 0x5A)) | ((c >= 0x61) & (c <= 0x7A)) | (c >= 0x80)
     raise ValueError(f"unknown word class {kind!r}")
 
 
