@@ -7,10 +7,7 @@ less variance than with independent draws.  Ranks are taken in ascending
 rounds and a document stops as soon as no later rank can lower its signature.
 
 Signatures are cut into bands.  Texts with equal shingle sets are one node;
-nodes that share a band are candidates.  Each node is compared on its full set
-with two anchors of its buckets, and the links are grouped by union-find.
-Buckets that still hold several groups then compare all their nodes of
-different groups, in tiles, so no pair that shares a band is lost.
+nodes that X
 """
 
 from __future__ import annotations
@@ -27,15 +24,14 @@ from quarry.llm.textops import GOLDEN, U64, chunks, find_words, hash_words, mix6
 
 WIDTH = 5
 PERCENT = 75
-#: 51 bands of 5 of 256 positions: a pair at similarity 0.75 shares none with probability 1e-6.
-POSITIONS, ROWS = 256, 5
-BANDS = POSITIONS // ROWS
-#: Signature agreement below which a pair is not compared on its sets: 5.5 standard deviations under 0.75.
-AGREE = 0.60
+#: 51 bands of 5 positions: a pair at similarity 0.75 shares none with probability 1e-6.
+BANDS, ROWS = 51, 5
+#: All positions serve the estimate.  Below AGREE, 4.7 standard deviations under 0.75, a pair is not compared on its sets.
+POSITIONS, AGREE = 512, 0.66
 SLICE, TILE, PROBES = 100_000, 1024, 500
 
 
-def superminhash(x: np.ndarray, doc: np.ndarray, n_docs: int, positions: int = POSITIONS) -> np.ndarray:
+def superminhash(x: np.ndarray, doc: np.ndarray, n_docs: int, positions: int) -> np.ndarray:
     """uint64[n_docs, positions]: rank << 32 | fraction, the least over each document's elements.
 
     A document without elements keeps the largest value everywhere.
@@ -47,7 +43,7 @@ def superminhash(x: np.ndarray, doc: np.ndarray, n_docs: int, positions: int = P
         perm = np.tile(np.arange(positions, dtype=kind), (len(e), 1))
         row = np.arange(len(e))
         for j in range(positions):
-            u = mix64(e + U64(j + 1) * GOLDEN)
+            u = mix64(e + U64((j + 1) * int(GOLDEN) & (1 << 64) - 1))
             k = j + (((u >> U64(32)) * U64(positions - j)) >> U64(32)).astype(np.int64)
             place = perm[row, k]
             perm[row, k] = perm[row, j]
@@ -87,7 +83,7 @@ def _sketch(batches):
         n, digest, bands, sketch = [], [], [], []
         for _, _, sets in document_sets(batch.column("text")):
             sizes = np.array([len(s) for s in sets])
-            sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets))
+            sig = superminhash(np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes), len(sets), POSITIONS)
             keys, small = bands_of(sig), (mix64(sig) & U64(0xFF)).astype(np.uint8)
             for i, s in enumerate(sets):
                 n.append(len(s))
@@ -132,8 +128,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return dealt.select("anchor", "probe", "text").mapInArrow(_confirm, "a long, b long")
 
 
-def _tile_pairs(batches):
-    """Rows sorted by (key, i, j): pairs of different groups whose sizes and signatures allow a link."""
+def _tile_pairs(batches, nearest: bool = False):
+    """Rows sorted by (key, i, j): pairs of different groups whose sizes and signatures allow a link.
+
+    With ``nearest``, each node's pair with the best agreement in the tile only.
+    """
     held: list = []
 
     def flush():
@@ -142,30 +141,69 @@ def _tile_pairs(batches):
         node, comp, n, side = (np.array([r[k] for r in held]) for k in range(4))
         cross = held[0][5] != held[0][6]
         sk = np.frombuffer(b"".join(r[4] for r in held), np.uint8).reshape(len(held), -1)
+        bands = np.array([r[7] for r in held], np.int64)
+        own = int(np.flatnonzero(bands[0] == at[0])[0])
         found = []
+        best = np.full(len(held), AGREE - 1e-9)
+        mate = np.full(len(held), -1)
         for a in range(len(held) - 1):
             rest = slice(a + 1, None)
             fits = (comp[rest] != comp[a]) & (100 * np.minimum(n[rest], n[a]) >= PERCENT * np.maximum(n[rest], n[a]))
             if cross:
                 fits &= side[rest] != side[a]
-            at = np.flatnonzero(fits) + a + 1
-            if len(at):
-                at = at[(sk[at] == sk[a]).mean(1) >= AGREE]
-                found.extend((int(max(node[a], node[b])), int(min(node[a], node[b]))) for b in at)
+            other = np.flatnonzero(fits) + a + 1
+            if not nearest:  # in the first band that a pair shares
+                other = other[~(bands[other, :own] == bands[a, :own]).any(1)]
+            if len(other):
+                agree = (sk[other] == sk[a]).mean(1)
+                if nearest:
+                    better = agree > best[other]
+                    best[other[better]], mate[other[better]] = agree[better], a
+                    top = agree.argmax()
+                    if agree[top] > best[a]:
+                        best[a], mate[a] = agree[top], other[top]
+                else:
+                    found.extend((int(max(node[a], node[b])), int(min(node[a], node[b])), float(g)) for b, g in zip(other[agree >= AGREE], agree[agree >= AGREE], strict=True))
+        if nearest:
+            found = [(int(node[a]), int(node[mate[a]]), float(best[a])) for a in np.flatnonzero(mate >= 0)]
         return found
 
     at = None
     for batch in batches:
         out = []
-        c = [batch.column(x).to_pylist() for x in ("key", "i", "j", "node", "comp", "n", "side", "sketch")]
-        for key, i, j, node, comp, n, side, sketch in zip(*c, strict=True):
+        c = [batch.column(x).to_pylist() for x in ("key", "i", "j", "node", "comp", "n", "side", "sketch", "bands")]
+        for key, i, j, node, comp, n, side, sketch, bands in zip(*c, strict=True):
             if (key, i, j) != at:
                 out += flush()
                 held, at = [], (key, i, j)
-            held.append((node, comp, n, side, sketch, i, j))
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["probe", "anchor"])
-    out = flush()
-    yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["probe", "anchor"])
+            held.append((node, comp, n, side, sketch, i, j, bands))
+        yield _pair_batch(out)
+    yield _pair_batch(flush())
+
+
+def _pair_batch(out: list) -> pa.RecordBatch:
+    columns = [pa.array([p[k] for p in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+    return pa.RecordBatch.from_arrays(columns, names=["probe", "anchor", "agree"])
+
+
+def _nearest_in_tiles(batches):
+    yield from _tile_pairs(batches, nearest=True)
+
+
+def _open_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame, nearest: bool) -> DataFrame:
+    """(probe, anchor) of nodes that share a bucket, are in different groups and may be links: all, or each node's nearest."""
+    labelled = members.select("key", "node", "size").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    side = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    rest = labelled.join(open_keys, "key").select("key", "node", "comp", side.alias("side"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
+    rest = rest.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "comp", "side").join(nodes.select("node", "n", "sketch", "bands"), "node")
+    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = rest.select("key", "i", "j", "node", "comp", "n", "side", "sketch", "bands").mapInArrow(_nearest_in_tiles if nearest else _tile_pairs, "probe long, anchor long, agree double")
+    if nearest:
+        found = found.groupBy("probe").agg(F.max_by("anchor", "agree").alias("anchor"))
+        found = found.select(F.greatest("probe", "anchor").alias("probe"), F.least("probe", "anchor").alias("anchor"))
+    return found.select("probe", "anchor").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -188,28 +226,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     entries = nodes.select("node", F.explode("bands").alias("key"))
-    buckets = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("low"), F.max("node").alias("high")).where("size > 1")
-    members = staged(entries.join(buckets, "key"), "members")
-    near = members.groupBy("node").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    near = staged(near, "near")
+    sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = staged(entries.join(sizes, "key"), "shared")
+    # a group's centre shares the most buckets; it is the best first partner
+    ranked = shared.groupBy("node").agg(F.sum("size").alias("shares"))
+    ranked = shared.join(ranked, "node").select("key", "node", "size", F.struct("shares", "node").alias("rank"))
+    tops = ranked.groupBy("key").agg(F.max("rank").alias("top"))
+    members = staged(ranked.join(tops, "key").select("key", "node", "size", "top"), "members")
+    near = staged(members.groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("hub")), "near")
     wanted = near.select("node").join(nodes.select("node", "of"), "node").select("node", F.col("of.col1").alias("doc"), F.col("of.text_key").alias("text_key"))
     named = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text_key", "text")
     texts = staged(named.join(wanted, ["doc", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
 
-    pairs = near.select(F.col("node").alias("probe"), F.explode(F.array_distinct(F.array("low", "high"))).alias("anchor")).where("probe <> anchor")
+    pairs = near.select(F.col("node").alias("probe"), F.col("hub").alias("anchor")).where("probe <> anchor")
     links = staged(_confirmed(pairs, texts), "links")
     groups = staged(components(links), "groups")
-
-    labelled = members.select("key", "node", "size").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    open_keys = labelled.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    side = F.pmod(F.xxhash64("node"), tiles).cast("int")
-    rest = labelled.join(open_keys, "key").select("key", "node", "comp", side.alias("side"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    rest = rest.select("key", F.least("side", "other").alias("i"), F.greatest("side", "other").alias("j"), "node", "comp", "side").join(nodes.select("node", "n", "sketch"), "node")
-    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = rest.select("key", "i", "j", "node", "comp", "n", "side", "sketch").mapInArrow(_tile_pairs, "probe long, anchor long").distinct()
-    links = links.unionByName(staged(_confirmed(staged(more, "pairs"), texts), "links"))
-    groups = components(links)
+    for nearest in (True, False):
+        more = staged(_open_pairs(members, nodes, groups, nearest), "pairs")
+        links = links.unionByName(staged(_confirmed(more, texts), "links"))
+        groups = staged(components(links), "groups")
 
     names = nodes.select("node", "digest", "rep").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
