@@ -7,7 +7,11 @@ less variance than with independent draws.  Ranks are taken in ascending
 rounds and a document stops as soon as no later rank can lower its signature.
 
 Signatures are cut into bands.  Texts with equal shingle sets are one node;
-nodes that X
+nodes that share a band are candidates.  Each node is first compared, on its
+full set, with the centre of its buckets, then with its nearest node of another
+group; links are grouped by union-find in between.  Buckets that still hold
+several groups then compare all their nodes of different groups, in tiles, each
+pair in the first band it shares, so no pair that shares a band is lost.
 """
 
 from __future__ import annotations
