@@ -147,18 +147,18 @@ def _rx(patterns):
   CASE WHEN regexp_matches(lower(text), '{_rx(EXPLORATORY_PATTERNS)}') AND NOT regexp_matches(lower(text), '{_rx(PREDICTIVE_PATTERNS)}')
        THEN 'exploratory' ELSE 'predictive' END AS mode,
   trim(regexp_replace(trim(regexp_replace(lower(text), '{LEADING_VERB}', '')), '{TRAILING_CLAUSE}', '')) AS target_phrase
-FROM conversations WHERE role = 'user'""",
+FROM conversations""",
 )
 def q_goal_modes(spark, sf):
     """G-1, G-2: operating mode and target phrase of every user turn."""
-    c = table(spark, sf, "conversations").where(F.col("role") == "user")
+    c = table(spark, sf, "conversations")
     return c.select("conv_id", "turn", mode_expr(F.col("text")).alias("mode"), target_phrase(F.col("text")).alias("target_phrase"))
 
 
 @register("goal_routes_conversations")
 def q_goal_routes(spark, sf):
     """G-3..G-7: target column for every user turn against the lineitem columns (fuzzy part: no SQL twin)."""
-    c = table(spark, sf, "conversations").where(F.col("role") == "user").select(
+    c = table(spark, sf, "conversations").select(
         F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("goal_id"), "text"
     )
     li = table(spark, sf, "lineitem")

@@ -41,7 +41,6 @@ def pearson_expr(x: Column, y: Column) -> Column:
 
 HIST_BUCKETS = 1024
 RESOLVE_ROWS = 100_000  # a target is settled once its bucket holds at most this many distinct values
-MAX_DESCENT = 16
 
 
 def exact_quantiles(counts: DataFrame, specs: list[tuple], probs: list[float]) -> dict:
@@ -75,17 +74,31 @@ def exact_quantiles(counts: DataFrame, specs: list[tuple], probs: list[float]) -
             plan.append((ordinal, q, pos - f, ids))
     values = {}
     pending = set(targets)
-    for _ in range(MAX_DESCENT):
-        if not pending:
-            break
+    endless = {o for o, _, lo, hi in specs if abs(lo) == float("inf") or abs(hi) == float("inf")}
+    if endless:  # infinities stay outside the histogram, in buckets of their own
+        finite = counts.where(F.abs("v") < float("inf")).groupBy("ordinal").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
+        ranges = {r["ordinal"]: (r["lo"], r["hi"]) for r in finite}
+        for st in targets.values():
+            if st["ordinal"] in endless:
+                st["lo"], st["hi"] = ranges.get(st["ordinal"], (0.0, 0.0))
+                st["wide"] = True
+    # each round separates the ends of every open range, so it ends for any distribution
+    while pending:
         spec = spark.createDataFrame(
-            [(t, targets[t]["ordinal"], float(targets[t]["lo"]), float(targets[t]["hi"])) for t in sorted(pending)],
-            "tid int, ordinal int, lo double, hi double",
+            [(t, targets[t]["ordinal"], float(targets[t]["lo"]), float(targets[t]["hi"]), targets[t].pop("wide", False)) for t in sorted(pending)],
+            "tid int, ordinal int, lo double, hi double, wide boolean",
         )
         # targets are schema-sized (4 per numeric column): a bounded broadcast
-        j = counts.join(F.broadcast(spec), "ordinal").where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        width = (F.col("hi") - F.col("lo")) / HIST_BUCKETS
-        b = F.when(F.col("hi") > F.col("lo"), F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(HIST_BUCKETS - 1))).otherwise(0)
+        j = counts.join(F.broadcast(spec), "ordinal").where(((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))) | (F.col("wide") & (F.abs("v") == float("inf"))))
+        # halves, so that the range of any two doubles is finite
+        width = F.col("hi") / 2 - F.col("lo") / 2
+        part = F.least(F.floor((F.col("v") / 2 - F.col("lo") / 2) / width * HIST_BUCKETS), F.lit(HIST_BUCKETS - 1))
+        b = (
+            F.when(F.col("v") == float("inf"), HIST_BUCKETS)
+            .when(F.col("v") == float("-inf"), -1)
+            .when(width > 0, part)
+            .otherwise(F.when(F.col("v") > F.col("lo"), 1).otherwise(0))
+        )
         hist = j.groupBy("tid", b.cast("int").alias("b")).agg(
             F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("rows"), F.min("v").alias("bmin"), F.max("v").alias("bmax")
         ).collect()
@@ -125,13 +138,11 @@ def exact_quantiles(counts: DataFrame, specs: list[tuple], probs: list[float]) -
                 pending.discard(t)
     out = {}
     for ordinal, q, frac, ids in plan:
-        if any(i not in values for i in ids):
-            out[(ordinal, q)] = None
-        elif len(ids) == 1:
+        if len(ids) == 1:
             out[(ordinal, q)] = values[ids[0]]
         else:
             a, b = values[ids[0]], values[ids[1]]
-            out[(ordinal, q)] = a + frac * (b - a)
+            out[(ordinal, q)] = a if a == b else a + frac * (b - a)
     return out
 
 

@@ -30,6 +30,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.graph import connected_components
 from quarry.session import checkpoint
 
 from quarry.functions.ranking import dense_codes
@@ -185,8 +186,7 @@ def ward_merge(centroids: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray
     return out
 
 
-def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samples: int = DBSCAN_MIN_SAMPLES,
-           max_rounds: int = 50) -> DataFrame:
+def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samples: int = DBSCAN_MIN_SAMPLES) -> DataFrame:
     """C-4: exact DBSCAN labels ``(key..., cluster)`` with noise -1 (see module docstring)."""
     g = cols[:GRID_DIMS]
     pts = vec.select(*key, *cols).withColumn("__id", F.xxhash64(*key)).withColumn(
@@ -204,17 +204,11 @@ def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samp
     counts = edges.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"))
     core = counts.where(F.col("__n") >= min_samples).select("__id")
     cc = edges.join(core, "__id", "left_semi").join(core.withColumnRenamed("__id", "__nid"), "__nid", "left_semi")
-    labels = core.withColumn("__lab", F.col("__id"))
-    for _ in range(max_rounds):
-        prop = cc.join(labels.withColumnRenamed("__id", "__nid").withColumnRenamed("__lab", "__nl"), "__nid").groupBy(
-            "__id").agg(F.min("__nl").alias("__m"))
-        new = checkpoint(labels.join(prop, "__id", "left").select(
-            "__id", F.least(F.col("__lab"), F.coalesce("__m", F.col("__lab"))).alias("__lab")
-        ))
-        changed = new.join(labels.withColumnRenamed("__lab", "__old"), "__id").where(F.col("__lab") != F.col("__old")).count()
-        labels = new
-        if changed == 0:
-            break
+    # contraction rounds until no edge changes: chains of any length end in one label
+    joined = connected_components(cc.select(F.col("__id").alias("u"), F.col("__nid").alias("v")))
+    labels = core.join(joined.withColumnRenamed("node", "__id"), "__id", "left").select(
+        "__id", F.coalesce("comp", "__id").alias("__lab")
+    )
     border = edges.join(core, "__id", "left_anti").join(
         labels.withColumnRenamed("__id", "__nid"), "__nid"
     ).groupBy("__id").agg(F.min("__lab").alias("__lab"))

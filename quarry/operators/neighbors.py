@@ -246,26 +246,32 @@ def smote(df: DataFrame, label: str = "label", features: str = "features", k: in
     syn_parts = []
     for cls, n_c in counts.items():
         need = n_max - n_c
-        if need <= 0 or n_c < 2:
+        if need <= 0:
             continue
         members = arr.where(F.col(label) == cls).select(
             F.xxhash64(F.lit(seed), F.struct("__x")).cast("string").alias("rid"), F.col("__x").alias("rv")
-        ).dropDuplicates(["rid"])
+        ).groupBy("rid").agg(F.first("rv").alias("rv"), F.count(F.lit(1)).alias("__m"))
         dim = len(members.first()["rv"])
         donors = members.select(F.col("rid").alias("did"), F.col("rv").alias("dv"))
         recv = members.withColumn("tgt", F.array(F.lit(-1)))
-        nn = band_knn(recv, donors, dim, list(range(min(dim, GRID_ANCHORS))), k)
+        if members.count() > 1:
+            nn = band_knn(recv.drop("__m"), donors, dim, list(range(min(dim, GRID_ANCHORS))), k)
+        else:
+            nn = donors.limit(0).select(F.col("did").alias("rid"), F.lit(1).alias("rank"), "dv")
         nn_arr = nn.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("rank", "dv"))).alias("nns"))
         per, extra = divmod(need, n_c)
-        ranked = members.withColumn("__h", F.xxhash64("rid", F.lit(seed)))
+        # every row seeds, repeated vectors once for each of their rows
+        ranked = members.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
+        ranked = ranked.withColumn("__h", F.xxhash64("rid", "__copy", F.lit(seed)))
         from quarry.functions.ranking import dense_codes
 
         order = dense_codes(ranked.select("__h"), "__h", "__b")
         ranked = ranked.join(order, "__h")
         reps = ranked.withColumn("__n", F.lit(per) + F.when(F.col("__b") < extra, 1).otherwise(0)).where(F.col("__n") > 0)
-        gen = reps.join(nn_arr, "rid").withColumn("t", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
-        pick = (F.abs(F.xxhash64("rid", "t", F.lit("nn"), F.lit(seed))) % F.size("nns")).cast("int")
-        u = (F.abs(F.xxhash64("rid", "t", F.lit("u"), F.lit(seed))) % F.lit(1 << 30)) / float(1 << 30)
+        alone = F.array(F.struct(F.lit(1).alias("rank"), F.col("rv").alias("dv")))
+        gen = reps.join(nn_arr, "rid", "left").withColumn("nns", F.coalesce(F.col("nns").cast("array<struct<rank:int,dv:array<double>>>"), alone)).withColumn("t", F.explode(F.sequence(F.lit(0), F.col("__n") - 1)))
+        pick = (F.abs(F.xxhash64("rid", "__copy", "t", F.lit("nn"), F.lit(seed))) % F.size("nns")).cast("int")
+        u = (F.abs(F.xxhash64("rid", "__copy", "t", F.lit("u"), F.lit(seed))) % F.lit(1 << 30)) / float(1 << 30)
         gen = gen.withColumn("__nn", F.col("nns")[pick]["dv"]).withColumn("__u", u)
         new = gen.select(F.zip_with("rv", "__nn", lambda a, b: a + F.col("__u") * (b - a)).alias("__x"))
         syn_parts.append(new.withColumn(label, F.lit(cls)))

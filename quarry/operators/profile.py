@@ -263,7 +263,10 @@ def _profile_from_counts(df, counts, numeric, categorical, approx_quantiles):
 
 def duplicate_count(df: DataFrame) -> DataFrame:
     """D-2: rows minus distinct rows over all columns (NaN equals NaN, NULL equals NULL)."""
-    cols = [_q(f.name) for f in df.schema.fields if not isinstance(f.dataType, T.MapType)]
+    cols = [
+        nan_to_null(_q(f.name)).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else _q(f.name)
+        for f in df.schema.fields if not isinstance(f.dataType, T.MapType)
+    ]
     grouped = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("__n"))
     return grouped.agg(
         F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("long").alias("n_duplicates"),

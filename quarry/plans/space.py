@@ -168,7 +168,10 @@ def validate_proposals(docs: DataFrame, n: int, text_col: str = "doc", id_col: s
     rejected = verdict.where(F.col("reason").isNotNull())
     ok_docs = verdict.where(F.col("reason").isNull()).select("doc_id")
     accepted = checked.join(ok_docs, "doc_id", "left_semi").where(F.col("p").isNotNull())
-    params = F.map_filter(F.col("p"), lambda k, v: ~k.isin(*REQUIRED_FIELDS, "plan_id", "plain_language_explanation"))
+    loose = F.map_filter(F.col("p"), lambda k, v: ~k.isin(*REQUIRED_FIELDS, "plan_id", "plain_language_explanation", "model_params"))
+    nested = F.coalesce(F.from_json(F.col("p")["model_params"], "map<string,string>"), F.create_map().cast("map<string,string>"))
+    # a parameter named both inside and beside model_params takes the inner value
+    params = F.map_concat(F.map_filter(loose, lambda k, v: ~F.map_contains_key(nested, k)), nested)
     accepted = accepted.select(
         "doc_id",
         F.col("i").alias("position"),

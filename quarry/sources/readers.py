@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 FORMATS = {".csv": "csv", ".parquet": "parquet", ".pq": "parquet"}
 
@@ -38,7 +39,11 @@ def load_table(spark: SparkSession, path: str, schema=None) -> DataFrame:
     if schema is not None:
         reader = reader.schema(schema)
     if fmt == "csv":
-        return spread(reader.csv(path, header=True, inferSchema=schema is None))
+        if schema is None:
+            found = reader.csv(path, header=True, inferSchema=True).schema
+            temporal = (T.DateType, T.TimestampType, T.TimestampNTZType)
+            schema = T.StructType([T.StructField(f.name, T.StringType() if isinstance(f.dataType, temporal) else f.dataType) for f in found])
+        return spread(spark.read.schema(schema).csv(path, header=True))
     return spread(reader.parquet(path))
 
 

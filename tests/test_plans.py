@@ -63,6 +63,9 @@ def test_validate_proposals(spark):
     a = acc.collect()
     assert len(a) == 2 and len({r["plan_id"] for r in a}) == 2
     assert json.loads(a[0]["model_params"])["__explanation"] == "simple"
+    from quarry.operators.models import _params
+
+    assert _params({"model_params": a[0]["model_params"]}) == {"max_depth": "4"}
     reasons = {r["doc_id"]: r["reason"] for r in rej.collect()}
     assert reasons[2] == "invalid_json" and reasons[3].startswith("plan 0 missing fields") and reasons[4] == "zero_plans"
 

@@ -9,21 +9,22 @@ def _cat(spark, names, table="t"):
 
 
 def test_normalisation_and_exact_tags(spark):
-    tags = {r["column_name"]: r for r in tag_columns(_cat(spark, ["teamName", "minutes-played", "PTS", "assistant"]), fuzzy=False).collect()}
+    tags = {r["column_name"]: r for r in tag_columns(_cat(spark, ["teamName", "minutes-played", "PTS", "ordQty", "gradeless"]), fuzzy=False).collect()}
     assert tags["teamName"]["normalised"] == "team name" and tags["teamName"]["category"] == "entity"
     assert tags["minutes-played"]["category"] == "playing_time"
     assert tags["PTS"]["canonical"] == "points"
-    assert tags["assistant"]["match_kind"] is None  # 'assist' must not match inside 'assistant'
+    assert tags["ordQty"]["normalised"] == "order quantity" and tags["ordQty"]["canonical"] == "quantity"
+    assert tags["gradeless"]["match_kind"] is None  # 'grade' must not match inside a word
 
 
 def test_fuzzy_threshold(spark):
-    tags = {r["column_name"]: r for r in tag_columns(_cat(spark, ["rebounds_x", "xyzzy"])).collect()}
-    assert tags["xyzzy"]["match_kind"] is None
+    tags = {r["column_name"]: r for r in tag_columns(_cat(spark, ["throughputs", "xyzzy"])).collect()}
+    assert tags["xyzzy"]["match_kind"] is None and tags["throughputs"]["match_kind"] == "fuzzy"
 
 
 def test_value_scan_and_domain_thresholds(spark):
     names = [f"col{i}" for i in range(25)]
-    vals = spark.createDataFrame([("t", "col3", "Goalkeeper")], "table_name string, column_name string, value string")
+    vals = spark.createDataFrame([("t", "col3", "Machinery")], "table_name string, column_name string, value string")
     tags = tag_columns(_cat(spark, names), vals)
     d = table_domain(tags).first()
     assert abs(d["confidence"] - 0.5 / 25) < 1e-12 and d["detected_domain"] == "possible_sports"
@@ -38,17 +39,17 @@ def test_goal_routing(spark):
         (2, "Explore natural groups of players"),
         (3, "cluster the data and predict churn"),
         (4, "describe this table"),
-        (5, "what is the injury outlook"),
+        (5, "what revenue can we count on"),
     ], "goal_id int, text string")
-    cols = ["player_positions", "nation_position", "injury_days", "age"]
-    r = {x["goal_id"]: x for x in route_goals(goals, cols, {"injury_days": "numeric", "age": "numeric"},
-                                               {"injury_days": 16, "age": 15}).collect()}
+    cols = ["player_positions", "nation_position", "total_paid", "age"]
+    r = {x["goal_id"]: x for x in route_goals(goals, cols, {"total_paid": "numeric", "age": "numeric"},
+                                               {"total_paid": 16, "age": 15}).collect()}
     assert r[1]["mode"] == "predictive" and r[1]["target"] == "player_positions"
     assert r[1]["target_phrase"] == "player position" and r[1]["task_type"] == "classification"
     assert r[2]["mode"] == "exploratory"
     assert r[3]["mode"] == "predictive"
     assert r[4]["target"] is None and r[4]["confidence"] == "low"
-    assert r[5]["target"] == "injury_days" and r[5]["task_type"] == "regression"
+    assert r[5]["target"] == "total_paid" and r[5]["task_type"] == "regression"
 
 
 def test_domain_wording_in_questions(spark):
