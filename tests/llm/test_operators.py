@@ -208,7 +208,7 @@ def test_base_spans_and_disclosing_terms(spark):
     kinds = [(pii.KINDS[k], text[a:b]) for a, b, k, _ in pii.base_spans(text)]
     assert kinds == [("phone", "+1 (555) 010-9999"), ("email", "a.b+c@x-y.org"), ("ip", "10.0.0.25"), ("card", "4111 1111 1111 1111")]
     rows = [(i, f"the clerk Zarkolith wrote {words(3, i)[0]} to zed@x.org about {words(3, i + 50)[1]}") for i in range(5)]
-    rows += [(10 + i, "the clerk wrote about " + " ".join(words(20, i))) for i in range(400)] + [(900, None), (901, ""), (901, "")]
+    rows += [(10 + i, "the clerk wrote to some about " + " ".join(words(20, i))) for i in range(400)] + [(900, None), (901, ""), (901, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.doc_id: r for r in pii.find_spans(df).collect()}
     assert len(got) == 407 and got[0]["terms"][0].start == rows[0][1].index("Zarkolith") and len(got[0]["terms"]) == 1 and not got[20]["terms"]
