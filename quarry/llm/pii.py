@@ -11,6 +11,7 @@ generalised together with the identifiers.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -87,14 +88,22 @@ def _key(text: str) -> int:
 
 def context_terms(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, str, int, int]]:
     """(entity key, term, start, end) of the words near each entity, none of them inside an identifier."""
-    out, covered = [], [(a, b) for a, b, _, _ in spans]
+    out: list[tuple[int, str, int, int]] = []
+    starts, ends = [], []  # the identifiers' union
+    for a, b, _, _ in spans:
+        if ends and a <= ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
     for a, b, kind, value in spans:
         entity = _key(f"{KINDS[kind]}:{value}")
         lo, hi = max(0, a - REACH), min(len(text), b + REACH)
         before = [m for m in _WORD.finditer(text, lo, a) if m.start() > lo or lo == 0][-NEAR:]
         after = [m for m in _WORD.finditer(text, b, hi) if m.end() < hi or hi == len(text)][:NEAR]
         for m in before + after:
-            if not any(s < m.end() and m.start() < e for s, e in covered):
+            at = bisect_left(starts, m.end()) - 1
+            if at < 0 or ends[at] <= m.start():
                 out.append((entity, m[0], m.start(), m.end()))
     return out
 
