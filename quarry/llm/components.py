@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from quarry.session import checkpoint
 
+#: The edges of one node are dealt to so many tasks.
+SALTS = 32
+
 
 def _forest(batches):
     """Edges of one partition -> (u, v) with v the smallest node of u's tree here."""
@@ -35,13 +38,23 @@ def _forest(batches):
             yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in part], pa.int64()), pa.array([v for _, v in part], pa.int64())], names=["u", "v"])
 
 
+def _salted(rows: DataFrame, by: str) -> DataFrame:
+    return rows.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def _copied(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for every node of ``edges`` (two long columns); comp is the smallest node reachable.
 
     Each partition first reduces its edges to a spanning forest by union-find
     (its memory follows the partition, not the graph).  Large-star and
     small-star steps then join the forests until no edge changes, in a number
-    of rounds that grows with the logarithm of the graph.
+    of rounds that grows with the logarithm of the graph.  Minima are combined
+    map-side, and joins are salted: only nodes that change an edge are copied,
+    so the edges of a hub never meet in one task.
     """
     a, b = edges.columns
     e = checkpoint(edges.where(F.col(a) != F.col(b)).select(a, b).mapInArrow(_forest, "u long, v long").distinct())
@@ -51,11 +64,12 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        best = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(best, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # u > v on every edge: v gives way to its own least neighbour
+        least = _copied(e.groupBy("u").agg(F.min("v").alias("m"))).withColumnRenamed("u", "v")
+        large = _salted(e, "u").join(least, ["v", "salt"], "left").select("u", F.coalesce("m", "v").alias("v"))
+        best = large.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("most"))
+        several = _copied(best.where("m < most").select("u", "m"))
+        small = _salted(large, "v").join(several, ["u", "salt"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = checkpoint(small.unionByName(best.select("u", F.col("m").alias("v"))).distinct())
     tops = e.select(F.col("v").alias("node")).distinct().withColumn("comp", F.col("node"))
     return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionByName(tops)

@@ -247,8 +247,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = staged(components(links), "groups")
     for nearest in (True, False):
         more = staged(_open_pairs(members, nodes, groups, nearest), "pairs")
-        links = links.unionByName(staged(_confirmed(more, texts), "links"))
-        groups = staged(components(links), "groups")
+        links = staged(_confirmed(more, texts), "links")
+        known = groups.select(F.col("node").alias("a"), F.col("comp").alias("b"))  # one edge a node says what the earlier links said
+        groups = staged(components(links.unionByName(known)), "groups")
 
     names = nodes.select("node", "digest", "rep").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
