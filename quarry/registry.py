@@ -75,6 +75,7 @@ def _load_all() -> None:
         check_plans,
         check_text,
         check_cluster,
+        check_stages,
     )
 
 
