@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarry.checks.check_eval import LI_KEY
-from quarry.operators.cluster import davies_bouldin, discover_clusters, pca_projection, silhouette_sq, summarize_clusters
+from quarry.operators.cluster import davies_bouldin, dbscan, discover_clusters, pca_projection, silhouette_sq, summarize_clusters
 from quarry.registry import r6, register, table
 
 DIM = 64
@@ -100,6 +100,32 @@ def q_dbscan(spark, sf):
     return res.labels
 
 
+LINE_EPS, LINE_MIN = 25, 5
+LINE_X = "o_orderkey * 10 + CAST(round(o_totalprice * 100) AS BIGINT) % 97"
+
+#: On one axis DBSCAN is a window problem: cores by a range count, a cluster ends where the next core is farther than eps.
+LINE_SQL = f"""
+WITH p AS (SELECT o_orderkey AS id, {LINE_X} AS x FROM orders),
+n AS (SELECT *, count(*) OVER (ORDER BY x RANGE BETWEEN {LINE_EPS} PRECEDING AND {LINE_EPS} FOLLOWING) AS near FROM p),
+b AS (SELECT id, x, CASE WHEN x - lag(x) OVER (ORDER BY x, id) <= {LINE_EPS} THEN 0 ELSE 1 END AS starts
+      FROM n WHERE near >= {LINE_MIN}),
+g AS (SELECT id, x, sum(starts) OVER (ORDER BY x, id ROWS UNBOUNDED PRECEDING) AS grp FROM b),
+core AS (SELECT id, x, min(id) OVER (PARTITION BY grp) AS lab FROM g),
+border AS (SELECT n.id, min(core.lab) AS lab FROM n JOIN core ON core.x BETWEEN n.x - {LINE_EPS} AND n.x + {LINE_EPS}
+           WHERE near < {LINE_MIN} GROUP BY n.id),
+lab AS (SELECT id, lab FROM core UNION ALL SELECT id, lab FROM border),
+num AS (SELECT lab, row_number() OVER (ORDER BY lab) - 1 AS cluster FROM (SELECT DISTINCT lab FROM lab))
+SELECT p.id AS o_orderkey, CAST(coalesce(num.cluster, -1) AS INTEGER) AS cluster
+FROM p LEFT JOIN lab ON p.id = lab.id LEFT JOIN num ON lab.lab = num.lab"""
+
+
+@register("dbscan_labels_orders", LINE_SQL)
+def q_dbscan_line(spark, sf):
+    """C-4: DBSCAN labels of every order on one axis: chains, border rows and noise at a density that all sizes share."""
+    pts = table(spark, sf, "orders").select("o_orderkey", F.expr(LINE_X).cast("double").alias("x"))
+    return dbscan(pts, ["o_orderkey"], ["x"], float(LINE_EPS), LINE_MIN)
+
+
 @register("pca_points_customer")
 def q_pca(spark, sf):
     """C-9: 2-D PCA coordinates of the clustered rows."""

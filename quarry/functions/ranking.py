@@ -2,22 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import checkpoint
+
+#: ``monotonically_increasing_id`` keeps the partition above this bit and the row below it.
+PARTITION_BIT = 33
+
 
 def dense_codes(values: DataFrame, col: str, out: str = "code") -> DataFrame:
     """(value, code) with code = 0..n-1 in ascending value order.
 
-    The distinct values are range-partitioned and sorted by Spark, and
-    ``zipWithIndex`` assigns consecutive positions across partitions (one extra
-    job to count partition sizes); no task ever holds all values.
+    Spark range-partitions and sorts the distinct values; a code is the row's
+    place in its partition plus the sizes of the partitions before.  The
+    sorted values are checkpointed, so places and sizes come from the same
+    layout.  The size table has one row per partition, whatever the input.
     """
-    spark = values.sparkSession
-    dt = values.schema[col].dataType
-    srt = values.select(F.col(col)).where(F.col(col).isNotNull()).distinct().orderBy(col)
-    idx = srt.rdd.zipWithIndex().map(lambda t: (t[0][0], int(t[1])))
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField(col, dt), T.StructField(out, T.LongType())])
-    return spark.createDataFrame(idx, schema)
+    part, place = F.shiftright("__at", PARTITION_BIT), F.col("__at").bitwiseAND((1 << PARTITION_BIT) - 1)
+    values = values.select(F.col(col)).where(F.col(col).isNotNull()).distinct().orderBy(col)
+    placed = checkpoint(values.withColumn("__at", F.monotonically_increasing_id())).select(col, part.alias("__part"), place.alias("__place"))
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
+    return placed.join(F.broadcast(starts), "__part").select(col, (F.col("__start") + F.col("__place")).alias(out))

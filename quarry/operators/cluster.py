@@ -3,14 +3,14 @@
 * Input rows: numeric complete cases (P-3) of the non-constant columns (P-4),
   standardised with the population std (C-1).  Row identity = key columns.
 * k-means (C-2): ``ml.KMeans`` per k on one cached vector frame.
-* Ward (C-3), two-phase: ``KMeans`` to at most ``MICRO_CLUSTERS`` weighted
-  micro-clusters on Spark, then the Ward merge of those centroids (a bounded
+* Ward (C-3), two-phase at every size: ``KMeans`` to ``micro_clusters`` weighted
+  micro-clusters on Spark (an argument), then the Ward merge of those centroids (a bounded
   table, never the rows) on the driver, and the labels are joined back.
 * DBSCAN (C-4): grid cells of side eps on up to three leading dimensions; each
   row meets only rows of the 3^g adjacent cells, distances are checked
   exactly, core rows have >= min_samples neighbours (self included), core
-  components come from iterated min-label propagation over core-core edges
-  (lineage cut with ``checkpoint()`` each round), border rows take the
+  components come from star contraction of the core-core edges until none
+  changes (lineage cut with ``checkpoint()`` each round), border rows take the
   smallest adjacent core label, the rest is noise (-1).
 * Quality (C-5, C-6): the squared-Euclidean silhouette in linear time from
   per-cluster sufficient statistics (the exact Euclidean form needs all pairs
@@ -189,7 +189,7 @@ def ward_merge(centroids: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray
 def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samples: int = DBSCAN_MIN_SAMPLES) -> DataFrame:
     """C-4: exact DBSCAN labels ``(key..., cluster)`` with noise -1 (see module docstring)."""
     g = cols[:GRID_DIMS]
-    pts = vec.select(*key, *cols).withColumn("__id", F.xxhash64(*key)).withColumn(
+    pts = vec.select(*key, *cols).withColumn("__id", F.struct(*key)).withColumn(
         "__cell", F.array(*[F.floor(F.col(c) / eps).cast("long") for c in g])
     )
     offsets = [[]]
@@ -223,10 +223,12 @@ def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samp
 
 
 def discover_clusters(df: DataFrame, key: list[str], features: list[str], method: str = "auto", max_k: int = MAX_K,
-                      seed: int = SEED) -> Clustering:
+                      seed: int = SEED, micro_clusters: int = MICRO_CLUSTERS) -> Clustering:
     """C-7: pick the method (or the best by silhouette for "auto", ties in kmeans,
     hierarchical, dbscan order).  None when fewer than 20 complete rows or fewer
-    than two usable columns; a failing method is skipped."""
+    than two usable columns.  A failing method is skipped and its error kept as
+    (method, error text, None) among the candidates; when every method fails the
+    last error is raised."""
     if method not in ("auto", *METHOD_ORDER):
         raise ValueError(f"Unknown clustering method: '{method}'")
     spark = df.sparkSession
@@ -240,7 +242,7 @@ def discover_clusters(df: DataFrame, key: list[str], features: list[str], method
     std = standardise(keyed.select(*key, *cols), cols)
     vec = VectorAssembler(inputCols=cols, outputCol="features").transform(std).persist(StorageLevel.MEMORY_AND_DISK)
     ks = list(range(2, min(max_k, n // MIN_ROWS_PER_K) + 1))
-    tried, best = [], None
+    tried, best, failed = [], None, []
     methods = METHOD_ORDER if method == "auto" else [method]
     for m in methods:
         try:
@@ -252,7 +254,7 @@ def discover_clusters(df: DataFrame, key: list[str], features: list[str], method
                     if s is not None and (best is None or s > best[2]):
                         best = ("kmeans", k, s, lab.select(*key, "cluster"))
             elif m == "hierarchical":
-                micro_k = min(MICRO_CLUSTERS, n)
+                micro_k = min(micro_clusters, n)
                 mm, lab = _kmeans_labels(vec, micro_k, seed)
                 sizes = {r["cluster"]: r["count"] for r in lab.groupBy("cluster").count().collect()}
                 centers = mm.clusterCenters()
@@ -282,8 +284,12 @@ def discover_clusters(df: DataFrame, key: list[str], features: list[str], method
                     tried.append(("dbscan", eps, s))
                     if s is not None and (best is None or s > best[2]):
                         best = ("dbscan", eps, s, lab)
-        except Exception:  # noqa: BLE001 - a failing method is skipped, as specified
-            continue
+        except Exception as e:  # noqa: BLE001 - a failing method is skipped, as specified
+            failed.append(e)
+            tried.append((m, f"{type(e).__name__}: {e}"[:2000], None))
+    if len(failed) == len(methods):
+        vec.unpersist()
+        raise failed[-1]
     if best is None:
         vec.unpersist()
         return Clustering(None, None, 0, None, None, cols, tried)

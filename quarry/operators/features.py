@@ -404,9 +404,9 @@ class IterativeImpute(Estimator, _Stage):
     def _fit(self, df):
         cols = self._present(df, self.cols)
         stats = df.agg(*[F.avg(_q(c)).alias(f"m::{c}") for c in cols],
-                       *[F.count(_q(c)).alias(f"n::{c}") for c in cols]).first()
+                       *[F.count(_q(c)).alias(f"n::{c}") for c in cols], F.count(F.lit(1)).alias("n")).first()
         means = {c: stats[f"m::{c}"] for c in cols}
-        missing = sorted([c for c in cols if stats[f"n::{c}"] < df.count()], key=lambda c: -stats[f"n::{c}"])
+        missing = sorted([c for c in cols if stats[f"n::{c}"] < stats["n"]], key=lambda c: -stats[f"n::{c}"])
         coefs = {}
         if len(cols) >= 2 and missing:
             flags = [F.col(f"`{c}`").isNull().alias(f"{c}__miss") for c in missing]
@@ -463,9 +463,9 @@ def class_weight_column(df: DataFrame, label: str = "label", out: str = "weight"
 def factorize(df: DataFrame, cols: list[str]) -> DataFrame:
     """F-15: strings -> dense integer codes (as double) in value order; NULL -> -1.
 
-    Codes come from a distributed sort of each column's distinct values and
-    ``zipWithIndex`` (range-partitioned, no single-task window); the code
-    table is joined back by shuffle, sized by the distinct values.
+    Codes come from a distributed sort of each column's distinct values
+    (range-partitioned, no single-task window over the values); the code table
+    is joined back by shuffle, sized by the distinct values.
     """
     out = df
     for c in cols:

@@ -30,6 +30,11 @@ SEED = 42
 MAX_ROUNDS = 40
 
 
+def vector_id(x: Column) -> Column:
+    """128-bit text id of an array of doubles; equal vectors share it."""
+    return F.md5(F.array_join(F.transform(x, lambda v: v.cast("string")), ",", "null"))
+
+
 def nan_euclidean(x: Column, y: Column, n: int) -> Column:
     """sqrt(n / m * sum over the m coordinates present in both of squared differences); NULL if m = 0."""
     sq = F.zip_with(x, y, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), (a - b) * (a - b)))
@@ -111,8 +116,8 @@ def band_knn(receivers: DataFrame, donors: DataFrame, n_dims: int, anchors, k: i
     donors_a.unpersist()
     # rows lacking an anchor on either side are compared directly (exact)
     extra = [
-        _all_pairs_direct(receivers.where(~have_r), donors, n_dims),
-        _all_pairs_direct(receivers.where(have_r), donors_na, n_dims),
+        _all_pairs_direct(receivers.where(~have_r), donors, n_dims, k),
+        _all_pairs_direct(receivers.where(have_r), donors_na, n_dims, k),
     ]
     merged = results[0]
     for r in results[1:] + extra:
@@ -153,10 +158,10 @@ def _all_band(pending: DataFrame, donors_a: DataFrame) -> DataFrame:
     return pending.withColumn("__b", F.lit(0)).join(donors_a.withColumn("__b", F.lit(0)), "__b").drop("__b")
 
 
-def _all_pairs_direct(receivers: DataFrame, donors: DataFrame, n_dims: int) -> DataFrame:
-    """Rows lacking the anchor meet every row of the other side (exact; sized by those rows)."""
+def _all_pairs_direct(receivers: DataFrame, donors: DataFrame, n_dims: int, k: int) -> DataFrame:
+    """Rows lacking the anchor meet every row of the other side (exact; sized by those rows); the k best are kept per task first."""
     cand = receivers.withColumn("__b", F.lit(0)).join(donors.withColumn("__b", F.lit(0)), "__b").drop("__b")
-    return _rank(_score(cand, n_dims), None, rank=False)
+    return _rank(_score(cand, n_dims), k)
 
 
 def _score(cand: DataFrame, n_dims: int) -> DataFrame:
@@ -166,9 +171,7 @@ def _score(cand: DataFrame, n_dims: int) -> DataFrame:
     return c.where(ok & F.col("dist").isNotNull() & (F.col("rid") != F.col("did"))).select("rid", "j", "did", "dist", "dv")
 
 
-def _rank(scored: DataFrame, k: int | None, rank: bool = True) -> DataFrame:
-    if not rank or k is None:
-        return scored.withColumn("rank", F.lit(None).cast("int"))
+def _rank(scored: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("rid", "j").orderBy("dist", "did")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -185,7 +188,7 @@ class _KnnModel(Model):
         # (a hot duplicated row costs one receiver, and the join back is skew-split by AQE)
         rv = F.array(*[F.col(f"`{c}`").cast("double") if c in cols else F.lit(None).cast("double") for c in self.cols])
         tgt = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(i)) for i, c in zip(idx, cols)]), lambda x: x.isNotNull())
-        base = df.withColumn("rv", rv).withColumn("tgt", tgt).withColumn("rid", F.concat(F.lit("r"), F.xxhash64("rv").cast("string")))
+        base = df.withColumn("rv", rv).withColumn("tgt", tgt).withColumn("rid", F.concat(F.lit("r"), vector_id(F.col("rv"))))
         receivers = base.where(F.size("tgt") > 0).select("rid", "rv", "tgt").dropDuplicates(["rid"])
         nn = band_knn(receivers, self.donors, len(self.cols), self.anchor, self.k)
         fills = nn.groupBy("rid", "j").agg(F.avg(F.col("dv")[F.col("j")]).alias("v"))
@@ -215,15 +218,16 @@ class KnnImpute(Estimator):
     def _fit(self, df):
         cols = [c for c in self.cols if c in df.columns]
         stats = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n::{c}") for c in cols],
-                       *[F.avg(F.col(f"`{c}`")).alias(f"m::{c}") for c in cols]).first()
-        # complete columns carry the grid (each gives a lower bound of the distance);
-        # without one, the single most complete column is the (1-D) band
-        n_rows = df.count()
-        complete = [i for i, c in enumerate(cols) if stats[f"n::{c}"] == n_rows]
+                       *[F.avg(F.col(f"`{c}`")).alias(f"m::{c}") for c in cols],
+                       *[F.stddev_pop(F.col(f"`{c}`")).alias(f"s::{c}") for c in cols], F.count(F.lit(1)).alias("n")).first()
+        # the complete columns of the widest spread carry the grid (each gives a lower bound of
+        # the distance); without one, the single most complete column is the (1-D) band
+        complete = [i for i, c in enumerate(cols) if stats[f"n::{c}"] == stats["n"]]
+        complete.sort(key=lambda i: -(stats[f"s::{cols[i]}"] or 0.0))
         anchor = complete[:GRID_ANCHORS] or [max(range(len(cols)), key=lambda i: (stats[f"n::{cols[i]}"], -i))]
         dv = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
         # identical donor vectors share an id; ties among them are interchangeable (same values)
-        donors = df.select(F.concat(F.lit("d"), F.xxhash64(dv).cast("string")).alias("did"), dv.alias("dv"))
+        donors = df.select(F.concat(F.lit("d"), vector_id(dv)).alias("did"), dv.alias("dv"))
         means = {c: stats[f"m::{c}"] for c in cols}
         return _KnnModel(donors, cols, anchor, means, self.k)
 
@@ -249,7 +253,7 @@ def smote(df: DataFrame, label: str = "label", features: str = "features", k: in
         if need <= 0:
             continue
         members = arr.where(F.col(label) == cls).select(
-            F.xxhash64(F.lit(seed), F.struct("__x")).cast("string").alias("rid"), F.col("__x").alias("rv")
+            vector_id(F.col("__x")).alias("rid"), F.col("__x").alias("rv")
         ).groupBy("rid").agg(F.first("rv").alias("rv"), F.count(F.lit(1)).alias("__m"))
         dim = len(members.first()["rv"])
         donors = members.select(F.col("rid").alias("did"), F.col("rv").alias("dv"))
@@ -262,7 +266,7 @@ def smote(df: DataFrame, label: str = "label", features: str = "features", k: in
         per, extra = divmod(need, n_c)
         # every row seeds, repeated vectors once for each of their rows
         ranked = members.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__m"))))
-        ranked = ranked.withColumn("__h", F.xxhash64("rid", "__copy", F.lit(seed)))
+        ranked = ranked.withColumn("__h", F.struct(F.xxhash64("rid", "__copy", F.lit(seed)), "rid", "__copy"))
         from quarry.functions.ranking import dense_codes
 
         order = dense_codes(ranked.select("__h"), "__h", "__b")

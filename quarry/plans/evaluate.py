@@ -106,13 +106,12 @@ def evaluate_plans(df: DataFrame, plans: list[dict], target: str, key: list[str]
     try:
         for pos, plan in enumerate(plans):
             t0 = time.perf_counter()
-            err = None
+            err = preds = None
             try:
                 preds = cv_predictions(folded, plan, feats, task, classes, cv).persist(StorageLevel.MEMORY_AND_DISK)
                 per_fold = task_metrics(preds, ["fold"], task, classes=list(range(len(classes))) if classes else None,
                                         **({"score": "score"} if task == "binary" else {}))
                 summary = fold_average(per_fold.withColumn("__all", F.lit(1)), ["__all"], task).first().asDict()
-                preds.unpersist()
                 names = {"binary": BINARY_METRICS, "multiclass": MULTICLASS_METRICS, "regression": REGRESSION_METRICS}[task]
                 metrics = {m: summary[m] for m in names if summary[m] is not None}
                 cv_std = summary["cv_std"] or 0.0
@@ -123,6 +122,9 @@ def evaluate_plans(df: DataFrame, plans: list[dict], target: str, key: list[str]
                 err = f"{type(e).__name__}: {e}"[:2000]
                 metrics, cv_std, score = {}, 0.0, float("-inf")
                 traceback.format_exc()
+            finally:
+                if preds is not None:
+                    preds.unpersist()
             runtime = time.perf_counter() - t0
             rows.append(_attempt_row(plan, score, metrics, cv_std, runtime, err, pos))
     finally:
