@@ -114,8 +114,20 @@ def q_target_encoding(spark, sf):
     """F-13: smoothed per-category target means (m = 10)."""
     d = docs_train(spark, sf).select("source", F.col("quality").cast("double").alias("label"))
     m = FE.TargetEncode(["source"], "label").fit(d)
-    t, small = m.tables["source"]
-    return t.select(F.col("__v").alias("source"), r6(F.col("__te0")).alias("encoding"))
+    return m.tables["source"].select(F.col("__v").alias("source"), r6(F.col("__te0")).alias("encoding"))
+
+
+@register("target_encoded_rows_documents", """
+WITH t AS (SELECT d.source, CAST(l.quality AS DOUBLE) AS y FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+p AS (SELECT avg(y) AS prior FROM t),
+e AS (SELECT source, (sum(y) + 10.0 * prior) / (count(*) + 10.0) AS enc FROM t, p GROUP BY source, prior)
+SELECT d.doc_id, R6(coalesce(e.enc, (SELECT prior FROM p))) AS encoding FROM documents d LEFT JOIN e ON d.source = e.source""")
+def q_target_encoded_rows(spark, sf):
+    """F-13: the fitted encoding on every document, labelled or not; unseen sources get the prior."""
+    train = docs_train(spark, sf).select("source", F.col("quality").cast("double").alias("label"))
+    m = FE.TargetEncode(["source"], "label").fit(train)
+    rows = m.transform(table(spark, sf, "documents").select("doc_id", "source"))
+    return rows.select("doc_id", r6(F.col("source__te0")).alias("encoding"))
 
 
 @register("factorize_part", """

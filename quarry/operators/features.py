@@ -23,6 +23,7 @@ from quarry.session import checkpoint
 
 from quarry.functions.ranking import dense_codes
 from quarry.functions.stats import column_quantiles
+from quarry.operators.persist import Saved
 
 # Fixed values.
 WINSOR_FACTOR = 1.5
@@ -43,9 +44,11 @@ class _Stage:
         return [c for c in cols if c in have]
 
 
-class InfToNull(Transformer, _Stage):
+class InfToNull(Transformer, Saved, _Stage):
     """F-1: +-inf and NaN -> NULL, result double."""
 
+    SAVED = ("cols",)
+
     def __init__(self, cols):
         super().__init__()
         self.cols = list(cols)
@@ -58,7 +61,9 @@ class InfToNull(Transformer, _Stage):
         )
 
 
-class _DropModel(Model):
+class _DropModel(Model, Saved):
+    SAVED = ("drop",)
+
     def __init__(self, drop):
         super().__init__()
         self.drop = list(drop)
@@ -97,7 +102,9 @@ class DropConstant(Estimator, _Stage):
         return _DropModel([c for c in cols if not (row[c] is not None and row[c] > 0)])
 
 
-class _FillModel(Model):
+class _FillModel(Model, Saved):
+    SAVED = ("values",)
+
     def __init__(self, values):
         super().__init__()
         self.values = dict(values)
@@ -151,7 +158,9 @@ class MostFrequentImpute(Estimator, _Stage):
         return _FillModel({r["c"]: r["v"] for r in top})
 
 
-class _ClipModel(Model):
+class _ClipModel(Model, Saved):
+    SAVED = ("bounds",)
+
     def __init__(self, bounds):
         super().__init__()
         self.bounds = dict(bounds)
@@ -190,10 +199,12 @@ class Winsorizer(Estimator, _Stage):
         return _ClipModel(bounds)
 
 
-class _AffineModel(Model):
-    def __init__(self, params):
+class _AffineModel(Model, Saved):
+    SAVED = ("affine",)
+
+    def __init__(self, affine):
         super().__init__()
-        self.affine = dict(params)  # column -> (shift, scale)
+        self.affine = dict(affine)  # column -> (shift, scale)
 
     def _transform(self, df):
         return df.select(
@@ -245,7 +256,9 @@ class Scaler(Estimator, _Stage):
         return _AffineModel(params)
 
 
-class _OrdinalModel(Model):
+class _OrdinalModel(Model, Saved):
+    SAVED = ("inner", "cols")
+
     def __init__(self, inner, cols):
         super().__init__()
         self.inner, self.cols = inner, list(cols)
@@ -274,7 +287,9 @@ class OrdinalEncode(Estimator, _Stage):
         return _OrdinalModel(si.fit(df), cols)
 
 
-class _OneHotModel(Model):
+class _OneHotModel(Model, Saved):
+    SAVED = ("indexer", "encoder", "cols")
+
     def __init__(self, indexer, encoder, cols):
         super().__init__()
         self.indexer, self.encoder, self.cols = indexer, encoder, list(cols)
@@ -304,10 +319,9 @@ class OneHotEncode(Estimator, _Stage):
         return _OneHotModel(si, enc, cols)
 
 
-BROADCAST_ROWS = 100_000  # category tables up to this size are collected once and broadcast
-
+class _TargetEncModel(Model, Saved):
+    SAVED = ("tables", "prior", "cols", "classes")
 
-class _TargetEncModel(Model):
     def __init__(self, tables, prior, cols, classes):
         super().__init__()
         self.tables, self.prior, self.cols, self.classes = tables, prior, list(cols), classes
@@ -315,9 +329,7 @@ class _TargetEncModel(Model):
     def _transform(self, df):
         out = df
         for c in self.cols:
-            t, small = self.tables[c]
-            if small is not None:
-                t = F.broadcast(df.sparkSession.createDataFrame(small, t.schema))
+            t = self.tables[c]
             out = out.join(t, out[f"`{c}`"].eqNullSafe(t["__v"]), "left").drop("__v")
             for k, p in enumerate(self.prior):
                 out = out.withColumn(f"{c}__te{k}", F.coalesce(F.col(f"__te{k}"), F.lit(p))).drop(f"__te{k}")
@@ -328,9 +340,8 @@ class TargetEncode(Estimator, _Stage):
     """F-13: smoothed target mean per category, (sum_y + m * prior) / (n + m).
 
     Binary/regression: one column; multiclass: one column per class.  The
-    per-category table has one row per distinct category: tables whose row
-    count is checked to be at most ``BROADCAST_ROWS`` are collected once and
-    broadcast, larger ones stay distributed and are joined by shuffle.
+    per-category table has one row per distinct category; it is checkpointed
+    and stays a DataFrame, whose measured size decides how it is joined.
     Cross-fitting of the training rows is not done (documented difference).
     """
 
@@ -355,12 +366,13 @@ class TargetEncode(Estimator, _Stage):
                 "__v",
                 *[((F.col(f"__s{k}") + self.m * prior[k]) / (F.col("__n") + self.m)).alias(f"__te{k}") for k in range(len(targets))],
             )
-            head = t.limit(BROADCAST_ROWS + 1).collect()
-            tables[c] = (t, head if len(head) <= BROADCAST_ROWS else None)
+            tables[c] = checkpoint(t)
         return _TargetEncModel(tables, prior, cols, self.classes)
 
 
-class _AssembleModel(Model):
+class _AssembleModel(Model, Saved):
+    SAVED = ("inputs", "output")
+
     def __init__(self, inputs, output):
         super().__init__()
         self.inputs, self.output = inputs, output
@@ -418,7 +430,7 @@ class IterativeImpute(Estimator, _Stage):
                     va = VectorAssembler(inputCols=others, outputCol="__x")
                     train = va.transform(cur.where(~F.col(f"{c}__miss")))
                     lr = LinearRegression(featuresCol="__x", labelCol=c, regParam=1e-6, solver="normal").fit(train)
-                    coefs[c] = (list(lr.coefficients), lr.intercept, others)
+                    coefs[c] = ([float(w) for w in lr.coefficients], lr.intercept, others)
                     pred = F.lit(lr.intercept)
                     for w, o in zip(lr.coefficients, others):
                         pred = pred + F.lit(float(w)) * F.col(f"`{o}`")
@@ -431,7 +443,9 @@ class IterativeImpute(Estimator, _Stage):
         return _IterativeModel(means, coefs, missing)
 
 
-class _IterativeModel(Model):
+class _IterativeModel(Model, Saved):
+    SAVED = ("means", "coefs", "order")
+
     def __init__(self, means, coefs, order):
         super().__init__()
         self.means, self.coefs, self.order = means, coefs, order

@@ -31,6 +31,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import functions as F
 
 from quarry.operators import features as FE
+from quarry.operators.persist import Saved
 
 CLASSIFIERS = ["logistic_regression", "random_forest", "gradient_boosting", "xgboost", "lightgbm"]
 REGRESSORS = ["linear_regression", "ridge", "random_forest", "gradient_boosting", "xgboost", "lightgbm"]
@@ -57,9 +58,11 @@ def _params(plan) -> dict:
     return {k: v for k, v in raw.items() if not str(k).startswith("__")}
 
 
-class _FittedModel(Model):
+class _FittedModel(Model, Saved):
     """Wraps a fitted Spark model and normalises its outputs to prediction/probs."""
 
+    SAVED = ("inner", "task", "n_classes")
+
     def __init__(self, inner, task, n_classes):
         super().__init__()
         self.inner, self.task, self.n_classes = inner, task, n_classes

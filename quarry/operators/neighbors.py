@@ -21,6 +21,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.persist import Saved
 from quarry.session import checkpoint
 
 # Fixed values.
@@ -176,7 +177,9 @@ def _rank(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-class _KnnModel(Model):
+class _KnnModel(Model, Saved):
+    SAVED = ("donors", "cols", "anchor", "means", "k")
+
     def __init__(self, donors, cols, anchor, means, k):
         super().__init__()
         self.donors, self.cols, self.anchor, self.means, self.k = donors, cols, anchor, means, k

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.ranking import dense_codes
 from quarry.operators.metrics import BINARY_METRICS, MULTICLASS_METRICS, REGRESSION_METRICS
+from quarry.session import checkpoint
 
 ALL_METRICS = list(dict.fromkeys(BINARY_METRICS + MULTICLASS_METRICS + REGRESSION_METRICS))
 MISSING_CHART_THRESHOLD = 0.30
@@ -88,27 +90,65 @@ def run_summary_row(dataset: DataFrame, run: DataFrame) -> DataFrame:
     return dataset.withColumn("__k", F.lit(1)).join(r, "__k").drop("__k")
 
 
-MAX_FACT_ROWS = 10_000  # report sections are summaries; larger frames are refused, not truncated
-
-
 def report_facts(sections: dict[str, DataFrame]) -> DataFrame:
-    """S-11: (section, ord, key, value) facts from named summary frames; NULL/NaN values skipped.
+    """S-11: (section, ord, key, value) facts from named frames; NULL and NaN values are skipped.
 
-    Sections are summaries (one row per column, issue, cluster or metric), so
-    each is collected under a checked size bound and laid out in row order.
+    ``ord`` counts the rows of a section from 0 in the frame's order; values
+    are in Spark's text form.  Sections of any size stay DataFrames: one union,
+    numbered by one distributed sort.
+    """
+    parts = []
+    for i, (name, df) in enumerate(sections.items()):
+        facts = [
+            F.struct(F.lit(c).alias("key"), (F.nanvl(F.col(f"`{c}`"), F.lit(None)) if t in ("double", "float") else F.col(f"`{c}`")).cast("string").alias("value"))
+            for c, t in df.dtypes
+        ]
+        at = F.struct(F.lit(i).alias("section_no"), F.monotonically_increasing_id().alias("row"))
+        parts.append(df.select(F.lit(name).alias("section"), at.alias("at"), F.array(*facts).alias("facts")))
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    return _numbered(checkpoint(rows)).select("section", "ord", F.explode("facts").alias("fact")).select("section", "ord", "fact.*").where("value is not null")
+
+
+def _numbered(rows: DataFrame) -> DataFrame:
+    coded = rows.join(dense_codes(rows, "at", "code"), "at")
+    first = coded.groupBy("section").agg(F.min("code").alias("first"))
+    return coded.join(first, "section").withColumn("ord", (F.col("code") - F.col("first")).cast("int"))
+
+
+def run_facts(result, clusters=None, cluster_summary: DataFrame | None = None, spark=None) -> DataFrame:
+    """S-11 for one run: overview, classes, issues, clusters, strategy, performance and questions.
+
+    ``result`` has ``profile``, ``issues`` and ``questions`` and, for a
+    predictive run, the best plan and its metrics.  Absent parts have no rows.
     """
-    spark = next(iter(sections.values())).sparkSession
-    rows = []
-    for name, df in sections.items():
-        got = df.limit(MAX_FACT_ROWS + 1).collect()
-        if len(got) > MAX_FACT_ROWS:
-            raise ValueError(f"section {name!r} has more than {MAX_FACT_ROWS} rows; report facts take summaries")
-        for i, r in enumerate(got):
-            for k, v in r.asDict().items():
-                if v is None or (isinstance(v, float) and v != v):
-                    continue
-                rows.append((name, i, k, str(v)))
-    return spark.createDataFrame(rows, "section string, ord int, key string, value string")
+    get = result.get if isinstance(result, dict) else lambda name, default=None: getattr(result, name, default)
+    prof, issues, questions = get("profile"), get("issues"), get("questions")
+    spark = spark or (issues if issues is not None else get("attempts")).sparkSession
+    table = prof.to_frame(spark)
+    sections = {"overview": table.select("n_rows", "n_cols", "target_column", "target_type", "n_duplicates")}
+    if prof.class_distribution:
+        sections["class_distribution"] = table.select(F.explode("class_distribution").alias("class", "share")).orderBy("class")
+    if issues is not None:
+        sections["quality"] = issues.agg(F.count(F.lit(1)).alias("n_issues"), F.count_if(F.col("severity") == "high").alias("n_high"), F.count_if(F.col("severity") == "medium").alias("n_medium"))
+        for severity in ("high", "medium"):
+            sections[f"issues_{severity}"] = issues.where(F.col("severity") == severity)
+    if clusters is not None and clusters.labels is not None:
+        sections["cluster_quality"] = clusters.quality(spark)
+        if cluster_summary is not None:
+            sections["clusters"] = cluster_summary.orderBy("cluster", "rank")
+    plan = get("best_plan")
+    if plan:
+        keys = [k for k in plan if plan[k] is not None]
+        sections["strategy"] = spark.createDataFrame([tuple(str(plan[k]) for k in keys)], ", ".join(f"`{k}` string" for k in keys))
+        values = {**(get("metric_values") or {}), "cv_std": get("cv_std"), "composite": get("score")}
+        values |= {f"test_{k}": v for k, v in (get("test_metrics") or {}).items() if v is not None}
+        scores = spark.createDataFrame([(k, float(v)) for k, v in values.items()], "metric string, value double")
+        sections["performance"] = scores.select("metric", F.round("value", 4).alias("value"))
+    if questions is not None:
+        sections["questions"] = questions
+    return report_facts(sections)
 
 
 def missingness_chart(columns: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ from quarry.operators.metrics import PRIMARY, task_metrics
 from quarry.operators.models import build_pipeline
 from quarry.operators.prep import PrepConfig, prepare
 from quarry.operators.profile import profile as build_profile
+from quarry.plans.compare import run_facts
 from quarry.plans.evaluate import evaluate_plans, label_index, select_best
 from quarry.plans.space import propose, rule_plan, sample_plans, search_space
 from quarry.sources.attempt_log import AttemptLog
@@ -60,6 +61,10 @@ class RunResult:
     issues: DataFrame | None = None
     extra: dict = field(default_factory=dict)
 
+    def facts(self) -> DataFrame:
+        """S-11: the report facts of this run."""
+        return run_facts(self)
+
     def summary(self, spark) -> DataFrame:
         """1-row run summary (best plan, score, metrics)."""
         return spark.createDataFrame(
@@ -308,8 +313,9 @@ def run_exploratory(df: DataFrame, key: list[str], goal: str | None = None, meth
     feats = [c for c, t in prof.dtypes().items() if t == "numeric" and c not in key]
     clusters = discover_clusters(df, key, feats, method=method)
     summary = summarize_clusters(df, clusters.labels, key, feats) if clusters.labels is not None else None
-    return {"profile": prof, "issues": issues, "questions": questions, "clusters": clusters,
-            "cluster_summary": summary, "goal": goal, "runtime_secs": time.perf_counter() - t0}
+    out = {"profile": prof, "issues": issues, "questions": questions, "clusters": clusters,
+           "cluster_summary": summary, "goal": goal}
+    return {**out, "facts": run_facts(out, clusters, summary), "runtime_secs": time.perf_counter() - t0}
 
 
 def run_from_goal(df: DataFrame, goal: str, key: list[str], target: str | None = None, **kw):
