@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections import Counter
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +36,6 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 COVERAGE = 0.8
-#: Template words further apart in a text than this belong to different notices.
-GAP = 6
-#: Longest text run that one alignment takes, in template lengths; longer runs are aligned in overlapping windows.
-RUN = 4
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -91,49 +88,100 @@ def patience(text: list[int], template: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
-def align(words: list[int], template: list[int]) -> tuple[float, int, int]:
-    """(coverage, first, past the last aligned word): the best of the windows of a run of words."""
-    size = RUN * len(template)
-    best = (0.0, 0, 0)
-    for lo in range(0, max(1, len(words) - size // 2), max(1, size // 2)):
-        part = words[lo : lo + size]
-        pairs = patience(part, template)
-        if pairs:
-            share = len(pairs) / len(template)
-            if share > best[0]:
-                best = (share, lo + pairs[0][0], lo + pairs[-1][0] + 1)
-    return best
-
-
-def notices(words: list[int], templates: list[tuple[str, list[int]]], least: float = COVERAGE) -> list[tuple[str, float, int, int]]:
-    """(template, coverage, first word, past the last) of every notice in a run of words, from the left; each stretch of words is used once."""
+def _ends(words: list[int], template: list[int], a: int, need: int) -> list[tuple[int, int]]:
+    """(bound, past the last word) of the stretches from ``a`` that may hold ``need`` aligned words: the longest common subsequence bounds them; highest bound first, then shortest."""
+    masks: dict[int, int] = {}
+    for i, w in enumerate(template):
+        masks[w] = masks.get(w, 0) | 1 << i
+    full = (1 << len(template)) - 1
+    row, out = full, []
+    for b in range(a, min(len(words), a + 2 * len(template))):
+        mask = masks.get(words[b])
+        if mask:
+            both = row & mask
+            row = ((row + both) | (row - both)) & full
+            bound = len(template) - row.bit_count()
+            if bound >= need:
+                out.append((bound, b + 1))
+    return sorted(out, key=lambda x: (-x[0], x[1]))
+
+
+def notices(words: list[int], templates: list[tuple[str, list[int]]], least: float = COVERAGE, starts: list[list[int]] | None = None) -> list[tuple[str, float, int, int]]:
+    """(template, coverage, first word, past the last) of every notice in a text, from the left; each word is used once.
+
+    Every stretch of at most twice the template's words that its alignment
+    begins and ends is tried, the one with the most aligned words first, then
+    the highest coverage, the first template, the shortest, the leftmost.
+    ``starts`` lists for each template the only words at which one can begin.
+    """
     out = []
-    have = Counter(words)
-    ranges = [(0, len(words))]
-    able = [(n, t) for n, t in templates if sum(min(c, have[w]) for w, c in Counter(t).items()) >= least * len(t)]
-    while ranges:
-        lo, hi = ranges.pop()
-        found = None
-        for name, t in able:
-            if hi - lo >= least * len(t):
-                c, a, b = align(words[lo:hi], t)
-                if c >= least and b - a <= 2 * len(t):
-                    rank = (c * len(t), c)
-                    if found is None or rank > found[0]:
-                        found = (rank, name, c, lo + a, lo + b)
-        if found:
-            _, name, c, a, b = found
-            out.append((name, c, a, b))
-            ranges += [(lo, a), (b, hi)]
+    used = bytearray(len(words))
+    needs = [_need(least, t) for _, t in templates]
+    queue: list[tuple] = []  # one stretch of each start not yet aligned, and aligned ones (k < 0)
+
+    def put(i, a, k):
+        t = templates[i][1]
+        ends = _ends(words, t, a, needs[i])
+        if k < len(ends):
+            n, b = ends[k]
+            heappush(queue, (-n, -n / len(t), i, b - a, a, k))
+
+    for i, (_, t) in enumerate(templates):
+        own = set(t)
+        for a in range(len(words)) if starts is None else starts[i]:
+            if words[a] in own:
+                put(i, a, 0)
+    while queue:
+        n, c, i, size, a, k = heappop(queue)
+        name, t = templates[i]
+        if used.find(1, a, a + needs[i]) >= 0:
+            continue
+        free = used.find(1, a, a + size) < 0
+        if free and k < 0:
+            out.append((name, -c, a, a + size))
+            used[a : a + size] = b"\1" * size
+        if k >= 0:
+            if free:
+                pairs = patience(words[a : a + size], t)
+                if len(pairs) >= needs[i] and pairs[0][0] == 0 and pairs[-1][0] == size - 1:
+                    heappush(queue, (-len(pairs), -len(pairs) / len(t), i, size, a, -1))
+            put(i, a, k + 1)
     return sorted(out, key=lambda x: x[2])
 
 
+def _need(least: float, template: list[int]) -> int:
+    """The fewest aligned words that cover the template."""
+    n = len(template)
+    return max(1, next(k for k in range(n + 2) if k > n or k / n >= least))
+
+
+def _starts(at: np.ndarray, ids: np.ndarray, template: list[int], need: int) -> np.ndarray:
+    """Places (of ``at``, ascending) from which twice the template's words hold ``need`` of its words, each as often as there."""
+    size = 2 * len(template)
+    own = np.flatnonzero(np.isin(ids, template))
+    if len(own) < need:
+        return at[:0]
+    place = at[own]
+    dense = np.flatnonzero(place[need - 1 :] - place[: len(own) - need + 1] < size)
+    if not len(dense):
+        return at[:0]
+    first = place[dense]
+    before = np.searchsorted(first, place, side="right") - 1
+    near = (before >= 0) & (place - first[np.maximum(before, 0)] < size)
+    place, ids = place[near], ids[own][near]
+    held = np.zeros(len(first), np.int64)
+    for w, most in Counter(template).items():
+        p = place[ids == w]
+        held += np.minimum(most, np.searchsorted(p, first + size) - np.searchsorted(p, first))
+    return first[held >= need]
+
+
 def _scan(templates: dict[str, str], least: float):
     def run(batches):
         hashed = [(name, hash_list([w for w in [t]], "alnum").tolist()) for name, t in templates.items()]
         vocabulary = np.array(sorted({w for _, t in hashed for w in t}), np.uint64)
         numbered = [(name, np.searchsorted(vocabulary, np.array(t, np.uint64)).tolist()) for name, t in hashed]
-        shortest = min((least * len(t) for _, t in numbered), default=1)
+        apart = 2 * max((len(t) for _, t in numbered), default=0)
         for batch in batches:
             n_words, found = [], []
             for lo, hi, data, bounds in chunks(batch.column("text")):
@@ -142,18 +190,19 @@ def _scan(templates: dict[str, str], least: float):
                 ids = np.minimum(np.searchsorted(vocabulary, h), max(0, len(vocabulary) - 1))
                 at = np.flatnonzero(vocabulary[ids] == h) if len(vocabulary) else np.zeros(0, np.int64)
                 doc = np.searchsorted(first, at, side="right") - 1
-                new = np.ones(len(at), bool)
-                new[1:] = (np.diff(at) > GAP) | (doc[1:] != doc[:-1])
-                begin = np.flatnonzero(new)
-                stop = np.append(begin[1:], len(at))
                 per: dict[int, list] = {}
-                for a, b in zip(begin.tolist(), stop.tolist(), strict=True):
-                    if b - a >= shortest:
-                        d = int(doc[a])
-                        base, end = int(at[a]), int(at[b - 1]) + 1
-                        run_ids = np.where(vocabulary[ids[base:end]] == h[base:end], ids[base:end], -1).tolist()
-                        for name, c, x, y in notices(run_ids, numbered, least):
-                            per.setdefault(d, []).append({"license": name, "coverage": c, "start": base + x - int(first[d]), "end": base + y - int(first[d])})
+                begin: dict[int, list[list[int]]] = {}
+                for i, (_, t) in enumerate(numbered):
+                    if not t:
+                        continue
+                    wide = _starts(at + doc * apart, ids[at], t, _need(least, t))  # no window reaches the next document
+                    k = np.searchsorted(at + doc * apart, wide)
+                    for d, a in zip(doc[k].tolist(), at[k].tolist(), strict=True):
+                        begin.setdefault(d, [[] for _ in numbered])[i].append(a - int(first[d]))
+                for d, own in begin.items():
+                    base, end = int(first[d]), int(first[d + 1])
+                    run_ids = np.where(vocabulary[ids[base:end]] == h[base:end], ids[base:end], -1).tolist()
+                    per[d] = [{"license": name, "coverage": c, "start": x, "end": y} for name, c, x, y in notices(run_ids, numbered, least, own)]
                 for d in range(hi - lo):
                     n_words.append(int(first[d + 1] - first[d]))
                     found.append(per.get(d, []))
@@ -168,9 +217,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least:
     """Other columns of ``docs`` plus n_words and notices (license, coverage, start, end in words).
 
     A notice is a stretch of words, no longer than twice its template, whose
-    alignment covers at least ``least`` of the template; where templates
-    overlap, the one with more aligned words wins, then the higher coverage,
-    then the first listed.  Null and empty texts have none; repeated notices
+    alignment covers at least ``least`` of the template and begins and ends
+    it; where stretches overlap, the one with more aligned words wins, then the
+    higher coverage, the first template listed, the shorter, the one further left.  Null and empty texts have none; repeated notices
     are listed each.
     """
     clash = {"n_words", "notices"} & set(docs.columns)

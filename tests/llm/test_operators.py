@@ -288,6 +288,54 @@ def test_patience_and_notices(spark):
     assert [n.license for n in got[5]] == ["all-rights-reserved"] * 3 and not got[3] and not got[4] and not got[6] and not got[7]
 
 
+def brute_notices(words, templates, least=0.8):
+    stretches = []
+    for i, (name, t) in enumerate(templates):
+        for a in range(len(words)):
+            for b in range(a + 1, min(len(words), a + 2 * len(t)) + 1):
+                pairs = licenses.patience(words[a:b], t)
+                if len(pairs) / len(t) >= least and (pairs[0][0], pairs[-1][0]) == (0, b - a - 1):
+                    stretches.append((-len(pairs), -len(pairs) / len(t), i, b - a, a, name))
+    out, used = [], set()
+    for _, c, _, size, a, name in sorted(stretches):
+        if not used & set(range(a, a + size)):
+            used |= set(range(a, a + size))
+            out.append((name, -c, a, a + size))
+    return sorted(out, key=lambda x: x[2])
+
+
+def test_notices_against_brute_force():
+    r = random.Random(7)
+    templates = [("a", [0, 1, 2, 3, 4]), ("b", [5, 1, 2, 6, 2, 7, 8]), ("c", [9, 8, 7])]
+    hits = 0
+    for _ in range(300):
+        text = [r.choice([*range(10), -1, -1]) for _ in range(r.randint(0, 25))]
+        for _ in range(r.randint(0, 3)):
+            t = [w for w in r.choice(templates)[1] if r.random() < 0.95]
+            at = r.randint(0, len(text))
+            text[at:at] = t
+        want = brute_notices(text, templates)
+        hits += len(want)
+        assert licenses.notices(text, templates) == want
+        at = np.flatnonzero(np.array(text) >= 0)
+        starts = [licenses._starts(at, np.array(text, np.int64)[at], t, licenses._need(0.8, t)).tolist() for _, t in templates]
+        assert licenses.notices(text, templates, starts=starts) == want
+    assert hits > 200
+
+
+def test_stray_words_do_not_hide_notices(spark):
+    gpl = licenses.TEMPLATES["gpl-3.0-header"]
+    far = "the of or it and to " * 10
+    apart = gpl.replace("redistribute", "redistribute " + "blah " * 12)
+    rows = [(1, "This code is released under the MIT license. You can find a copy of the full license."), (2, "This " + far + gpl), (3, apart), (4, "x"), (5, gpl + " " + far + "version")]
+    got = {r.doc_id: r.notices for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(n.license, n.coverage, n.start, n.end) for n in got[1]] == [("mit", 1.0, 3, 8)]
+    n = len(re.findall(r"[A-Za-z0-9]+", gpl))
+    assert [(x.license, x.coverage, x.start, x.end) for x in got[2]] == [("gpl-3.0-header", 1.0, 61, 61 + n)]
+    assert [n.license for n in got[3]] == ["gpl-3.0-header"] and not got[4]
+    assert [(x.license, x.coverage, x.start, x.end) for x in got[5]] == [("gpl-3.0-header", 1.0, 0, n)]
+
+
 def test_pipeline_on_small_tables(spark, scratch):
     import corpus_pipeline
 
