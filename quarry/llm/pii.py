@@ -5,7 +5,9 @@ each value is a protected entity.  The words near an entity are its context.
 Over the whole corpus, the pointwise mutual information of term and entity and
 the share of the term's documents that hold the entity in its context tell how
 strongly the term gives the entity away.  Terms beyond both thresholds are
-generalised together with the identifiers.
+generalised together with the identifiers, wherever they stand: far from the
+entity and in documents without it too.  Only co-occurrence is counted in the
+context; a term that never stands near an entity does not disclose it.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ NEAR, REACH = 10, 200
 SUPPORT, SHARE, BITS = 3, 0.5, 6.0
 #: Terms a task counts before it hands its counts on.
 FLUSH = 1_000_000
+#: Disclosing terms that one pass over the texts marks (8 MB); more of them are marked in further passes.
+PASS_TERMS = 1_000_000
 
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -86,55 +90,91 @@ def _key(text: str) -> int:
     return int.from_bytes(xxhash.xxh3_64_digest(text.encode()), "big", signed=True)
 
 
-def context_terms(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, str, int, int]]:
-    """(entity key, term, start, end) of the words near each entity, none of them inside an identifier."""
-    out: list[tuple[int, str, int, int]] = []
-    starts, ends = [], []  # the identifiers' union
+def _union(spans: list[tuple[int, int, int, str]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the identifiers' union."""
+    starts, ends = [], []
     for a, b, _, _ in spans:
         if ends and a <= ends[-1]:
             ends[-1] = max(ends[-1], b)
         else:
             starts.append(a)
             ends.append(b)
+    return starts, ends
+
+
+def _outside(a: int, b: int, starts: list[int], ends: list[int]) -> bool:
+    at = bisect_left(starts, b) - 1
+    return at < 0 or ends[at] <= a
+
+
+def context_terms(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, str]]:
+    """(entity key, term) of the words near each entity, none of them inside an identifier."""
+    out: list[tuple[int, str]] = []
+    starts, ends = _union(spans)
     for a, b, kind, value in spans:
         entity = _key(f"{KINDS[kind]}:{value}")
         lo, hi = max(0, a - REACH), min(len(text), b + REACH)
         before = [m for m in _WORD.finditer(text, lo, a) if m.start() > lo or lo == 0][-NEAR:]
         after = [m for m in _WORD.finditer(text, b, hi) if m.end() < hi or hi == len(text)][:NEAR]
-        for m in before + after:
-            at = bisect_left(starts, m.end()) - 1
-            if at < 0 or ends[at] <= m.start():
-                out.append((entity, m[0], m.start(), m.end()))
+        out += [(entity, m[0]) for m in before + after if _outside(m.start(), m.end(), starts, ends)]
     return out
 
 
 SPAN = ArrayType(StructType([StructField("kind", LongType()), StructField("start", LongType()), StructField("end", LongType())]))
-NEAR_TERM = ArrayType(StructType([StructField(n, LongType()) for n in ("entity", "term", "start", "end")]))
+_SPAN = pa.list_(pa.struct([(n, pa.int64()) for n in ("kind", "start", "end")]))
+
+
+def _texts(column):
+    """(chunk, document's place in it, text) of the texts that may hold a base span: those with a digit or @."""
+    for lo, hi, data, bounds in chunks(column):
+        hot = np.flatnonzero(((data - np.uint8(48)) < 10) | (data == 64))
+        some = np.searchsorted(hot, bounds[1:]) > np.searchsorted(hot, bounds[:-1])
+        yield lo, hi, data, bounds, {int(d): data[bounds[d] : bounds[d + 1]].tobytes().decode() for d in np.flatnonzero(some)}
 
 
-def _find(text_kept: bool):
+def _contexts(batches):
+    """The (entity, term) pairs of each document with any."""
+    near = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "term")]))
+    for batch in batches:
+        found = []
+        for *_, texts in _texts(batch.column("_text")):
+            found += [t for text in texts.values() if (t := context_terms(text, base_spans(text)))]
+        keys = iter(hash_list([w for t in found for _, w in t], "letters").view(np.int64).tolist())
+        pairs = [[{"entity": e, "term": t} for e, t in sorted({(e, next(keys)) for e, _ in t})] for t in found]
+        yield pa.RecordBatch.from_arrays([pa.array(pairs, near)], names=["near"])
+
+
+def _marker(terms, first: bool, text_kept: bool):
+    """Adds base and terms (``first``), or more terms: every word, outside identifiers, whose hash is in ``terms``."""
+
     def run(batches):
-        span = pa.list_(pa.struct([(n, pa.int64()) for n in ("kind", "start", "end")]))
-        near = pa.list_(pa.struct([(n, pa.int64()) for n in ("entity", "term", "start", "end")]))
+        known = terms.value
         for batch in batches:
-            spans, terms = [], []
-            for lo, hi, data, bounds in chunks(batch.column("_text")):
-                # only texts with a digit or @ can hold a base span
-                hot = np.flatnonzero(((data - np.uint8(48)) < 10) | (data == 64))
-                some = np.searchsorted(hot, bounds[1:]) > np.searchsorted(hot, bounds[:-1])
-                found = []
-                for d in range(hi - lo):
-                    s = t = ()
-                    if some[d]:
-                        text = data[bounds[d] : bounds[d + 1]].tobytes().decode()
-                        s = base_spans(text)
-                        t = context_terms(text, s)
-                    spans.append([{"kind": k, "start": a, "end": b} for a, b, k, _ in s])
-                    found.append(t)
-                keys = iter(hash_list([w for t in found for _, w, _, _ in t], "letters").view(np.int64).tolist())
-                terms += [[{"entity": e, "term": next(keys), "start": a, "end": b} for e, _, a, b in t] for t in found]
-            names = [n for n in batch.schema.names if text_kept or n != "_text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(spans, span), pa.array(terms, near)], names=[*names, "base", "near"])
+            base = [] if first else batch.column("base").to_pylist()
+            marks = [] if first else batch.column("terms").to_pylist()
+            for lo, hi, data, bounds, texts in _texts(batch.column("_text")):
+                if first:
+                    held = [base_spans(texts[d]) if d in texts else [] for d in range(hi - lo)]
+                    base += [[{"kind": k, "start": a, "end": b} for a, b, k, _ in s] for s in held]
+                    marks += [[] for _ in held]
+                else:
+                    held = [[(s["start"], s["end"], s["kind"], "") for s in spans] for spans in base[lo:hi]]
+                starts, ends, word = find_words(data, bounds, "letters")
+                h = hash_words(data, starts, ends).view(np.int64)
+                hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h) if len(known) else np.zeros(0, np.int64)
+                if not len(hit):
+                    continue
+                doc = np.searchsorted(word, hit, side="right") - 1
+                point = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
+                a, b = (point[x[hit]] - point[bounds[doc]] for x in (starts, ends))
+                cut = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])).tolist() + [len(doc)]
+                for x, y in zip(cut[:-1], cut[1:], strict=True):
+                    d = int(doc[x])
+                    union = _union(held[d])
+                    new = [{"kind": KINDS.index("term"), "start": p, "end": q} for p, q in zip(a[x:y].tolist(), b[x:y].tolist(), strict=True) if _outside(p, q, *union)]
+                    marks[lo + d] = sorted(marks[lo + d] + new, key=lambda s: s["start"])
+            names = [n for n in batch.schema.names if n not in ("base", "terms") and (text_kept or n != "_text")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(base, _SPAN), pa.array(marks, _SPAN)], names=[*names, "base", "terms"])
 
     return run
 
@@ -169,13 +209,14 @@ def _word_counts(batches):
 def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     """(entity, term) pairs in which the term discloses the entity, from corpus counts.
 
-    ``found`` has near, the context terms of each document; ``texts`` has
-    _text, all documents.  Counts are of documents.  With n documents, a pair
+    ``found`` has near, the distinct (entity, term) pairs of each document with
+    any; ``texts`` has _text, all documents.  A pair is common to a document
+    where the term stands in the entity's context (NEAR words, REACH characters).  Counts are of documents.  With n documents, a pair
     passes with at least SUPPORT common documents, a share common / df(term) of
     at least SHARE, and log2(n * common / (df(term) * df(entity))) >= BITS.
     """
     n = texts.count()
-    pairs = found.select(F.explode(F.array_distinct(F.transform("near", lambda t: F.struct(t["entity"].alias("entity"), t["term"].alias("term"))))).alias("p")).select("p.*")
+    pairs = found.select(F.explode("near").alias("p")).select("p.*")
     common = pairs.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("common")).where(F.col("common") >= SUPPORT)
     holds = found.select(F.explode(F.array_distinct(F.transform("near", lambda t: t["entity"]))).alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("df_entity"))
     words = texts.select("_text").mapInArrow(_word_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
@@ -184,31 +225,31 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     return scored.where((F.col("common") / F.col("df_term") >= SHARE) & (bits >= BITS)).select("entity", "term")
 
 
-def find_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, text_kept: bool = False) -> DataFrame:
+def find_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, text_kept: bool = False, pass_terms: int = PASS_TERMS) -> DataFrame:
     """``keep`` columns of docs (all but the text, if None) plus base and terms: arrays of (kind, start, end).
 
-    Offsets are code points, ends exclusive; kinds are places in KINDS.  Null
-    and empty texts have no spans.  Repeated rows are found each, and count
+    Offsets are code points, ends exclusive; kinds are places in KINDS.  Every
+    occurrence of a disclosing term is marked, in all documents.  Null and empty texts have no spans.  Repeated rows are found each, and count
     each as a document of the corpus.  ``keep`` must not name a new column.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    clash = {"_text", "_row", "base", "near", "terms"} & set(keep)
+    clash = {"_text", "base", "terms"} & set(keep)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
+    spark = docs.sparkSession
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    schema = StructType([f for f in rows.schema if text_kept or f.name != "_text"]).add("base", SPAN).add("near", NEAR_TERM)
-    found = rows.mapInArrow(_find(text_kept), schema).withColumn("_row", F.monotonically_increasing_id())
-    found = staged(found, "identifiers")
-    reveals = disclosures(found, rows)
-    kind = F.lit(KINDS.index("term")).cast("long").alias("kind")
-    near = found.where(F.size("near") > 0)
-    marks = near.select("_row", F.explode("near").alias("t")).select("_row", "t.*").join(reveals, ["entity", "term"])
-    marks = marks.select("_row", F.struct(kind, "start", "end").alias("s")).groupBy("_row").agg(F.array_sort(F.collect_set("s")).alias("terms"))
-    none = F.lit(None).cast("array<struct<kind: bigint, start: bigint, end: bigint>>")
-    empty = F.coalesce(F.col("terms"), F.array().cast("array<struct<kind: bigint, start: bigint, end: bigint>>"))
-    with_terms = near.join(marks, "_row", "left").withColumn("terms", empty)
-    without = found.where(F.size("near") == 0).withColumn("terms", none).withColumn("terms", empty)
-    return with_terms.unionByName(without).drop("near", "_row")
+    found = staged(rows.select("_text").mapInArrow(_contexts, "near array<struct<entity: bigint, term: bigint>>"), "contexts")
+    reveals = staged(disclosures(found, rows).select("term").distinct(), "terms")
+    passes = max(1, -(-reveals.count() // pass_terms))
+    out = rows
+    for i in range(passes):
+        some = reveals.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i).toArrow()["term"].to_numpy()
+        last = i == passes - 1
+        schema = StructType([f for f in rows.schema if text_kept or not last or f.name != "_text"]).add("base", SPAN).add("terms", SPAN)
+        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(np.sort(some)), i == 0, text_kept or not last), schema)
+        if not last:
+            out = staged(out, "marked")
+    return out
 
 
 def _spelled(spans):

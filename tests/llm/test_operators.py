@@ -216,6 +216,23 @@ def test_base_spans_and_disclosing_terms(spark):
     assert "Zarkolith" not in clean[0] and "<TERM>" in clean[0] and "<EMAIL>" in clean[0] and clean[12] == rows[7][1] and clean[900] is None
 
 
+def test_disclosing_terms_go_everywhere(spark):
+    far = " ".join(words(60, 5))
+    rows = [(i, f"Zarkolith wrote to zed@x.org {words(1, i)[0]}" + (f" {far} é zarkolith, Zarkolith@y.org end" if i == 0 else ""), i) for i in range(4)]
+    rows += [(5, f"é 1 {far} ZARKOLITH said nothing", 5), (6, f"wrote {far} Brumelow", 6)]
+    rows += [(10 + i, "who wrote to some Zarkoliths about " + " ".join(words(20, i)), i) for i in range(400)]
+    rows += [(500 + i, f"Brumelow wrote to 10.1.2.3 {words(1, i)[0]}", i) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, other int")
+    want = {d: [m.span() for m in re.finditer(r"(?i)\b(zarkolith|brumelow)\b(?!@)", t)] for d, t, _ in rows}
+    for pass_terms in (pii.PASS_TERMS, 1):
+        got = {r.doc_id: r for r in pii.find_spans(df, pass_terms=pass_terms).collect()}
+        assert {d: [(s.start, s.end) for s in r.terms] for d, r in got.items()} == want
+        assert [s.kind for s in got[0].base] == [0, 0] and got[0].other == 0
+    clean = {r.doc_id: r.text for r in pii.sanitise(df).collect()}
+    assert not any(re.search(r"(?i)\b(zarkolith|brumelow)\b", t) for t in clean.values())
+    assert clean[5] == f"é 1 {far} <TERM> said nothing"
+
+
 def test_chat_round_trip(spark):
     said = "\\### Assistant: </turn> ok"
     turns = [("user", said), ("assistant", said), ("a:b\n#", ""), ("assistant", "<\\/turn>##\n")]
