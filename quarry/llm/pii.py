@@ -28,8 +28,8 @@ from quarry.llm.textops import chunks, find_words, hash_list, hash_words
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Context: so many words on either side of an entity, within REACH characters.
 NEAR, REACH = 10, 200
-#: A term discloses an entity from SUPPORT common documents, SHARE of the term's documents and BITS of mutual information on.
-SUPPORT, SHARE, BITS = 3, 0.5, 6.0
+#: A term discloses an entity from SUPPORT common documents, SHARE of the term's documents and PART of the most mutual information that any term can have with the entity on.
+SUPPORT, SHARE, PART = 3, 0.5, 0.5
 #: Terms a task counts before it hands its counts on.
 FLUSH = 1_000_000
 #: Disclosing terms that one pass over the texts marks (8 MB); more of them are marked in further passes.
@@ -213,7 +213,11 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     any; ``texts`` has _text, all documents.  A pair is common to a document
     where the term stands in the entity's context (NEAR words, REACH characters).  Counts are of documents.  With n documents, a pair
     passes with at least SUPPORT common documents, a share common / df(term) of
-    at least SHARE, and log2(n * common / (df(term) * df(entity))) >= BITS.
+    at least SHARE, and mutual information log2(n * common / (df(term) *
+    df(entity))) above 0 and at least PART of log2(n / df(entity)), which it
+    has with a term that occurs with nothing else.  So neither a frequent
+    entity nor a small table keeps a term from passing; an entity in the
+    context of every document has no disclosing terms.
     """
     n = texts.count()
     pairs = found.select(F.explode("near").alias("p")).select("p.*")
@@ -222,7 +226,9 @@ def disclosures(found: DataFrame, texts: DataFrame) -> DataFrame:
     words = texts.select("_text").mapInArrow(_word_counts, "term long, n long").groupBy("term").agg(F.sum("n").alias("df_term"))
     scored = common.join(words, "term").join(holds, "entity")
     bits = F.log2(F.lit(float(max(n, 1))) * F.col("common") / (F.col("df_term") * F.col("df_entity")))
-    return scored.where((F.col("common") / F.col("df_term") >= SHARE) & (bits >= BITS)).select("entity", "term")
+    most = F.log2(F.lit(float(max(n, 1))) / F.col("df_entity"))
+    enough = (bits > 0) & (bits >= PART * most - 1e-9)
+    return scored.where((F.col("common") / F.col("df_term") >= SHARE) & enough).select("entity", "term")
 
 
 def find_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = None, text_kept: bool = False, pass_terms: int = PASS_TERMS) -> DataFrame:

@@ -233,6 +233,16 @@ def test_disclosing_terms_go_everywhere(spark):
     assert clean[5] == f"é 1 {far} <TERM> said nothing"
 
 
+@pytest.mark.parametrize("n", [50, 600])
+def test_frequent_entities_and_small_tables_disclose(spark, n):
+    third = [(i, f"mail hot@x.org {'Zarkolith' if i < 4 else 'Brumelow' if i < 7 else words(1, i)[0]}") for i in range(n // 3)]
+    rest = [(1000 + i, f"mail {'Brumelow' if i < 4 else 'Quendrix at 10.1.2.3' if i < 8 else words(1, 90 + i)[0]}") for i in range(n - n // 3)]
+    df = spark.createDataFrame(third + rest, "doc_id long, text string")
+    marked = {t[s.start : s.end] for t, r in ((dict(third + rest)[r.doc_id], r) for r in pii.find_spans(df).collect()) for s in r.terms}
+    # Brumelow is with the entity in 3 of 7 documents, mail everywhere
+    assert {"Zarkolith", "Quendrix"} <= marked and not marked & {"Brumelow", "mail"}
+
+
 def test_chat_round_trip(spark):
     said = "\\### Assistant: </turn> ok"
     turns = [("user", said), ("assistant", said), ("a:b\n#", ""), ("assistant", "<\\/turn>##\n")]
