@@ -210,22 +210,18 @@ def _open_pairs(members: DataFrame, nodes: DataFrame, groups: DataFrame, nearest
     return found.select("probe", "anchor").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+def _order():
+    """Rows of a group in order: by doc_id, those without last, then by text."""
+    return F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
 
-    Words are runs without ASCII white space, A-Z as a-z; a set holds the
-    distinct runs of five words (a shorter text: the whole sequence).  Null,
-    empty and blank texts have no set and stay alone.  Sets are compared as
-    64-bit shingle hashes.  component_id is the smallest doc_id of the group
-    and kept marks its row; a row without doc_id never gives its group a name
-    and, where the group has no other, has a null component_id and is kept.
-    Repeated rows get the same answer each.
-    """
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """doc_id, text_key, n and first, the least row of the group (null without a set), for every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     schema = "doc_id long, text_key long, n long, digest binary, bands array<long>, sketch binary"
     marked = staged(rows.mapInArrow(_sketch, schema), "sketches")
     nodes = marked.where("n > 0").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "text_key")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
+        F.min(_order()).alias("first"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "text_key")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
     nodes = staged(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
@@ -251,11 +247,25 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         known = groups.select(F.col("node").alias("a"), F.col("comp").alias("b"))  # one edge a node says what the earlier links said
         groups = staged(components(links.unionByName(known)), "groups")
 
-    names = nodes.select("node", "digest", "rep").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = names.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    names = names.join(least, "comp").select("digest", "component_id")
-    out = marked.select("doc_id", "n", "digest").join(names, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    names = nodes.select("node", "digest", "first").join(groups, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    least = names.groupBy("comp").agg(F.min("first").alias("first"))
+    names = names.drop("first").join(least, "comp").select("digest", "first")
+    return marked.select("doc_id", "text_key", "n", "digest").join(names, "digest", "left").drop("digest")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
+
+    Words are runs without ASCII white space, A-Z as a-z; a set holds the
+    distinct runs of five words (a shorter text: the whole sequence).  Null,
+    empty and blank texts have no set and stay alone.  Sets are compared as
+    64-bit shingle hashes.  component_id is the smallest doc_id of the group
+    and kept marks its row; a row without doc_id never gives its group a name
+    and, where the group has no other, has a null component_id and is kept.
+    Repeated rows get the same answer each.
+    """
+    out = _grouped(docs)
+    component = F.when(F.col("n") > 0, F.col("first.doc_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
@@ -264,6 +274,26 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs without the documents of a group that are not its first; rows without doc_id stay."""
-    gone = near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(gone.withColumnRenamed("doc_id", "_gone"), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One row of each group of docs: the one with the smallest doc_id, of several texts with that id the one of the least hash.
+
+    Rows are told apart by doc_id and text, so a text of its own stays whatever
+    its id; a row without doc_id stays only where its group has no other, and
+    then once.  Of rows with equal doc_id and text one stays; without a set
+    (null, empty and blank texts) only a doc_id makes them equal.
+    """
+    clash = {"_id", "_text_key"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
+    ours = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_key")
+    goes = (F.col("n") > 0) & (ours != F.col("first"))
+    pair = [F.col("doc_id").alias("_i"), F.col("text_key").alias("_k")]
+    rows = _grouped(docs).where("n > 0 or doc_id is not null")
+    pairs = staged(rows.groupBy(*pair).agg(F.max(F.coalesce(goes, F.lit(False))).alias("goes"), F.count(F.lit(1)).alias("n_rows")).where("goes or n_rows > 1"), "extra")
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text_key") == F.col("_k"))
+    keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text_key": F.xxhash64("text")})
+    stay = keyed.join(pairs.where("goes").select("_i", "_k"), same, "left_anti")
+    repeated = pairs.where("not goes").select("_i", "_k")
+    if not repeated.isEmpty():
+        once = stay.join(repeated, same, "left_semi").dropDuplicates(["_id", "_text_key"])
+        stay = stay.join(repeated, same, "left_anti").unionByName(once)
+    return stay.drop("_id", "_text_key")

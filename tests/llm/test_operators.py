@@ -148,6 +148,22 @@ def test_near_duplicates_against_brute_force(spark, docs):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} >= {0, 1, 300, 301, 302, 400}
 
 
+def test_one_row_of_each_group_stays(spark):
+    a, b, c, d, e = (" ".join(words(40, 700 + i)) for i in range(5))
+    near = a.rsplit(" ", 1)[0] + " changed"
+    rows = [(1, a, "x"), (7, near, "x"), (7, b, "x")]  # id 7: a near copy of 1, and a text of its own
+    rows += [(2, c, "x"), (2, c, "x"), (3, c, "x")]  # the least row twice
+    rows += [(None, d, "x"), (None, d, "x"), (None, a, "x")]  # without id
+    rows += [(4, e, "x"), (4, e.upper(), "x")]  # one id, two spellings
+    rows += [(8, None, "x"), (8, None, "x"), (9, "", "x"), (10, "", "x"), (None, None, "x"), (None, None, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = neardup.keep_one(df)
+    assert got.columns == df.columns
+    kept = [(r.doc_id, r.text.lower() if r.text else r.text) for r in got.collect()]
+    want = [(1, a), (7, b), (2, c), (None, d), (4, e), (8, None), (9, ""), (10, ""), (None, None), (None, None)]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_superminhash_estimates_similarity():
     r = np.random.default_rng(3)
     x = r.integers(0, 1 << 63, 400).astype(np.uint64)
