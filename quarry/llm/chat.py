@@ -16,13 +16,15 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.stage import read_table
+from quarry.llm.stage import read_table, staged
 
 #: Turns that one record holds at most; a longer conversation is several records.
 PART_TURNS = 512
+#: Rows of crowded parts that one task numbers.
+SLICE_ROWS = 20_000
 LEARNT = "assistant"
 
 
@@ -195,17 +197,56 @@ def format_records(records: DataFrame, mappings: tuple[Mapping, ...] = MAPPINGS)
     return records.mapInArrow(_format(mappings), schema)
 
 
-def turn_records(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
-    """(conv_id, part, record): turn rows as JSON records in the layout that fits their roles.
+def _crowded_parts(said: DataFrame, crowded: DataFrame, part_turns: int, rows: int) -> DataFrame:
+    """(conv_id, part, piece, turns) of the parts in ``crowded``: pieces of ``part_turns`` places in the order of turn, role and text.
+
+    Equal rows are counted first.  The others are dealt by ranges of that
+    order, so a part of any size is spread; a running sum inside each slice and
+    the small table of slice sizes give the places.
+    """
+    part = ["conv_id", "part"]
+    of = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in part]
+    distinct = said.join(crowded.select(*[F.col(c).alias(f"_{c}") for c in part]), of[0] & of[1], "left_semi").groupBy(*part, "turn", "role", "text").agg(F.count(F.lit(1)).alias("n"))
+    slices = max(8, -(-rows // SLICE_ROWS))
+    dealt = distinct.repartitionByRange(slices, *part, "turn", "role", "text").withColumn("slice", F.spark_partition_id())
+    dealt = staged(dealt, "crowded-turns")
+    inside = Window.partitionBy("slice", *part).orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*part).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*part, "slice").agg(F.sum("n").alias("size"))
+    offsets = sizes.select(*[F.col(c).alias(f"_{c}") for c in part], F.col("slice").alias("_slice"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    placed = dealt.withColumn("end", F.sum("n").over(inside)).join(offsets, of[0] & of[1] & (F.col("slice") == F.col("_slice")))
+    placed = placed.withColumn("end", F.col("end") + F.col("offset")).withColumn("begin", F.col("end") - F.col("n"))
+    first, last = F.floor(F.col("begin") / part_turns), F.floor((F.col("end") - 1) / part_turns)
+    pieces = placed.withColumn("piece", F.explode(F.sequence(first, last)))
+    share = F.least("end", (F.col("piece") + 1) * part_turns) - F.greatest("begin", F.col("piece") * part_turns)
+    turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text", share.cast("int").alias("n"))))
+    again = F.flatten(F.transform(turns, lambda t: F.array_repeat(F.struct(t["turn"].alias("turn"), t["role"].alias("role"), t["text"].alias("text")), t["n"])))
+    return pieces.groupBy(*part, "piece").agg(again.alias("turns"))
 
-    A conversation is cut by turn number into parts of ``part_turns``, so no
-    row holds a long conversation whole.  A null text or role is empty; a null
-    turn number comes first; equal turn numbers are ordered by role and text.
-    Columns other than conv_id, turn, role and text are dropped.
+
+def turn_records(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
+    """(conv_id, part, piece, record): turn rows as JSON records in the layout that fits their roles.
+
+    A conversation is cut by turn number into parts of ``part_turns``, and a
+    part that holds more rows than that (turn numbers or conv_id that are null
+    or repeat) into pieces of ``part_turns`` rows, so no row holds a long
+    conversation whole.  A null text or role is empty; a null turn number comes
+    first; equal turn numbers are ordered by role and text.  Columns other than
+    conv_id, turn, role and text are dropped.
     """
     turn = F.coalesce(F.col("turn").cast("long"), F.lit(-1))
-    said = F.struct(turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = turns.groupBy("conv_id", F.floor(turn / part_turns).alias("part")).agg(F.sort_array(F.collect_list(said)).alias("turns"))
+    part = F.floor(turn / part_turns).alias("part")
+    filled = [turn.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")]
+    said = turns.select("conv_id", part, *filled)
+    crowded = turns.select("conv_id", part).groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > part_turns)
+    crowded = staged(crowded, "crowded")
+    rows = crowded.agg(F.sum("rows")).first()[0] or 0
+    calm = said
+    if rows:
+        calm = said.join(crowded.select(F.col("conv_id").alias("_conv_id"), F.col("part").alias("_part")), F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("part") == F.col("_part")), "left_anti")
+    parts = calm.groupBy("conv_id", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns")).select("conv_id", "part", F.lit(0).cast("long").alias("piece"), "turns")
+    if rows:
+        parts = parts.unionByName(_crowded_parts(said, crowded, part_turns, rows))
     roles = F.array_join(F.transform("turns", lambda t: t["role"]), ",")
     known = F.forall("turns", lambda t: t["role"].isin("system", "user", "assistant"))
     text = lambda i: F.col("turns")[i]["text"]
@@ -216,11 +257,11 @@ def turn_records(turns: DataFrame, part_turns: int = PART_TURNS) -> DataFrame:
         .when(known & roles.startswith("system"), F.to_json(F.struct(F.transform("turns", lambda t: F.struct(sharer(t["role"]).alias("from"), t["text"].alias("value"))).alias("conversations"))))
         .otherwise(F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))))
     )
-    return parts.select("conv_id", "part", record.alias("record"))
+    return parts.select("conv_id", "part", "piece", record.alias("record"))
 
 
 def _digest(batches):
-    """Rows sorted by (conv_id, part): one row per conversation, read back from its formatted parts as they pass."""
+    """Rows sorted by (conv_id, part, piece): one row per conversation, read back from its formatted parts as they pass."""
     state = None
 
     def finish():
@@ -248,8 +289,8 @@ def _digest(batches):
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
-    """One row per conversation from its formatted parts (conv_id, part, formatted, loss), read in order and never held whole."""
-    dealt = formatted.select("conv_id", "part", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part")
+    """One row per conversation from its formatted parts (conv_id, part, piece, formatted, loss), read in order and never held whole."""
+    dealt = formatted.select("conv_id", "part", "piece", "formatted", "loss").repartition("conv_id").sortWithinPartitions("conv_id", "part", "piece")
     return dealt.select("conv_id", "formatted", "loss").mapInArrow(_digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 

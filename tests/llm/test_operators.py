@@ -280,6 +280,24 @@ def test_chat_round_trip(spark):
         assert digests[c].loss_chars == sum(len(t) for r, t in own if r == "assistant")
 
 
+def test_no_record_holds_more_turns(spark):
+    r = random.Random(3)
+    role = lambda: r.choice(["user", "assistant", None])
+    rows = [(1, None, role(), f"t{r.randint(0, 900)}") for _ in range(1500)] + [(1, i, role(), f"u{i}") for i in range(600)]
+    rows += [(None, r.choice([0, 1, 2, 600, -3, None]), role(), r.choice([None, "a", f"b{r.randint(0, 400)}"])) for _ in range(1700)]
+    rows += [(2, 7, "user", "same")] * 1300 + [(3, 0, "user", "hi"), (3, 1, "assistant", "ho")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    records = chat.format_records(chat.turn_records(df)).cache()
+    sizes = [(r.conv_id, r.n_turns) for r in records.collect()]
+    assert max(n for _, n in sizes) <= 512 and sorted(n for c, n in sizes if c == 2) == [276, 512, 512]
+    digests = {r.conv_id: r for r in chat.conversation_digests(records).collect()}
+    assert set(digests) == {None, 1, 2, 3}
+    for c, got in digests.items():
+        own = sorted((-1 if t is None else t, who or "", text or "") for d, t, who, text in rows if d == c)
+        assert got.n_turns == len(own)
+        assert got.turns_sha256 == hashlib.sha256("".join(f"{who}\n{text}\n" for _, who, text in own).encode()).hexdigest()
+
+
 def test_token_ledger_commits_once(spark, scratch):
     doc = f"struct<{token_counts.IMAGE.replace(' ', ':').replace(',:', ',')}>"
     a, b = ("s", "en", "v1", 10, 50), ("s", "en", "v2", 12, 50)
