@@ -32,8 +32,8 @@ def private(spark, docs, sf_dir):
 
 
 def sequences(spark, docs, sf_dir):
-    """Pieces of tokenised documents with their sequence and offset."""
-    return packing.pack(docs, packing.tokenizer_path())
+    """Pieces of tokenised documents, their ids (4 bytes each, little-endian) with sequence and offset."""
+    return packing.pack(docs, packing.tokenizer_path(), keep_ids=True)
 
 
 STAGES = [("toxicity", toxic), ("near_duplicates", duplicates), ("decontamination", leaks), ("personal_data", private), ("packing", sequences)]

@@ -413,3 +413,18 @@ def test_pipeline_on_small_tables(spark, scratch):
     # a classifier of some 90 rows may err on a few
     assert len(clean - {2} - out) <= 5 and 500 not in out and 502 in out and len(out & {2, 501}) <= 1
     assert len(out & toxic) <= 5
+
+
+def test_pipeline_gives_the_packed_ids(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    texts = {i: " ".join(words(30, i)) for i in range(20)} | {50: None}
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    tokenizer = Tokenizer.from_file(packing.tokenizer_path())
+    rows = corpus_pipeline.sequences(spark, df, None).collect()
+    assert {r.doc_id for r in rows} == set(texts)
+    for r in rows:
+        ids = np.frombuffer(r.ids, "<u4").tolist()
+        assert ids == tokenizer.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [packing.END_ID]
+        assert zlib.crc32(r.ids) == r.ids_crc32 and len(ids) == r.length
