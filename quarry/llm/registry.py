@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.llm import chat, decontam, licenses, neardup, packing, pii, sharding, token_counts, topk, toxicity
+from quarry.llm import centroids, chat, decontam, licenses, mixing, neardup, packing, periodic, pii, sharding, token_counts, topk, toxicity
 
 QUERIES = {
     "op1_hash_tree_shards": sharding.query,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_superminhash_groups": neardup.query,
     "op9_disclosive_terms": pii.query,
     "op10_license_alignment": licenses.query,
+    "op11_pivotal_mix": mixing.query,
+    "op12_rotated_centroids": centroids.query,
+    "op13_periodic_runs": periodic.query,
 }
 
 ORACLES = {
     "op2_exact_topk": topk.ORACLE,
     "op5_token_counts": token_counts.ORACLE,
+    "op12_rotated_centroids": centroids.ORACLE,
 }
