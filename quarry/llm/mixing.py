@@ -9,11 +9,14 @@ are, so only the last open document of a source decides by a coin.
 
 Documents are dealt into leaves by a hash; each leaf passes one residual
 document on, and residuals are combined in a tree of ``FAN_IN`` children a node
-until one is left in each source.  A step needs nothing but the open residual.
+up to one root for each source.  A step needs nothing but the open residual.
+The root, of at most one leaf's or ``FAN_IN`` rows, is rounded ``TRIES`` times
+and keeps the rounding, coin included, that ends nearest to the target.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 from quarry.llm.stage import read_table, staged
 
 WEIGHTS, MOST_COPIES = (5, 2, 1), 3
-SEED, LEAF_ROWS, FAN_IN, SALTS, BLOCK = 7, 5000, 1000, 32, 100_000
+SEED, LEAF_ROWS, FAN_IN, SALTS, BLOCK, TRIES = 7, 2000, 1000, 32, 100_000, 16
 WORD = r"[^ \t-\r]+"
 
 
@@ -58,6 +61,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
         rows = staged(rows.withColumn("full", F.col("full") | over), "mix-capped")
 
 
+def _step(a: float, b: float, p: float, q: float, draw: float) -> tuple[float, float]:
+    """Pass words between two documents of a and b words until one of p and q is 0 or 1; a p + b q and both means stay."""
+    x, y = a * p, b * q
+    up, down = min(a - x, y), min(x, b - y)  # words that the first can win from the second, or lose to it
+    if draw * (up + down) < down:
+        return (1.0 if up == a - x else (x + up) / a), (0.0 if up == y else (y - up) / b)
+    return (0.0 if down == x else (x - down) / a), (1.0 if down == b - y else (y + down) / b)
+
+
 def _pivot(batches):
     """Rows sorted by (number, node) and, inside, by size from large to small -> the same rows with p settled.
 
@@ -68,21 +80,15 @@ def _pivot(batches):
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch]) if held is None else pa.Table.from_batches([held, batch])
-        column = lambda name: table.column(name).to_numpy().tolist()  # noqa: B023, E731
-        number, node, size, p, draw = map(column, ("number", "node", "size", "p", "draw"))
+        number, node, size, p, draw = (table.column(c).to_numpy().tolist() for c in ("number", "node", "size", "p", "draw"))
         i = None  # place of the open row
-        for j, pj in enumerate(p):
-            if not 0.0 < pj < 1.0:
+        for j, q in enumerate(p):
+            if not 0.0 < q < 1.0:
                 continue
             if i is None or number[i] != number[j] or node[i] != node[j]:
                 i = j
                 continue
-            a, b, x, y = size[i], size[j], size[i] * p[i], size[j] * pj
-            up, down = min(a - x, y), min(x, b - y)  # words that i can win from j, or lose to it
-            if draw[j] * (up + down) < down:
-                p[i], p[j] = (1.0 if up == a - x else (x + up) / a), (0.0 if up == y else (y - up) / b)
-            else:
-                p[i], p[j] = (0.0 if down == x else (x - down) / a), (1.0 if down == b - y else (y + down) / b)
+            p[i], p[j] = _step(size[i], size[j], p[i], q, draw[j])
             if not 0.0 < p[i] < 1.0:
                 i = j if 0.0 < p[j] < 1.0 else None
         at = table.schema.get_field_index("p")
@@ -98,12 +104,62 @@ def _pivot(batches):
         yield held
 
 
-def _settle(rows: DataFrame, level: int, seed: int, name: str) -> DataFrame:
-    """One level of the tree: each (number, node) keeps at most one fractional row."""
+def landed(size: list[int], p: list[float], seed: int, tries: int = TRIES) -> list[float]:
+    """p of one root settled to 0 and 1: of ``tries`` roundings the one whose words come nearest to the sum of size * p."""
+    want = sum(a * q for a, q in zip(size, p, strict=True))
+    rng, best, least = np.random.default_rng(seed), p, None
+    for _ in range(tries):
+        draws, out, i = rng.random(len(p) + 1).tolist(), list(p), None
+        for j, q in enumerate(p):
+            if not 0.0 < q < 1.0:
+                continue
+            if i is None:
+                i = j
+                continue
+            out[i], out[j] = _step(size[i], size[j], out[i], q, draws[j])
+            if not 0.0 < out[i] < 1.0:
+                i = j if 0.0 < out[j] < 1.0 else None
+        if i is not None:
+            out[i] = float(draws[-1] < out[i])
+        off = abs(sum(a * q for a, q in zip(size, out, strict=True)) - want)
+        if least is None or off < least:
+            best, least = out, off
+        if i is None:
+            break
+    return best
+
+
+def _land(batches):
+    """Rows sorted by number and size: the whole root of each source, then its rows with p settled."""
+    held: list[pa.Table] = []
+
+    def settle():
+        table = pa.concat_tables(held).combine_chunks()
+        draw = table.column("draw").to_numpy()
+        p = landed(table.column("size").to_pylist(), table.column("p").to_pylist(), int(draw[0] * (1 << 52)))
+        at = table.schema.get_field_index("p")
+        yield from table.set_column(at, table.schema.field(at), pa.array(p, pa.float64())).combine_chunks().to_batches()
+
+    current = None
+    for batch in batches:
+        numbers = batch.column("number").to_numpy()
+        starts = np.flatnonzero(np.append(True, numbers[1:] != numbers[:-1])) if len(numbers) else []
+        for lo, hi in zip(starts, [*starts[1:], len(numbers)], strict=True):
+            if held and numbers[lo] != current:
+                yield from settle()
+                held.clear()
+            current = numbers[lo]
+            held.append(pa.Table.from_batches([batch.slice(lo, hi - lo)]))
+    if held:
+        yield from settle()
+
+
+def _settle(rows: DataFrame, level: int, seed: int, root: bool) -> DataFrame:
+    """One level of the tree: each (number, node) keeps at most one fractional row, a root none."""
     draw = (F.shiftrightunsigned(F.xxhash64("doc_id", "size", "number", F.lit(seed), F.lit(level)), 12) + 0.5) / float(1 << 52)
     dealt = rows.withColumn("draw", draw).repartition("number", "node")
     ordered = dealt.sortWithinPartitions("number", "node", F.desc("size"), F.asc_nulls_last("doc_id"))
-    return staged(ordered.mapInArrow(_pivot, ordered.schema).drop("draw"), name)
+    return staged(ordered.mapInArrow(_land if root else _pivot, ordered.schema).drop("draw"), f"mix-level{level}")
 
 
 def rounded(items: DataFrame, seed: int = SEED, leaf_rows: int = LEAF_ROWS, fan_in: int = FAN_IN) -> DataFrame:
@@ -113,22 +169,17 @@ def rounded(items: DataFrame, seed: int = SEED, leaf_rows: int = LEAF_ROWS, fan_
     differ in (doc_id, size, number).  Equal input gives equal output whatever
     its partitioning.
     """
-    nodes = max(1, -(-items.count() // leaf_rows))
-    rows = items.withColumn("node", F.pmod(F.xxhash64("doc_id", "size", "number", F.lit(seed)), F.lit(nodes)).cast("int"))
-    level, parts = 0, []
     open_ = (F.col("p") > 0) & (F.col("p") < 1)
-    while True:
-        rows = _settle(rows, level, seed, f"mix-level{level}")
-        if nodes == 1:
-            break
-        parts.append(rows.where(~open_))
+    nodes = max(1, -(-items.where(open_).count() // leaf_rows))
+    node = F.pmod(F.xxhash64("doc_id", "size", "number", F.lit(seed)), F.lit(nodes)).cast("int")
+    out = items.where(~open_).withColumn("node", F.lit(0))
+    rows, level = items.where(open_).withColumn("node", node), 0
+    while nodes > 1:
+        rows = _settle(rows, level, seed, False)
+        out = out.unionByName(rows.where(~open_))
         nodes, level = -(-nodes // fan_in), level + 1
         rows = rows.where(open_).withColumn("node", F.floor(F.col("node") / fan_in).cast("int"))
-    coin = (F.shiftrightunsigned(F.xxhash64("doc_id", "size", "number", F.lit(seed), F.lit(-1)), 12) + 0.5) / float(1 << 52)
-    out = rows.withColumn("p", F.when(open_, (coin < F.col("p")).cast("double")).otherwise(F.col("p")))
-    for part in parts:
-        out = out.unionByName(part)
-    return out.drop("node")
+    return out.unionByName(_settle(rows, level, seed, True)).drop("node")
 
 
 def repeated(rows: DataFrame, times: str, index: str, block: int = BLOCK) -> DataFrame:

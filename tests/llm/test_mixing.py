@@ -63,6 +63,7 @@ def test_mix(spark, rows):
         taken[x.source] += x.taken
     for source in sizes:
         assert abs(taken[source] - want[source]) <= largest[source]
+    assert abs(taken["B"] - want["B"]) < 0.02 * want["B"]
     spare = [x.copies for x in got if x.doc_id == 7 and x.size == 3]
     assert max(spare) - min(spare) <= 1
     key = lambda x: (x.source or "", x.doc_id or -1, x.size, x.copies)
@@ -108,3 +109,15 @@ def test_repeated_blocks(spark):
     df = spark.createDataFrame([("a", 1), ("b", 7), ("c", 20)], "k string, n long")
     got = sorted((x.k, x.i) for x in mixing.repeated(df, "n", "i", block=5).collect())
     assert got == [("a", 0), *[("b", i) for i in range(7)], *[("c", i) for i in range(20)]]
+
+
+def test_root_ends_near_its_words():
+    r = np.random.default_rng(9)
+    off = []
+    for k in range(60):
+        size = sorted((r.pareto(1.0, 40) * 100 + 1).astype(int).tolist(), reverse=True)
+        p = [0.37] * 40
+        got = mixing.landed(size, p, k)
+        assert set(got) <= {0.0, 1.0}
+        off.append(abs(sum(a * q for a, q in zip(size, got, strict=True)) - 0.37 * sum(size)) / max(size))
+    assert np.median(off) < 0.02 and mixing.landed([5], [0.5], 1) in ([0.0], [1.0])
