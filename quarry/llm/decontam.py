@@ -57,6 +57,20 @@ class SuffixAutomaton:
         self.marked = [-1] * len(self.link)
         for s in sorted(range(1, len(self.link)), key=lambda s: self.length[s]):
             self.marked[s] = s if s in whole else self.marked[self.link[s]] if self.link[s] >= 0 else -1
+        # the state on the chain whose strings include length `window`
+        self.home = [0] * len(self.link)
+        for s in sorted((s for s in range(1, len(self.link)) if self.length[s] >= window), key=lambda s: self.length[s]):
+            self.home[s] = s if self.length[self.link[s]] < window else self.home[self.link[s]]
+
+    def plain(self) -> dict:
+        """All fields as lists, dicts and sets, which any Python can unpickle."""
+        return dict(vars(self))
+
+    @classmethod
+    def restored(cls, fields: dict) -> SuffixAutomaton:
+        out = cls.__new__(cls)
+        out.__dict__.update(fields)
+        return out
 
     def _extend(self, last: int, w: int, ends: list) -> int:
         to = self.next[last].get(w)
@@ -103,11 +117,7 @@ class SuffixAutomaton:
                 continue
             state, run = to, run + 1
             if run >= window:
-                # the window itself: the state on the chain whose strings include length `window`
-                s = state
-                while length[link[s]] >= window:
-                    s = link[s]
-                found |= self.names[s]
+                found |= self.names[self.home[state]]
                 spans.append((i - run, i))
             s = self.marked[state]
             while s > 0:
@@ -209,12 +219,12 @@ def leaked_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_
     parts = max(1, -(-2 * total // max_words))  # twice as many as needed: parts of a hash differ in size
     empty = "cast(array() as array<struct<lo: bigint, hi: bigint>>)"
     out = docs.selectExpr("*", "0L as n_words", f"{empty} as spans", "cast(array() as array<string>) as items")
-    held: list[tuple[np.ndarray, SuffixAutomaton]] = []
+    part = F.pmod(F.xxhash64("item", "words"), F.lit(parts))
+    if pieces.groupBy(part).agg(F.sum("n").alias("n")).where(F.col("n") > max_words + 4096 + WINDOW).limit(1).count():
+        raise ValueError(f"a part of the benchmark has more than {max_words} words")
+    held: list[list] = []
     for p in range(parts):
-        own = pieces.where(F.pmod(F.xxhash64("item", "words"), F.lit(parts)) == p).limit(max_words + 1).collect()
-        if sum(r.n for r in own) > max_words + 4096 + WINDOW:
-            raise ValueError(f"a part of the benchmark has more than {max_words} words")
-        held.append(own)
+        held.append(pieces.where(part == p).collect())
         if len(held) == PER_PASS or p == parts - 1:
             out = _pass(out, held, text)
             held = []
@@ -236,11 +246,13 @@ def _pass(docs: DataFrame, parts: list, text: str) -> DataFrame:
     vocabulary = np.sort(hashes)
     number = dict(zip(distinct, np.searchsorted(vocabulary, hashes).tolist(), strict=True))
     automata = [SuffixAutomaton([(name, [number[w] for w in words]) for name, words in sorted(part)]) for part in sequences]
-    held = spark.sparkContext.broadcast((vocabulary, automata))
+    # plain values: executors without this package cannot unpickle its classes from a broadcast
+    held = spark.sparkContext.broadcast((vocabulary, [a.plain() for a in automata]))
     schema = docs.schema
 
     def run(batches):
-        yield from _scanner(*held.value, text)(batches)
+        vocabulary, fields = held.value
+        yield from _scanner(vocabulary, [SuffixAutomaton.restored(f) for f in fields], text)(batches)
 
     return docs.mapInArrow(run, schema)
 
