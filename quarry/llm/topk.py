@@ -27,10 +27,11 @@ def quantised(values: Column, scale: int = 256) -> Column:
 
 
 def _matrix(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, rows) in id order, one row per id."""
-    ids, at = np.unique(t.column("vec_id").to_numpy(), return_index=True)
+    """(ids, rows) in id order; rows that repeat an id all stay."""
+    ids = t.column("vec_id").to_numpy()
+    at = np.argsort(ids, kind="stable")
     flat = t.column("v").combine_chunks().flatten().to_numpy()
-    return ids, flat.reshape(t.num_rows, -1)[at]
+    return ids[at], flat.reshape(t.num_rows, -1)[at]
 
 
 def _product(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -65,11 +66,8 @@ def _tile(k: int):
             for lo in range(0, len(qid), rows):
                 scores = _product(q[lo : lo + rows], c)
                 for i, row in enumerate(scores):
-                    own = np.searchsorted(cid, qid[lo + i])
-                    if own < len(cid) and cid[own] == qid[lo + i]:
-                        others, part = np.delete(cid, own), np.delete(row, own)
-                    else:
-                        others, part = cid, row
+                    own = np.searchsorted(cid, qid[lo + i], side="left"), np.searchsorted(cid, qid[lo + i], side="right")
+                    others, part = (np.delete(x, slice(*own)) for x in (cid, row)) if own[0] < own[1] else (cid, row)
                     best = _best(others, part, k)
                     out_q.append(np.full(len(best), qid[lo + i]))
                     out_v.append(others[best])
@@ -86,7 +84,7 @@ def exact_topk(queries: DataFrame, rows: DataFrame, k: int = 5, tile_queries: in
 
     Both inputs have vec_id (long) and v (array of long).  Rows with a null id
     or vector take no part, nor does the query's own id.  Rows that repeat an
-    id count once.  Vectors of different lengths do not meet.  Ties go to the
+    id count each, as candidates and as queries of one id.  Vectors of different lengths do not meet.  Ties go to the
     smaller vec_id; a query with fewer than k candidates returns them all.
     Empty inputs give an empty result.
     """
