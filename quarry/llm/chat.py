@@ -111,7 +111,8 @@ def fingerprint(paths: set[str]) -> int:
 
 _CONTROL = re.compile(r"[\\#]|<(?=/turn>)")
 _ROLE_CONTROL = re.compile(r"[\\#:]|<(?=/turn>)")
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<#]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+# possessive: no state is kept for going back, so a long turn takes no memory beyond itself
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<#]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
 
