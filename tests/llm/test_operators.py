@@ -75,6 +75,15 @@ def test_topk_against_brute_force(spark):
     assert [r.v for r in q.select(topk.quantised(F.col("e")).alias("v")).collect()] == [None, None, None, [-1, 128]]
 
 
+def test_topk_keeps_rows_that_repeat_an_id(spark):
+    rows = [(0, [1, 0]), (0, [0, 1]), (1, [5, 9]), (1, [9, 5]), (1, [9, 5]), (2, [7, 7])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    for size in (1, 100):
+        got = topk.exact_topk(df.where("vec_id = 0"), df, k=4, tile_rows=size, tile_queries=size, fan_in=2).collect()
+        want = sorted(((-sum(a * b for a, b in zip(q, v, strict=True)), i) for j, q in rows if j == 0 for i, v in rows if i != 0))[:4]
+        assert [(-x.score, x.vec_id) for x in sorted(got, key=lambda x: x.rank)] == want
+
+
 def test_large_products_stay_exact():
     a = np.array([[1 << 30, 1], [3, 5]], np.int64)
     assert (topk._product(a, a) == a @ a.T).all()
