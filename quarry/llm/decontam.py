@@ -17,9 +17,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from quarry.llm.stage import read_table, staged
-from quarry.llm.textops import chunks, find_words, hash_words
+from quarry.llm.textops import OUT_ROWS, chunks, find_words, hash_words
 
 WINDOW = 10
 #: An automaton holds this many item words at most (about 100 MB in a worker).
@@ -210,7 +211,12 @@ def leaked_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_
     empty) match nothing; items that repeat an id count as one; a null id is
     the empty string.  An empty benchmark leaves every document clean.
     """
-    clash = {"n_words", "spans", "items"} & set(docs.columns)
+    return _scanned(docs, benchmark, text, max_words)
+
+
+def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, max_words: int, finish=None) -> DataFrame:
+    """leaked_spans; ``finish`` (a function of batches, with a column ``cut`` more) runs in the last pass, in the same worker."""
+    clash = {"n_words", "spans", "items", *(["cut"] if finish else [])} & set(docs.columns)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
@@ -226,14 +232,14 @@ def leaked_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", max_
     for p in range(parts):
         held.append(pieces.where(part == p).collect())
         if len(held) == PER_PASS or p == parts - 1:
-            out = _pass(out, held, text)
+            out = _pass(out, held, text, finish if p == parts - 1 else None)
             held = []
             if p < parts - 1:
                 out = staged(out, "scanned")
     return out
 
 
-def _pass(docs: DataFrame, parts: list, text: str) -> DataFrame:
+def _pass(docs: DataFrame, parts: list, text: str, finish=None) -> DataFrame:
     spark = docs.sparkSession
     sequences = [[(r.item, r.words.split(" ")) for r in own] for own in parts]
     distinct = sorted({w for part in sequences for _, words in part for w in words})
@@ -248,11 +254,12 @@ def _pass(docs: DataFrame, parts: list, text: str) -> DataFrame:
     automata = [SuffixAutomaton([(name, [number[w] for w in words]) for name, words in sorted(part)]) for part in sequences]
     # plain values: executors without this package cannot unpickle its classes from a broadcast
     held = spark.sparkContext.broadcast((vocabulary, [a.plain() for a in automata]))
-    schema = docs.schema
+    schema = StructType([*docs.schema.fields, *([StructField("cut", BooleanType())] if finish else [])])
 
     def run(batches):
         vocabulary, fields = held.value
-        yield from _scanner(vocabulary, [SuffixAutomaton.restored(f) for f in fields], text)(batches)
+        scanned = _scanner(vocabulary, [SuffixAutomaton.restored(f) for f in fields], text)(batches)
+        yield from finish(scanned) if finish else scanned
 
     return docs.mapInArrow(run, schema)
 
@@ -284,7 +291,8 @@ def _cutter(min_words: int, max_share: float, text: str):
             columns = {n: kept.column(n) for n in kept.schema.names}
             columns[text] = pa.array(new, old.type)
             columns["cut"] = pa.array([n is not None for n in texts], pa.bool_())
-            yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            out = pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+            yield from (out.slice(lo, OUT_ROWS) for lo in range(0, max(1, out.num_rows), OUT_ROWS))
 
     return run
 
@@ -295,11 +303,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, min_words: int = 1, max
     The columns are those of ``docs``; ``n_chars``, if there, counts the new
     text.  Rows without a leak are unchanged, null texts included.
     """
-    from pyspark.sql.types import BooleanType, StructType
-
-    scanned = leaked_spans(docs, benchmark, max_words=max_words)
-    schema = StructType([*scanned.schema.fields]).add("cut", BooleanType())
-    out = scanned.mapInArrow(_cutter(min_words, max_share, "text"), schema)
+    out = _scanned(docs, benchmark, "text", max_words, _cutter(min_words, max_share, "text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("cut"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from quarry.llm.stage import read_table, staged
-from quarry.llm.textops import chunks, find_words, hash_list, hash_words
+from quarry.llm.textops import OUT_ROWS, chunks, find_words, hash_list, hash_words
 
 KINDS = ("email", "ip", "card", "phone", "term")
 #: Context: so many words on either side of an entity, within REACH characters.
@@ -239,7 +239,12 @@ def find_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
     each as a document of the corpus.  ``keep`` must not name a new column.
     """
     keep = [c for c in docs.columns if c != text] if keep is None else keep
-    clash = {"_text", "base", "terms"} & set(keep)
+    return _marked(docs, text, keep, text_kept, pass_terms)
+
+
+def _marked(docs: DataFrame, text: str, keep: list[str], text_kept: bool, pass_terms: int, mask: bool = False) -> DataFrame:
+    """find_spans; with ``mask`` the last pass replaces the spans in the same worker: ``keep``, _text and _changed."""
+    clash = {"_text", "base", "terms", *(["_changed"] if mask else [])} & set(keep)
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     spark = docs.sparkSession
@@ -252,7 +257,11 @@ def find_spans(docs: DataFrame, text: str = "text", keep: list[str] | None = Non
         some = reveals.where(F.pmod(F.xxhash64("term"), F.lit(passes)) == i).toArrow()["term"].to_numpy()
         last = i == passes - 1
         schema = StructType([f for f in rows.schema if text_kept or not last or f.name != "_text"]).add("base", SPAN).add("terms", SPAN)
-        out = out.mapInArrow(_marker(spark.sparkContext.broadcast(np.sort(some)), i == 0, text_kept or not last), schema)
+        run = _marker(spark.sparkContext.broadcast(np.sort(some)), i == 0, text_kept or not last)
+        if last and mask:
+            schema = StructType([f for f in rows.schema if f.name != "_text"]).add("_text", "string").add("_changed", "boolean")
+            run = _then_masked(run)
+        out = out.mapInArrow(run, schema)
         if not last:
             out = staged(out, "marked")
     return out
@@ -268,9 +277,16 @@ def _by_start(spans):
     return F.transform(order, lambda s: F.struct(s["b"].alias("kind"), s["a"].alias("start"), s["c"].alias("end")))
 
 
+def _then_masked(run):
+    def both(batches):
+        yield from _masker(run(batches))
+
+    return both
+
+
 def _masker(batches):
     for batch in batches:
-        texts = []
+        texts, changed = [], []
         for text, base, terms in zip(batch.column("_text").to_pylist(), batch.column("base").to_pylist(), batch.column("terms").to_pylist(), strict=True):
             if base or terms:
                 at, parts = 0, []
@@ -282,8 +298,10 @@ def _masker(batches):
                     at = s["end"]
                 text = "".join(parts) + text[at:]
             texts.append(text)
+            changed.append(bool(base or terms))
         names = [n for n in batch.schema.names if n not in ("base", "terms", "_text")]
-        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string())], names=[*names, "_text"])
+        out = pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(texts, pa.string()), pa.array(changed, pa.bool_())], names=[*names, "_text", "_changed"])
+        yield from (out.slice(lo, OUT_ROWS) for lo in range(0, max(1, out.num_rows), OUT_ROWS))
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -292,14 +310,10 @@ def sanitise(docs: DataFrame) -> DataFrame:
     No row is dropped; rows without spans are unchanged.
     """
     keep = [c for c in docs.columns if c != "text"]
-    spans = find_spans(docs, keep=keep, text_kept=True)
-    schema = StructType([f for f in docs.schema if f.name != "text"]).add("_text", "string")
-    out = spans.select(*keep, "_text", "base", "terms")
-    changed = out.where("size(base) + size(terms) > 0").mapInArrow(_masker, schema)
+    out = _marked(docs, "text", keep, True, PASS_TERMS, mask=True)
     if "n_chars" in keep:
-        changed = changed.withColumn("n_chars", F.length("_text").cast(docs.schema["n_chars"].dataType))
-    same = out.where("size(base) + size(terms) = 0").select(*keep, "_text")
-    return changed.select(*keep, "_text").unionByName(same).withColumnRenamed("_text", "text").select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col("_changed"), F.length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.drop("_changed").withColumnRenamed("_text", "text").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -19,6 +19,8 @@ U64 = np.uint64
 GOLDEN = U64(0x9E3779B97F4A7C15)
 BASE = 0xD1342543DE82EF95
 CHUNK_BYTES = 1 << 20
+#: Rows of a batch of whole texts on the way back to Spark, which holds a batch twice.
+OUT_ROWS = 1000
 
 
 def worker_cache(key: str, make: Callable[[], object]):
