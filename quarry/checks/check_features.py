@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarry.checks.check_eval import LI_KEY
 from quarry.checks.inputs import LINEITEM_MESSY_SQL, docs_train, lineitem_messy
 from quarry.operators import features as FE
+from quarry.operators.folds import cross_folds
 from quarry.registry import r6, register, table
 
 NUM = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -88,11 +89,10 @@ def q_onehot(spark, sf):
     """F-12: one-hot vectors; rows per hot slot, mapped back to the category name."""
     o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     m = FE.OneHotEncode(["o_orderstatus"]).fit(o)
-    labels = m.indexer.labelsArray[0]
     arr = m.transform(o).select(vector_to_array("o_orderstatus__enc").alias("v"))
-    slot = F.array_position(F.col("v"), 1.0) - 1
-    cats = F.array(*[F.lit(x) for x in labels])
-    return arr.select(cats[slot.cast("int")].alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    slots = arr.select((F.array_position(F.col("v"), 1.0) - 1).alias("slot")).groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
+    names = m.tables["o_orderstatus"]
+    return slots.join(names, F.col("slot") == F.col("__code")).select(F.col("__v").alias("category"), "n")
 
 
 @register("class_weights_documents", """
@@ -130,6 +130,27 @@ def q_target_encoded_rows(spark, sf):
     return rows.select("doc_id", r6(F.col("source__te0")).alias("encoding"))
 
 
+_CROSS_SQL = """
+WITH t AS (SELECT d.doc_id, d.source, CAST(l.quality AS DOUBLE) AS y,
+           CAST(('0x' || substr(md5(concat_ws('|', '42', 'cross', coalesce(CAST(d.doc_id AS VARCHAR), '␀'))), 1, 8)) AS BIGINT) % 5 AS j
+           FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+a AS (SELECT x.doc_id, x.source,
+             (SELECT avg(y) FROM t o WHERE o.j <> x.j) AS prior,
+             (SELECT coalesce(sum(y), 0) FROM t o WHERE o.j <> x.j AND o.source = x.source) AS s,
+             (SELECT count(*) FROM t o WHERE o.j <> x.j AND o.source = x.source) AS n
+      FROM t x)
+SELECT doc_id, R6((s + 10.0 * prior) / (n + 10.0)) AS encoding FROM a"""
+
+
+@register("target_cross_fitted_documents", _CROSS_SQL)
+def q_target_cross_fitted(spark, sf):
+    """F-13: every training row encoded from the other inner folds; its own label never enters."""
+    train = docs_train(spark, sf).select("doc_id", "source", F.col("quality").cast("double").alias("label"))
+    train = cross_folds(train, ["doc_id"])
+    rows = FE.TargetEncode(["source"], "label").fit(train).transform(train)
+    return rows.select("doc_id", r6(F.col("source__te0")).alias("encoding"))
+
+
 @register("factorize_part", """
 WITH c AS (SELECT p_type AS v, CAST(row_number() OVER (ORDER BY p_type) - 1 AS DOUBLE) AS code
            FROM (SELECT DISTINCT p_type FROM part) d)

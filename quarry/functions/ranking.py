@@ -19,10 +19,16 @@ def dense_codes(values: DataFrame, col: str, out: str = "code") -> DataFrame:
     sorted values are checkpointed, so places and sizes come from the same
     layout.  The size table has one row per partition, whatever the input.
     """
+    values = values.select(F.col(col)).where(F.col(col).isNotNull()).distinct()
+    return positions(values, [col], out)
+
+
+def positions(rows: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``rows`` with ``out`` (long): each row's place from 0 in ascending ``order``, which must tell all rows apart."""
     part, place = F.shiftright("__at", PARTITION_BIT), F.col("__at").bitwiseAND((1 << PARTITION_BIT) - 1)
-    values = values.select(F.col(col)).where(F.col(col).isNotNull()).distinct().orderBy(col)
-    placed = checkpoint(values.withColumn("__at", F.monotonically_increasing_id())).select(col, part.alias("__part"), place.alias("__place"))
+    placed = checkpoint(rows.orderBy(*order).withColumn("__at", F.monotonically_increasing_id()))
+    placed = placed.select(*rows.columns, part.alias("__part"), place.alias("__place"))
     sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__size"))
     before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    return placed.join(F.broadcast(starts), "__part").select(col, (F.col("__start") + F.col("__place")).alias(out))
+    return placed.join(F.broadcast(starts), "__part").select(*rows.columns, (F.col("__start") + F.col("__place")).alias(out))

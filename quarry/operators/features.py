@@ -14,15 +14,16 @@ assembler picks up whatever survived.
 from __future__ import annotations
 
 from pyspark.ml import Estimator, Model, Transformer
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.session import checkpoint
 
 from quarry.functions.ranking import dense_codes
 from quarry.functions.stats import column_quantiles
+from quarry.operators.folds import CROSS_COLUMN, CROSS_FOLDS
 from quarry.operators.persist import Saved
 
 # Fixed values.
@@ -256,21 +257,36 @@ class Scaler(Estimator, _Stage):
         return _AffineModel(params)
 
 
+def _coded(df: DataFrame, tables: dict, cols: list[str], unseen: dict) -> DataFrame:
+    """Adds ``<c>__idx`` (double) from the dictionary of each column; values it does not hold get ``unseen[c]``."""
+    out = df
+    for c in cols:
+        t = tables[c].select(F.col("__v").alias("__w"), F.col("__code").cast("double").alias("__k"))
+        out = out.join(t, F.col(f"`{c}`").cast("string") == F.col("__w"), "left").withColumn(
+            f"{c}__idx", F.coalesce(F.col("__k"), F.lit(float(unseen[c])))).drop("__w", "__k")
+    return out
+
+
+def category_dictionary(df: DataFrame, cols: list[str]) -> tuple[dict, dict]:
+    """({column: DataFrame (__v, __code)}, {column: number of categories}): categories in value order, codes from 0.
+
+    The dictionary stays a table, written once (checkpoint); only its length
+    comes to the driver, so the number of categories has no bound there.
+    """
+    tables = {c: checkpoint(dense_codes(df.select(_q(c).cast("string").alias("__v")), "__v", "__code")) for c in cols}
+    return tables, {c: t.count() for c, t in tables.items()}
+
+
 class _OrdinalModel(Model, Saved):
-    SAVED = ("inner", "cols")
+    SAVED = ("tables", "cols")
 
-    def __init__(self, inner, cols):
+    def __init__(self, tables, cols):
         super().__init__()
-        self.inner, self.cols = inner, list(cols)
+        self.tables, self.cols = dict(tables), list(cols)
 
     def _transform(self, df):
-        out = self.inner.transform(df)
-        sizes = {c: len(lab) for c, lab in zip(self.cols, self.inner.labelsArray)}
-        # unseen -> index n (the "keep" bucket) -> -1; projection drops the nominal metadata
-        return out.select(
-            *[_q(c) for c in df.columns if c not in self.cols],
-            *[F.when(F.col(f"{c}__idx") == sizes[c], F.lit(-1.0)).otherwise(F.col(f"{c}__idx")).alias(f"{c}__enc") for c in self.cols],
-        )
+        out = _coded(df, self.tables, self.cols, dict.fromkeys(self.cols, -1.0))
+        return out.select(*[_q(c) for c in df.columns if c not in self.cols], *[F.col(f"`{c}__idx`").alias(f"{c}__enc") for c in self.cols])
 
 
 class OrdinalEncode(Estimator, _Stage):
@@ -282,28 +298,31 @@ class OrdinalEncode(Estimator, _Stage):
 
     def _fit(self, df):
         cols = self._present(df, self.cols)
-        si = StringIndexer(inputCols=cols, outputCols=[f"{c}__idx" for c in cols], handleInvalid="keep",
-                           stringOrderType="alphabetAsc")
-        return _OrdinalModel(si.fit(df), cols)
+        return _OrdinalModel(category_dictionary(df, cols)[0], cols)
 
 
 class _OneHotModel(Model, Saved):
-    SAVED = ("indexer", "encoder", "cols")
+    SAVED = ("tables", "sizes", "cols")
 
-    def __init__(self, indexer, encoder, cols):
+    def __init__(self, tables, sizes, cols):
         super().__init__()
-        self.indexer, self.encoder, self.cols = indexer, encoder, list(cols)
+        self.tables, self.sizes, self.cols = dict(tables), dict(sizes), list(cols)
 
     def _transform(self, df):
-        out = self.encoder.transform(self.indexer.transform(df))
-        return out.drop(*[f"{c}__idx" for c in self.cols])
+        out = _coded(df, self.tables, self.cols, self.sizes)
+        # the number of codes alone, no labels: unseen values have the last code, which is dropped
+        nominal = {c: {"ml_attr": {"type": "nominal", "num_vals": self.sizes[c] + 1}} for c in self.cols}
+        out = out.select(*[_q(c) for c in df.columns], *[F.col(f"`{c}__idx`").alias(f"{c}__idx", metadata=nominal[c]) for c in self.cols])
+        enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in self.cols], outputCols=[f"{c}__enc" for c in self.cols],
+                            dropLast=True, handleInvalid="error")
+        return enc.fit(out).transform(out).drop(*[f"{c}__idx" for c in self.cols])
 
 
 class OneHotEncode(Estimator, _Stage):
     """F-12: one column per seen category; unseen -> all zeros; no level dropped.
 
-    StringIndexer(keep) gives unseen values the extra index n; OneHotEncoder
-    with dropLast drops exactly that extra slot.
+    Codes come from a joined dictionary (:func:`category_dictionary`), with one
+    more code for unseen values; OneHotEncoder with dropLast drops that slot.
     """
 
     def __init__(self, cols):
@@ -312,42 +331,58 @@ class OneHotEncode(Estimator, _Stage):
 
     def _fit(self, df):
         cols = self._present(df, self.cols)
-        si = StringIndexer(inputCols=cols, outputCols=[f"{c}__idx" for c in cols], handleInvalid="keep",
-                           stringOrderType="alphabetAsc").fit(df)
-        enc = OneHotEncoder(inputCols=[f"{c}__idx" for c in cols], outputCols=[f"{c}__enc" for c in cols],
-                            dropLast=True, handleInvalid="error").fit(si.transform(df))
-        return _OneHotModel(si, enc, cols)
+        return _OneHotModel(*category_dictionary(df, cols), cols)
+
+
+def left_out_mean(total: Column, part: Column, n: Column, n_part: Column, prior: Column, m: float) -> Column:
+    """Smoothed mean of a category without one inner fold."""
+    return (total - part + m * prior) / (n - n_part + m)
 
 
 class _TargetEncModel(Model, Saved):
-    SAVED = ("tables", "prior", "cols", "classes")
+    """Rows with an inner fold (``CROSS_COLUMN``, the training rows) get the table without that fold; all others the full one."""
+
+    SAVED = ("tables", "prior", "cols", "classes", "left_out")
 
-    def __init__(self, tables, prior, cols, classes):
+    def __init__(self, tables, prior, cols, classes, left_out=None):
         super().__init__()
         self.tables, self.prior, self.cols, self.classes = tables, prior, list(cols), classes
+        self.left_out = left_out  # per target: the prior without each inner fold
 
     def _transform(self, df):
+        crossed = CROSS_COLUMN in df.columns and self.left_out
+        fold = F.col(CROSS_COLUMN) if crossed else None
         out = df
         for c in self.cols:
             t = self.tables[c]
             out = out.join(t, out[f"`{c}`"].eqNullSafe(t["__v"]), "left").drop("__v")
             for k, p in enumerate(self.prior):
-                out = out.withColumn(f"{c}__te{k}", F.coalesce(F.col(f"__te{k}"), F.lit(p))).drop(f"__te{k}")
+                full = F.coalesce(F.col(f"__te{k}"), F.lit(p))
+                if crossed:
+                    lone = F.array(*[F.lit(x) for x in self.left_out[k]])
+                    full = F.when(fold.isNotNull(), F.coalesce(F.col(f"__lo{k}")[fold], lone[fold])).otherwise(full)
+                out = out.withColumn(f"{c}__te{k}", full)
+            out = out.drop(*[x for x in t.columns if x != "__v"])
         return out
 
 
 class TargetEncode(Estimator, _Stage):
     """F-13: smoothed target mean per category, (sum_y + m * prior) / (n + m).
 
-    Binary/regression: one column; multiclass: one column per class.  The
-    per-category table has one row per distinct category; it is checkpointed
+    Binary/regression: one column; multiclass: one column per class.  Training
+    rows are cross-fitted when the frame carries ``CROSS_COLUMN``
+    (``folds.cross_folds``): a row of inner fold j is encoded with sums, counts
+    and prior of the other inner folds, so its own label never enters.  These
+    tables are the totals minus the fold, from the same one aggregation.  A
+    category that only fold j holds gets the prior without j.
+
+    The per-category table has one row per distinct category; it is checkpointed
     and stays a DataFrame, whose measured size decides how it is joined.
-    Cross-fitting of the training rows is not done (documented difference).
     """
 
-    def __init__(self, cols, label="label", classes=None, smoothing=TARGET_SMOOTHING):
+    def __init__(self, cols, label="label", classes=None, smoothing=TARGET_SMOOTHING, parts=CROSS_FOLDS):
         super().__init__()
-        self.cols, self.label, self.classes, self.m = list(cols), label, classes, smoothing
+        self.cols, self.label, self.classes, self.m, self.parts = list(cols), label, classes, smoothing, parts
 
     def _fit(self, df):
         cols = self._present(df, self.cols)
@@ -355,19 +390,31 @@ class TargetEncode(Estimator, _Stage):
         targets = [y] if not self.classes or len(self.classes) <= 2 else [
             (F.col(self.label) == float(i)).cast("double") for i in range(len(self.classes))
         ]
-        pri = df.agg(*[F.avg(t).alias(f"p{k}") for k, t in enumerate(targets)]).first()
-        prior = [pri[f"p{k}"] for k in range(len(targets))]
+        inner = [F.col(CROSS_COLUMN) == j for j in range(self.parts)] if CROSS_COLUMN in df.columns else []
+
+        def sums():
+            out = [F.count(F.lit(1)).alias("__n"), *[F.sum(t).alias(f"__s{k}") for k, t in enumerate(targets)]]
+            if inner:
+                out.append(F.array(*[F.count(F.when(j, 1)) for j in inner]).alias("__np"))
+                out += [F.array(*[F.coalesce(F.sum(F.when(j, t)), F.lit(0.0)) for j in inner]).alias(f"__sp{k}") for k, t in enumerate(targets)]
+            return out
+
+        whole = df.agg(*sums()).first()
+        n = whole["__n"]
+        prior = [whole[f"__s{k}"] / n if n else None for k in range(len(targets))]
+        left_out = None
+        if inner and n:
+            left_out = [[(whole[f"__s{k}"] - whole[f"__sp{k}"][j]) / (n - whole["__np"][j]) if n > whole["__np"][j] else prior[k]
+                         for j in range(self.parts)] for k in range(len(targets))]
         tables = {}
         for c in cols:
-            agg = df.groupBy(F.col(f"`{c}`").alias("__v")).agg(
-                F.count(F.lit(1)).alias("__n"), *[F.sum(t).alias(f"__s{k}") for k, t in enumerate(targets)]
-            )
-            t = agg.select(
-                "__v",
-                *[((F.col(f"__s{k}") + self.m * prior[k]) / (F.col("__n") + self.m)).alias(f"__te{k}") for k in range(len(targets))],
-            )
-            tables[c] = checkpoint(t)
-        return _TargetEncModel(tables, prior, cols, self.classes)
+            agg = df.groupBy(F.col(f"`{c}`").alias("__v")).agg(*sums())
+            out = [((F.col(f"__s{k}") + self.m * prior[k]) / (F.col("__n") + self.m)).alias(f"__te{k}") for k in range(len(targets))]
+            if left_out:
+                out += [F.array(*[left_out_mean(F.col(f"__s{k}"), F.col(f"__sp{k}")[j], F.col("__n"), F.col("__np")[j], F.lit(left_out[k][j]), self.m)
+                                  for j in range(self.parts)]).alias(f"__lo{k}") for k in range(len(targets))]
+            tables[c] = checkpoint(agg.select("__v", *out))
+        return _TargetEncModel(tables, prior, cols, self.classes, left_out)
 
 
 class _AssembleModel(Model, Saved):

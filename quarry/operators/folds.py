@@ -96,3 +96,12 @@ def assign_folds(df: DataFrame, key: list[str], label: str, task: str, k: int =
     if task == "regression":
         return assign_kfold(df, key, k, seed, col)
     return assign_stratified(df, key, label, k, seed, col)
+
+
+#: Column that tells the inner folds of training rows to stages whose training transform differs (F-13).
+CROSS_COLUMN, CROSS_FOLDS = "__cross", 5
+
+
+def cross_folds(df: DataFrame, key: list[str], k: int = CROSS_FOLDS, seed: int = SEED) -> DataFrame:
+    """Tag training rows with inner folds: hash mod k, independent of the outer folds."""
+    return df.withColumn(CROSS_COLUMN, (hash_unit(key, seed, "cross") % k).cast("int"))
