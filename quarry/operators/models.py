@@ -51,7 +51,7 @@ RF_TREES = 100
 RF_MAX_DEPTH = 12
 
 
-def _params(plan) -> dict:
+def plan_params(plan) -> dict:
     raw = plan.get("model_params") or {}
     if isinstance(raw, str):
         raw = json.loads(raw) if raw else {}
@@ -86,12 +86,13 @@ class ModelStage(Estimator):
     """M-1..M-7: picks the Spark estimator for (model name, task) at fit time.
 
     Fit-time facts the objective needs (training size, label std, class count)
-    come from one small aggregation over the training frame.
+    come from one small aggregation over the training frame, or are given
+    (``facts``: n, wsum, ystd) where they are known already.
     """
 
-    def __init__(self, model, task, params=None, weight_col=None, n_classes=2, smote=False):
+    def __init__(self, model, task, params=None, weight_col=None, n_classes=2, smote=False, facts=None):
         super().__init__()
-        self.smote = smote
+        self.smote, self.facts = smote, facts
         self.model, self.task, self.model_params = model, task, dict(params or {})
         self.weight_col, self.n_classes = weight_col, n_classes
         is_reg = task == "regression"
@@ -144,8 +145,10 @@ class ModelStage(Estimator):
             from quarry.operators.neighbors import smote
 
             df = smote(df.select("features", "label"), "label", "features")
-        w = F.col(self.weight_col) if self.weight_col else F.lit(1.0)
-        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("wsum"), F.stddev_pop("label").alias("ystd")).first()
+        row = self.facts
+        if row is None or self.smote:
+            w = F.col(self.weight_col) if self.weight_col else F.lit(1.0)
+            row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(w).alias("wsum"), F.stddev_pop("label").alias("ystd")).first()
         facts = {"n": max(row["n"], 1), "wsum": max(row["wsum"] or 1.0, 1e-12), "ystd": row["ystd"] or 0.0}
         est = self._estimator(facts)
         return _FittedModel(est.fit(df), self.task, self.n_classes)
@@ -203,7 +206,7 @@ def build_pipeline(plan: dict, column_types: dict, task: str, n_classes: int = 2
             stages.append(FE.TargetEncode(categorical, "label", list(range(n_classes)) if task != "regression" else None))
     stages.append(FE.AssembleFeatures(numeric, categorical))
     smote = plan.get("imbalance_strategy") == "smote" and task != "regression"
-    stages.append(ModelStage(plan["model"], task, _params(plan), weight_col, n_classes, smote=smote))
+    stages.append(ModelStage(plan["model"], task, plan_params(plan), weight_col, n_classes, smote=smote))
     return Pipeline(stages=stages)
 
 

@@ -1,7 +1,9 @@
 """Cross-validated evaluation of plans (E-4, E-10 .. E-14).
 
-For each plan and fold a fresh pipeline is fitted on the other folds and
-applied to the held-out fold (all preprocessing refits inside the fold).  Fold
+For each plan and fold the preprocessing and the model of the other folds are
+applied to the held-out fold.  The preprocessing of all folds comes from one
+grouped count (:mod:`quarry.plans.fold_fit`) or, for imputers that need whole
+rows, from a fresh pipeline inside each fold.  Fold
 predictions are unioned into one frame, metrics are computed per fold from
 that frame with the jobs in ``operators.metrics``, and a failing plan is
 recorded with score -inf and its error text without stopping the others.
@@ -13,14 +15,14 @@ released at the end.
 from __future__ import annotations
 
 import time
-import traceback
 
 from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.features import class_weight_column
-from quarry.operators.folds import assign_folds
+from quarry.operators.folds import CROSS_COLUMN, assign_folds, cross_folds
 from quarry.operators.metrics import (
     BINARY_METRICS,
     MULTICLASS_METRICS,
@@ -30,7 +32,9 @@ from quarry.operators.metrics import (
     fold_average,
     task_metrics,
 )
-from quarry.operators.models import build_pipeline, n_steps
+from quarry.operators.models import ModelStage, build_pipeline, n_steps, plan_params, validate_plan
+from quarry.plans.fold_fit import FoldFits
+from quarry.session import checkpoint
 
 ATTEMPT_SCHEMA = (
     "plan_id string, imputation string, outlier_handling string, encoding string, scaling string, "
@@ -56,27 +60,57 @@ def label_index(df: DataFrame, target: str, task: str):
     return tdf, classes
 
 
+def weighted(plan: dict, task: str) -> bool:
+    """Whether the plan's model is fitted with class weights."""
+    return plan.get("imbalance_strategy") == "class_weight" and task != "regression" and plan["model"] in (
+        "logistic_regression", "random_forest", "lightgbm")
+
+
+def shared_fit(fits: FoldFits, plan: dict, task: str, n_classes: int, i: int) -> PipelineModel:
+    """Preprocessing of training set ``i`` from the shared statistics, and the model fitted on it."""
+    validate_plan(plan)
+    prep = fits.preprocessing(plan, i)
+    train = prep.transform(fits.df.where(F.col("fold") != i))
+    weight = None
+    if weighted(plan, task):
+        weight = "weight"
+        pairs = [F.lit(float(x)) for cell in sorted(fits.class_weights()[i].items()) for x in cell]
+        train = train.withColumn(weight, F.create_map(*pairs)[F.col("label")])
+    smote = plan.get("imbalance_strategy") == "smote" and task != "regression"
+    n, ystd = fits.label_facts()[i]
+    facts = {"n": n, "wsum": float(n), "ystd": ystd}  # balanced weights sum to the number of rows
+    stage = ModelStage(plan["model"], task, plan_params(plan), weight, n_classes, smote=smote, facts=facts)
+    return PipelineModel([*prep.stages, stage.fit(train.select("features", "label", *([weight] if weight else [])))])
+
+
 def cv_predictions(df: DataFrame, plan: dict, column_types: dict, task: str, classes, k: int,
-                   parallelism: int | None = None) -> DataFrame:
+                   parallelism: int | None = None, fits: FoldFits | None = None) -> DataFrame:
     """E-4: union of held-out predictions ``(fold, label, prediction[, score|probs])``.
 
-    Fold fits are independent Spark jobs; like ``CrossValidator(parallelism)``
+    With ``fits`` the preprocessing of all folds comes from statistics counted
+    once (:mod:`quarry.plans.fold_fit`), and only the models are fitted fold by
+    fold; plans it does not handle refit every stage inside each fold.  Model
+    fits are independent Spark jobs; like ``CrossValidator(parallelism)``
     they are submitted from a small driver thread pool so the cluster is not
     idle between the short jobs of one fit.
     """
     n_classes = len(classes) if classes else 2
+    shared = fits is not None and fits.handles(plan)
+    if shared:
+        validate_plan(plan)
+        fits.preprocessing(plan, 0)  # the statistics, before the threads ask for them
 
     def one(i):
-        train = df.where(F.col("fold") != i)
-        test = df.where(F.col("fold") == i)
-        weight = None
-        if plan.get("imbalance_strategy") == "class_weight" and task != "regression" and plan["model"] in (
-            "logistic_regression", "random_forest", "lightgbm"
-        ):
-            train = class_weight_column(train, "label", "weight")
-            weight = "weight"
-        pipe = build_pipeline(plan, column_types, task, n_classes, weight)
-        model = pipe.fit(train)
+        test = df.where(F.col("fold") == i).drop(CROSS_COLUMN)
+        if shared:
+            model = shared_fit(fits, plan, task, n_classes, i)
+        else:
+            train = df.where(F.col("fold") != i)
+            weight = None
+            if weighted(plan, task):
+                train = class_weight_column(train, "label", "weight")
+                weight = "weight"
+            model = build_pipeline(plan, column_types, task, n_classes, weight).fit(train)
         pred = model.transform(test)
         cols = [F.lit(i).alias("fold"), "label", "prediction"]
         if task == "binary":
@@ -95,40 +129,64 @@ def cv_predictions(df: DataFrame, plan: dict, column_types: dict, task: str, cla
     return out
 
 
+class Training:
+    """The labelled, fold-tagged frame of one target with its shared statistics; a context manager.
+
+    Plans evaluated on it, and the refit of the best one, read the same counts.
+    """
+
+    def __init__(self, df: DataFrame, target: str, key: list[str], task: str, column_types: dict, cv: int = 5, seed: int = 42):
+        self.feats = {c: t for c, t in column_types.items() if c != target and c not in key}
+        self.task, self.cv = task, cv
+        lab, self.classes = label_index(df.where(F.col(f"`{target}`").isNotNull()), target, task)
+        folded = cross_folds(assign_folds(lab, key, "label", task, cv, seed), key)
+        self.folded = folded.persist(StorageLevel.MEMORY_AND_DISK)
+        self.n_classes = len(self.classes) if self.classes else 2
+        self.fits = FoldFits(self.folded, self.feats, task, self.n_classes, cv)
+
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.fits.close()
+        self.folded.unpersist()
+
+    def refit(self, plan: dict) -> PipelineModel | None:
+        """M-8 from the shared statistics, or None where the plan needs a pipeline of its own."""
+        return shared_fit(self.fits, plan, self.task, self.n_classes, self.cv) if self.fits.handles(plan) else None
+
+
 def evaluate_plans(df: DataFrame, plans: list[dict], target: str, key: list[str], task: str,
-                   column_types: dict, cv: int = 5, seed: int = 42) -> DataFrame:
+                   column_types: dict, cv: int = 5, seed: int = 42, training: Training | None = None) -> DataFrame:
     """E-13: evaluate every plan; returns the attempts frame (one row per plan, in order)."""
+    if training is None:
+        with Training(df, target, key, task, column_types, cv, seed) as own:
+            return evaluate_plans(df, plans, target, key, task, column_types, cv, seed, own)
     spark = df.sparkSession
-    feats = {c: t for c, t in column_types.items() if c != target and c not in key}
-    lab, classes = label_index(df.where(F.col(f"`{target}`").isNotNull()), target, task)
-    folded = assign_folds(lab, key, "label", task, cv, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    feats, classes, folded, fits = training.feats, training.classes, training.folded, training.fits
     rows = []
-    try:
-        for pos, plan in enumerate(plans):
-            t0 = time.perf_counter()
-            err = preds = None
-            try:
-                preds = cv_predictions(folded, plan, feats, task, classes, cv).persist(StorageLevel.MEMORY_AND_DISK)
-                per_fold = task_metrics(preds, ["fold"], task, classes=list(range(len(classes))) if classes else None,
-                                        **({"score": "score"} if task == "binary" else {}))
-                summary = fold_average(per_fold.withColumn("__all", F.lit(1)), ["__all"], task).first().asDict()
-                names = {"binary": BINARY_METRICS, "multiclass": MULTICLASS_METRICS, "regression": REGRESSION_METRICS}[task]
-                metrics = {m: summary[m] for m in names if summary[m] is not None}
-                cv_std = summary["cv_std"] or 0.0
-                primary = summary[PRIMARY[task]]
-                steps = n_steps(feats)
-                score = primary - 0.5 * cv_std - 0.01 * steps
-            except Exception as e:  # noqa: BLE001 - failure isolation is the contract
-                err = f"{type(e).__name__}: {e}"[:2000]
-                metrics, cv_std, score = {}, 0.0, float("-inf")
-                traceback.format_exc()
-            finally:
-                if preds is not None:
-                    preds.unpersist()
-            runtime = time.perf_counter() - t0
-            rows.append(_attempt_row(plan, score, metrics, cv_std, runtime, err, pos))
-    finally:
-        folded.unpersist()
+    for pos, plan in enumerate(plans):
+        t0 = time.perf_counter()
+        err = preds = None
+        try:
+            preds = cv_predictions(folded, plan, feats, task, classes, cv, fits=fits).persist(StorageLevel.MEMORY_AND_DISK)
+            per_fold = task_metrics(preds, ["fold"], task, classes=list(range(len(classes))) if classes else None,
+                                    **({"score": "score"} if task == "binary" else {}))
+            summary = fold_average(per_fold.withColumn("__all", F.lit(1)), ["__all"], task).first().asDict()
+            names = {"binary": BINARY_METRICS, "multiclass": MULTICLASS_METRICS, "regression": REGRESSION_METRICS}[task]
+            metrics = {m: summary[m] for m in names if summary[m] is not None}
+            cv_std = summary["cv_std"] or 0.0
+            primary = summary[PRIMARY[task]]
+            steps = n_steps(feats)
+            score = primary - 0.5 * cv_std - 0.01 * steps
+        except Exception as e:  # noqa: BLE001 - failure isolation is the contract
+            err = f"{type(e).__name__}: {e}"[:2000]
+            metrics, cv_std, score = {}, 0.0, float("-inf")
+        finally:
+            if preds is not None:
+                preds.unpersist()
+        runtime = time.perf_counter() - t0
+        rows.append(_attempt_row(plan, score, metrics, cv_std, runtime, err, pos))
     return spark.createDataFrame(rows, ATTEMPT_SCHEMA)
 
 
@@ -148,10 +206,9 @@ def _attempt_row(plan, score, metrics, cv_std, runtime, err, pos):
 def out_of_fold(df: DataFrame, plan: dict, target: str, key: list[str], task: str, column_types: dict,
                 k: int = 3, seed: int = 42) -> DataFrame:
     """E-17: out-of-fold predictions of one plan with k folds (chart data)."""
-    feats = {c: t for c, t in column_types.items() if c != target and c not in key}
-    lab, classes = label_index(df.where(F.col(f"`{target}`").isNotNull()), target, task)
-    folded = assign_folds(lab, key, "label", task, k, seed)
-    return cv_predictions(folded, plan, feats, task, classes, k)
+    with Training(df, target, key, task, column_types, k, seed) as t:
+        # the predictions leave the persisted statistics behind
+        return checkpoint(cv_predictions(t.folded, plan, t.feats, task, t.classes, k, fits=t.fits))
 
 
 def select_best(attempts: DataFrame) -> DataFrame:

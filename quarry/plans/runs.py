@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.dtypes import column_types
-from quarry.operators.folds import split
+from quarry.operators.folds import cross_folds, split
 from quarry.operators.issues import clarification_questions, detect_issues
 from quarry.operators.metrics import PRIMARY, task_metrics
 from quarry.operators.models import build_pipeline
 from quarry.operators.prep import PrepConfig, prepare
 from quarry.operators.profile import profile as build_profile
 from quarry.plans.compare import run_facts
-from quarry.plans.evaluate import evaluate_plans, label_index, select_best
+from quarry.plans.evaluate import Training, evaluate_plans, label_index, select_best, weighted
 from quarry.plans.space import propose, rule_plan, sample_plans, search_space
 from quarry.sources.attempt_log import AttemptLog
 from quarry.sources.plan_memory import PlanMemory
@@ -129,20 +129,28 @@ def _features(df: DataFrame, target: str, key: list[str]) -> dict:
     return {c: t for c, t in column_types(df).items() if c != target and c not in key}
 
 
-def fit_best(train: DataFrame, test: DataFrame | None, plan: dict, target: str, key: list[str], task: str):
-    """M-8: refit the plan on all training rows; optionally score the hold-out rows."""
-    feats = _features(train, target, key)
-    lab, classes = label_index(train.where(F.col(f"`{target}`").isNotNull()), target, task)
-    n_classes = len(classes) if classes else 2
-    weight = None
-    if plan.get("imbalance_strategy") == "class_weight" and task != "regression" and plan["model"] in (
-        "logistic_regression", "random_forest", "lightgbm"
-    ):
-        from quarry.operators.features import class_weight_column
-
-        lab = class_weight_column(lab, "label", "weight")
-        weight = "weight"
-    model = build_pipeline(plan, feats, task, n_classes, weight).fit(lab)
+def fit_best(train: DataFrame, test: DataFrame | None, plan: dict, target: str, key: list[str], task: str,
+             training: Training | None = None):
+    """M-8: refit the plan on all training rows; optionally score the hold-out rows.
+
+    With ``training`` the preprocessing is read off the statistics its evaluation counted.
+    """
+    model = training.refit(plan) if training is not None else None
+    if model is not None:
+        classes = training.classes
+        n_classes = training.n_classes
+    else:
+        feats = _features(train, target, key)
+        lab, classes = label_index(train.where(F.col(f"`{target}`").isNotNull()), target, task)
+        n_classes = len(classes) if classes else 2
+        lab = cross_folds(lab, key)
+        weight = None
+        if weighted(plan, task):
+            from quarry.operators.features import class_weight_column
+
+            lab = class_weight_column(lab, "label", "weight")
+            weight = "weight"
+        model = build_pipeline(plan, feats, task, n_classes, weight).fit(lab)
     test_metrics = None
     if test is not None:
         tl = test.where(F.col(f"`{target}`").isNotNull())
@@ -175,9 +183,10 @@ def run_rule_baseline(df: DataFrame, target: str, key: list[str], cv: int = CV_F
         prof = build_profile(train, target)
         issues = detect_issues(train, target, prof)
         plan = _plans(rule_plan(issues, prof.target_type))
-        attempts = evaluate_plans(train, plan, target, key, prof.target_type, prof.dtypes(), cv, seed)
-        best = select_best(attempts).first()
-        model, test_metrics = fit_best(train, test, plan[0], target, key, prof.target_type)
+        with Training(train, target, key, prof.target_type, prof.dtypes(), cv, seed) as shared:
+            attempts = evaluate_plans(train, plan, target, key, prof.target_type, prof.dtypes(), cv, seed, shared)
+            best = select_best(attempts).first()
+            model, test_metrics = fit_best(train, test, plan[0], target, key, prof.target_type, shared)
     return RunResult("rule_based", uuid.uuid4().hex[:12], _best_dict(best), best["score"], best["metric_values"],
                      best["cv_std"], time.perf_counter() - t0, 1, attempts, model, test_metrics,
                      profile=prof, issues=issues)
@@ -201,19 +210,20 @@ def _random_search(train, test, t0, target, key, n_trials, cv, seed, deadline_s,
     task = prof.target_type
     plans = _plans(sample_plans(search_space(train.sparkSession, task), n_trials, seed))
     dtypes = prof.dtypes()
-    if deadline_s is None:
-        attempts = evaluate_plans(train, plans, target, key, task, dtypes, cv, seed)
-    else:
-        parts = []
-        for p in plans:
-            if time.perf_counter() - t0 > deadline_s and parts:
-                break
-            parts.append(evaluate_plans(train, [p], target, key, task, dtypes, cv, seed).withColumn("position", F.lit(len(parts))))
-        attempts = parts[0]
-        for p in parts[1:]:
-            attempts = attempts.unionByName(p)
-    best = select_best(attempts).first()
-    model, test_metrics = fit_best(train, test, _best_dict(best), target, key, task)
+    with Training(train, target, key, task, dtypes, cv, seed) as shared:
+        if deadline_s is None:
+            attempts = evaluate_plans(train, plans, target, key, task, dtypes, cv, seed, shared)
+        else:
+            parts = []
+            for p in plans:
+                if time.perf_counter() - t0 > deadline_s and parts:
+                    break
+                parts.append(evaluate_plans(train, [p], target, key, task, dtypes, cv, seed, shared).withColumn("position", F.lit(len(parts))))
+            attempts = parts[0]
+            for p in parts[1:]:
+                attempts = attempts.unionByName(p)
+        best = select_best(attempts).first()
+        model, test_metrics = fit_best(train, test, _best_dict(best), target, key, task, shared)
     return RunResult(method, uuid.uuid4().hex[:12], _best_dict(best), best["score"], best["metric_values"],
                      best["cv_std"], time.perf_counter() - t0, attempts.count(), attempts, model, test_metrics,
                      profile=prof)
@@ -263,34 +273,35 @@ def _predictive(spark, run_id, t0, train, test, target, key, max_rounds, n_plans
     history = None
     best, no_improve, converged, rounds = None, 0, False, 0
     all_attempts = []
-    for rnd in range(1, max_rounds + 1):
-        rounds = rnd
-        make = proposer or (lambda i, h, m, t, n, r: propose(i, h, m, t, n, seed, r))
-        plans = _plans(make(issues, history, mem_plans, task, n_plans, rnd))
-        attempts = evaluate_plans(train, plans, target, key, task, prof.dtypes(), cv, seed)
-        attempts = spark.createDataFrame(attempts.collect(), attempts.schema).withColumn("iteration", F.lit(rnd))
-        all_attempts.append(attempts)
-        if log is not None:
-            log.append(run_id, rnd, attempts)
-        hist_rows = attempts.select("model", "imputation", "encoding", "scaling")
-        history = hist_rows if history is None else history.unionByName(hist_rows)
-        try:
-            rb = select_best(attempts).first()
-        except ValueError:
-            rb = None
-        if rb is not None and (best is None or rb["score"] > best["score"] + min_improvement):
-            best, no_improve = rb, 0
-        else:
-            no_improve += 1
-        if best is not None and best["score"] >= score_threshold:
-            converged = True
-            break
-        if no_improve >= PLATEAU_ROUNDS:
-            break
-    if best is None:
-        raise ValueError("No successful evaluation results to select from")
-    plan = _best_dict(best)
-    model, test_metrics = fit_best(train, test, plan, target, key, task)
+    with Training(train, target, key, task, prof.dtypes(), cv, seed) as shared:
+        for rnd in range(1, max_rounds + 1):
+            rounds = rnd
+            make = proposer or (lambda i, h, m, t, n, r: propose(i, h, m, t, n, seed, r))
+            plans = _plans(make(issues, history, mem_plans, task, n_plans, rnd))
+            attempts = evaluate_plans(train, plans, target, key, task, prof.dtypes(), cv, seed, shared)
+            attempts = spark.createDataFrame(attempts.collect(), attempts.schema).withColumn("iteration", F.lit(rnd))
+            all_attempts.append(attempts)
+            if log is not None:
+                log.append(run_id, rnd, attempts)
+            hist_rows = attempts.select("model", "imputation", "encoding", "scaling")
+            history = hist_rows if history is None else history.unionByName(hist_rows)
+            try:
+                rb = select_best(attempts).first()
+            except ValueError:
+                rb = None
+            if rb is not None and (best is None or rb["score"] > best["score"] + min_improvement):
+                best, no_improve = rb, 0
+            else:
+                no_improve += 1
+            if best is not None and best["score"] >= score_threshold:
+                converged = True
+                break
+            if no_improve >= PLATEAU_ROUNDS:
+                break
+        if best is None:
+            raise ValueError("No successful evaluation results to select from")
+        plan = _best_dict(best)
+        model, test_metrics = fit_best(train, test, plan, target, key, task, shared)
     if memory is not None and use_memory:
         memory.append(fp, plan, dataset_name=target)
     attempts = all_attempts[0]
