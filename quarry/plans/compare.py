@@ -166,6 +166,7 @@ def feature_importance(model, scored: DataFrame, top: int = TOP_FEATURES) -> Dat
     carries the ML attribute metadata naming each vector slot).  Returns None
     for models without importances (linear models).
     """
+    from quarry.operators.features import _OneHotModel
     from quarry.operators.models import _FittedModel
 
     inner = next((s.inner for s in model.stages if isinstance(s, _FittedModel)), None)
@@ -178,6 +179,13 @@ def feature_importance(model, scored: DataFrame, top: int = TOP_FEATURES) -> Dat
         for a in group:
             names[a["idx"]] = a.get("name", names.get(a["idx"]))
     rows = sorted(((names[i], float(v)) for i, v in enumerate(imp)), key=lambda t: -t[1])[:top]
+    hot = next((s for s in model.stages if isinstance(s, _OneHotModel)), None)
+    for c in hot.cols if hot else ():  # slots carry codes; only those of the top are looked up
+        place = {int(n.rsplit("_", 1)[1]): n for n, _ in rows if n.startswith(f"{c}__enc_") and n.rsplit("_", 1)[1].isdigit()}
+        if place:
+            found = hot.tables[c].where(F.col("__code").isin(list(place))).collect()
+            label = {place[r["__code"]]: f"{c}__enc_{r['__v']}" for r in found}
+            rows = [(label.get(n, n), v) for n, v in rows]
     return scored.sparkSession.createDataFrame(rows, "feature string, importance double")
 
 

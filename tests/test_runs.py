@@ -71,6 +71,7 @@ def test_feature_importance_names(spark):
     m = build_pipeline(plan, {"a": "numeric", "b": "numeric", "c": "categorical"}, "binary").fit(df)
     fi = feature_importance(m, m.transform(df)).collect()
     names = [r["feature"] for r in fi]
+    assert all(not n.rsplit("_", 1)[1].isdigit() for n in names if n.startswith("c__enc_"))
     assert "a" in names and "b" in names and all(not n.startswith("f") or n.startswith("f") and n in ("a", "b") for n in names[:2])
 
 
