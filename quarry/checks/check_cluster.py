@@ -126,6 +126,32 @@ def q_dbscan_line(spark, sf):
     return dbscan(pts, ["o_orderkey"], ["x"], float(LINE_EPS), LINE_MIN)
 
 
+PLANE_EPS, PLANE_MIN = 17, 5
+PLANE_X, PLANE_Y = "p_size * 10", "CAST(round(p_retailprice * 10) AS BIGINT) % 1000"
+
+#: All pairs of the plane, then the smallest core row that each core row reaches.
+PLANE_SQL = f"""
+WITH RECURSIVE p AS (SELECT p_partkey AS id, CAST({PLANE_X} AS DOUBLE) AS x, CAST({PLANE_Y} AS DOUBLE) AS y FROM part),
+e AS (SELECT a.id AS u, b.id AS v FROM p a JOIN p b
+      ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= {PLANE_EPS * PLANE_EPS}),
+core AS (SELECT u AS id FROM e GROUP BY u HAVING count(*) >= {PLANE_MIN}),
+cc AS (SELECT u, v FROM e JOIN core a ON a.id = u JOIN core b ON b.id = v WHERE u <> v),
+reach AS (SELECT id, id AS lab FROM core UNION SELECT cc.v, r.lab FROM reach r JOIN cc ON cc.u = r.id WHERE r.lab < cc.v),
+c AS (SELECT id, min(lab) AS lab FROM reach GROUP BY id),
+border AS (SELECT e.u AS id, min(c.lab) AS lab FROM e JOIN c ON c.id = e.v WHERE e.u NOT IN (SELECT id FROM core) GROUP BY e.u),
+lab AS (SELECT id, lab FROM c UNION ALL SELECT id, lab FROM border),
+num AS (SELECT lab, row_number() OVER (ORDER BY lab) - 1 AS cluster FROM (SELECT DISTINCT lab FROM c))
+SELECT p.id AS p_partkey, CAST(coalesce(num.cluster, -1) AS INTEGER) AS cluster
+FROM p LEFT JOIN lab ON p.id = lab.id LEFT JOIN num ON lab.lab = num.lab"""
+
+
+@register("dbscan_plane_part", PLANE_SQL)
+def q_dbscan_plane(spark, sf):
+    """C-4: DBSCAN labels of every part in the plane of size and price."""
+    pts = table(spark, sf, "part").select("p_partkey", F.expr(PLANE_X).cast("double").alias("x"), F.expr(PLANE_Y).cast("double").alias("y"))
+    return dbscan(pts, ["p_partkey"], ["x", "y"], float(PLANE_EPS), PLANE_MIN)
+
+
 @register("pca_points_customer")
 def q_pca(spark, sf):
     """C-9: 2-D PCA coordinates of the clustered rows."""

@@ -6,12 +6,7 @@
 * Ward (C-3), two-phase at every size: ``KMeans`` to ``micro_clusters`` weighted
   micro-clusters on Spark (an argument), then the Ward merge of those centroids (a bounded
   table, never the rows) on the driver, and the labels are joined back.
-* DBSCAN (C-4): grid cells of side eps on up to three leading dimensions; each
-  row meets only rows of the 3^g adjacent cells, distances are checked
-  exactly, core rows have >= min_samples neighbours (self included), core
-  components come from star contraction of the core-core edges until none
-  changes (lineage cut with ``checkpoint()`` each round), border rows take the
-  smallest adjacent core label, the rest is noise (-1).
+* DBSCAN (C-4): micro-cells, see ``density.py``.
 * Quality (C-5, C-6): the squared-Euclidean silhouette in linear time from
   per-cluster sufficient statistics (the exact Euclidean form needs all pairs
   and is not offered), and the Davies-Bouldin index from centroids.
@@ -30,11 +25,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.graph import connected_components
-from quarry.session import checkpoint
-
-from quarry.functions.ranking import dense_codes
+from quarry.operators.density import dbscan
 from quarry.operators.prep import nonconstant_columns
+from quarry.session import checkpoint
 
 # Fixed values of the cluster sweep.
 MAX_K = 8
@@ -44,7 +37,6 @@ DBSCAN_EPS = [0.3, 0.5, 0.7, 1.0, 1.5, 2.0]
 DBSCAN_MIN_SAMPLES = 5
 DBSCAN_MIN_POINTS = 10
 MICRO_CLUSTERS = 256
-GRID_DIMS = 3
 SEED = 42
 METHOD_ORDER = ["kmeans", "hierarchical", "dbscan"]
 
@@ -186,42 +178,6 @@ def ward_merge(centroids: np.ndarray, weights: np.ndarray, k: int) -> np.ndarray
     return out
 
 
-def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samples: int = DBSCAN_MIN_SAMPLES) -> DataFrame:
-    """C-4: exact DBSCAN labels ``(key..., cluster)`` with noise -1 (see module docstring)."""
-    g = cols[:GRID_DIMS]
-    pts = vec.select(*key, *cols).withColumn("__id", F.struct(*key)).withColumn(
-        "__cell", F.array(*[F.floor(F.col(c) / eps).cast("long") for c in g])
-    )
-    offsets = [[]]
-    for _ in g:
-        offsets = [o + [d] for o in offsets for d in (-1, 0, 1)]
-    probe = pts.select("__id", *[F.col(c).alias(f"q_{c}") for c in cols], F.explode(
-        F.array(*[F.array(*[F.col("__cell")[i] + F.lit(o[i]) for i in range(len(g))]) for o in offsets])
-    ).alias("__cell"))
-    cand = probe.join(pts.select(F.col("__id").alias("__nid"), *cols, "__cell"), "__cell")
-    d2 = sum((F.col(f"q_{c}") - F.col(c)) ** 2 for c in cols)
-    edges = cand.where(d2 <= eps * eps).select("__id", "__nid").persist(StorageLevel.MEMORY_AND_DISK)
-    counts = edges.groupBy("__id").agg(F.count(F.lit(1)).alias("__n"))
-    core = counts.where(F.col("__n") >= min_samples).select("__id")
-    cc = edges.join(core, "__id", "left_semi").join(core.withColumnRenamed("__id", "__nid"), "__nid", "left_semi")
-    # contraction rounds until no edge changes: chains of any length end in one label
-    joined = connected_components(cc.select(F.col("__id").alias("u"), F.col("__nid").alias("v")))
-    labels = core.join(joined.withColumnRenamed("node", "__id"), "__id", "left").select(
-        "__id", F.coalesce("comp", "__id").alias("__lab")
-    )
-    border = edges.join(core, "__id", "left_anti").join(
-        labels.withColumnRenamed("__id", "__nid"), "__nid"
-    ).groupBy("__id").agg(F.min("__lab").alias("__lab"))
-    all_lab = labels.unionByName(border)
-    # dense cluster numbers 0..k-1 in order of each component's smallest member id
-    comp = dense_codes(all_lab.select("__lab"), "__lab", "cluster").withColumn("cluster", F.col("cluster").cast("int"))
-    out = pts.select(*key, "__id").join(all_lab, "__id", "left").join(comp, "__lab", "left").select(
-        *key, F.coalesce("cluster", F.lit(-1)).alias("cluster")
-    )
-    edges.unpersist()
-    return out
-
-
 def discover_clusters(df: DataFrame, key: list[str], features: list[str], method: str = "auto", max_k: int = MAX_K,
                       seed: int = SEED, micro_clusters: int = MICRO_CLUSTERS) -> Clustering:
     """C-7: pick the method (or the best by silhouette for "auto", ties in kmeans,
@@ -273,7 +229,7 @@ def discover_clusters(df: DataFrame, key: list[str], features: list[str], method
                         best = ("hierarchical", k, s, wl.select(*key, "cluster"))
             elif m == "dbscan":
                 for eps in DBSCAN_EPS:
-                    lab = dbscan(vec, key, cols, eps)
+                    lab = dbscan(vec, key, cols, eps, DBSCAN_MIN_SAMPLES)
                     stats = lab.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
                                     F.count_if(F.col("cluster") >= 0).alias("nn")).first()
                     if stats["k"] < 2 or stats["nn"] < DBSCAN_MIN_POINTS:
