@@ -163,11 +163,41 @@ def q_factorize(spark, sf):
 
 @register("knn_imputed_lineitem")
 def q_knn(spark, sf):
-    """F-4: k-NN imputation of the missing quantities (exact band search; no SQL twin)."""
+    """F-4: k-NN imputation of the missing quantities (exact box descent; SQL twin in ``knn_imputed_gaps_customer``)."""
     df = lineitem_messy(spark, sf).select(*LI_KEY[:2], "l_extendedprice", "l_discount", "l_quantity")
     return FE_knn(df)
 
 
+GAPS = {
+    "a": "CASE WHEN c_custkey % 5 <> 0 THEN sqrt(c_acctbal + 1000) END",
+    "b": "CASE WHEN c_custkey % 7 <> 1 THEN sqrt(c_custkey * 7919 % 10007 + 0.5) END",
+    "c": "CASE WHEN c_custkey % 3 <> 0 THEN sqrt(c_custkey * 104729 % 100003 + 0.25) END",
+}
+
+
+def _gaps_sql():
+    cols = ", ".join(f"CAST({e} AS DOUBLE) AS {c}" for c, e in GAPS.items())
+    total = " + ".join(f"coalesce((r.{c} - d.{c}) * (r.{c} - d.{c}), 0)" for c in GAPS)
+    shared = " + ".join(f"CASE WHEN r.{c} IS NOT NULL AND d.{c} IS NOT NULL THEN 1 ELSE 0 END" for c in GAPS)
+    fills = ", ".join(
+        f"f_{c} AS (SELECT id, avg(v) AS v FROM (SELECT r.id, d.{c} AS v, row_number() OVER (PARTITION BY r.id "
+        f"ORDER BY sqrt(({total}) * 3 / ({shared})), d.id) AS rank FROM t r JOIN t d ON r.{c} IS NULL AND d.{c} IS NOT NULL "
+        f"AND ({shared}) > 0) WHERE rank <= 5 GROUP BY id)" for c in GAPS)
+    out = ", ".join(f"R6(coalesce(t.{c}, f_{c}.v, (SELECT avg({c}) FROM t))) AS {c}" for c in GAPS)
+    joins = " ".join(f"LEFT JOIN f_{c} ON f_{c}.id = t.id" for c in GAPS)
+    return f"WITH t AS (SELECT c_custkey AS id, {cols} FROM customer), {fills} SELECT t.id AS c_custkey, {out} FROM t {joins}"
+
+
+@register("knn_imputed_gaps_customer", _gaps_sql())
+def q_knn_gaps(spark, sf):
+    """F-4: k-NN imputation of a table with gaps in every column, rows without any value included."""
+    from quarry.operators.neighbors import KnnImpute
+
+    df = table(spark, sf, "customer").select("c_custkey", *[F.expr(e).cast("double").alias(c) for c, e in GAPS.items()])
+    out = KnnImpute(list(GAPS)).fit(df).transform(df)
+    return out.select("c_custkey", *[r6(F.col(c)).alias(c) for c in GAPS])
+
+
 def FE_knn(df):
     from quarry.operators.neighbors import KnnImpute
 

@@ -1,34 +1,19 @@
-"""Exact k-nearest neighbours without all-pairs joins (F-4 k-NN imputation, F-17 SMOTE).
-
-Grid band search on up to three anchor coordinates (the most complete
-columns): for two rows that both have anchor ``a``, the nan-Euclidean distance
-is at least |x_a - y_a| (its weight is >= 1 and the anchor term is one of the
-summed squares).  A receiver's candidates are the donors within radius R on
-every anchor (an equi-join on grid cells of side R, each receiver probing the
-3^g adjacent cells; a hot value on one anchor is split by the others).  When at least k candidates lie within distance R,
-every donor outside the band is farther away, so the k nearest are exact;
-otherwise the receiver is retried with radius 2R.  Once R exceeds the anchor's
-range the band holds every donor and the answer is final.  Rows without the
-anchor are compared with every donor/receiver (exact, cost proportional to
-their number).  Unresolved receivers are checkpointed between rounds.
-"""
+"""k-NN imputation (F-4) and SMOTE (F-17) over the exact neighbours of ``nearest.py``."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.operators.nearest import nearest
 from quarry.operators.persist import Saved
-from quarry.session import checkpoint
 
 # Fixed values.
 KNN_NEIGHBOURS = 5
 SMOTE_NEIGHBOURS = 5
 SEED = 42
-MAX_ROUNDS = 40
 
 
 def vector_id(x: Column) -> Column:
@@ -36,153 +21,12 @@ def vector_id(x: Column) -> Column:
     return F.md5(F.array_join(F.transform(x, lambda v: v.cast("string")), ",", "null"))
 
 
-def nan_euclidean(x: Column, y: Column, n: int) -> Column:
-    """sqrt(n / m * sum over the m coordinates present in both of squared differences); NULL if m = 0."""
-    sq = F.zip_with(x, y, lambda a, b: F.when(a.isNotNull() & b.isNotNull(), (a - b) * (a - b)))
-    present = F.aggregate(sq, F.lit(0), lambda acc, v: acc + F.when(v.isNotNull(), 1).otherwise(0))
-    total = F.aggregate(sq, F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
-    return F.when(present > 0, F.sqrt(total * F.lit(float(n)) / present))
-
-
-GRID_ANCHORS = 3
-
-
-def band_knn(receivers: DataFrame, donors: DataFrame, n_dims: int, anchors, k: int) -> DataFrame:
-    """Exact k nearest donors per (receiver, target) with a grid band search.
-
-    receivers: (rid, rv array<double>, tgt array<int>) — ``tgt`` lists the
-    coordinates to impute (or ``[-1]`` to ask for plain neighbours);
-    donors: (did, dv array<double>).  A donor qualifies for target j when
-    ``dv[j]`` is present (always for -1).  ``anchors``: up to three coordinate
-    indexes; cells of side R on them, each receiver probing the 3^g adjacent
-    cells, so a hot value on one anchor is split by the others.  Returns
-    (rid, j, did, dist, dv, rank).
-    """
-    anchors = [anchors] if isinstance(anchors, int) else list(anchors)[:GRID_ANCHORS]
-    ra = [F.col("rv")[a] for a in anchors]
-    da = [F.col("dv")[a] for a in anchors]
-    have_r = F.lit(True)
-    have_d = F.lit(True)
-    for c in ra:
-        have_r = have_r & c.isNotNull()
-    for c in da:
-        have_d = have_d & c.isNotNull()
-    stats = donors.where(have_d).agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(da)],
-                                     *[F.max(c).alias(f"hi{i}") for i, c in enumerate(da)],
-                                     F.count(F.lit(1)).alias("n")).first()
-    n_d = stats["n"]
-    spans = [(stats[f"hi{i}"] - stats[f"lo{i}"]) if stats[f"lo{i}"] is not None else 0.0 for i in range(len(anchors))]
-    span = max(spans) if spans else 0.0
-    radius = initial_radius(spans, n_d, k)
-    donors_a = donors.where(have_d).persist(StorageLevel.MEMORY_AND_DISK)
-    donors_na = donors.where(~have_d)
-    pending = receivers.where(have_r)
-    offsets = [[]]
-    for _ in anchors:
-        offsets = [o + [d] for o in offsets for d in (-1, 0, 1)]
-    results = []
-    rounds = 0
-    while True:
-        rounds += 1
-        final = radius > span or rounds >= MAX_ROUNDS
-        if final:
-            cand = _all_band(pending, donors_a)
-        else:
-            cell_r = [F.floor(c / radius).cast("long") for c in ra]
-            probe = pending.withColumn("__cell", F.explode(F.array(*[
-                F.array(*[cell_r[i] + o[i] for i in range(len(anchors))]) for o in offsets])))
-            don = donors_a.withColumn("__cell", F.array(*[F.floor(c / radius).cast("long") for c in da]))
-            near = F.lit(True)
-            for i, a in enumerate(anchors):
-                near = near & (F.abs(F.col("rv")[a] - F.col("dv")[a]) <= radius)
-            cand = probe.join(don, "__cell").drop("__cell").where(near)
-        scored = _score(cand, n_dims)
-        ranked = _rank(scored, k)
-        if final:
-            results.append(ranked)
-            break
-        stat = ranked.groupBy("rid", "j").agg(F.count(F.lit(1)).alias("__c"), F.max("dist").alias("__kd"))
-        ok = stat.where((F.col("__c") >= k) & (F.col("__kd") <= radius)).select("rid", "j")
-        results.append(checkpoint(ranked.join(ok, ["rid", "j"], "left_semi")))
-        done = ok.groupBy("rid").agg(F.collect_set("j").alias("__done"))
-        pending = checkpoint(
-            pending.join(done, "rid", "left")
-            .withColumn("tgt", F.array_except("tgt", F.coalesce("__done", F.array().cast("array<int>"))))
-            .drop("__done")
-            .where(F.size("tgt") > 0)
-        )
-        if pending.take(1) == []:
-            break
-        radius *= 2
-    donors_a.unpersist()
-    # rows lacking an anchor on either side are compared directly (exact)
-    extra = [
-        _all_pairs_direct(receivers.where(~have_r), donors, n_dims, k),
-        _all_pairs_direct(receivers.where(have_r), donors_na, n_dims, k),
-    ]
-    merged = results[0]
-    for r in results[1:] + extra:
-        merged = merged.unionByName(r)
-    return _rank(merged.drop("rank"), k)
-
-
-def initial_radius(spans: list[float], n_donors: int, k: int) -> float:
-    """Radius whose band holds about 4k donors if they were spread evenly.
-
-    Expected share of donors within R on every anchor = prod min(1, 2R / span);
-    anchors of very different scale are handled (a narrow anchor stops
-    narrowing once R covers it).  Found by bisection.
-    """
-    live = [x for x in spans if x and x > 0]
-    if not live:
-        return 1.0
-    target = min(1.0, 4.0 * k / max(n_donors, 1))
-
-    def share(r):
-        out = 1.0
-        for x in live:
-            out *= min(1.0, 2.0 * r / x)
-        return out
-
-    lo, hi = 0.0, max(live)
-    for _ in range(100):
-        mid = (lo + hi) / 2
-        if share(mid) < target:
-            lo = mid
-        else:
-            hi = mid
-    return max(hi, 1e-12)
-
-
-def _all_band(pending: DataFrame, donors_a: DataFrame) -> DataFrame:
-    """Final round: one bucket covers the whole anchor range (every donor is a candidate)."""
-    return pending.withColumn("__b", F.lit(0)).join(donors_a.withColumn("__b", F.lit(0)), "__b").drop("__b")
-
-
-def _all_pairs_direct(receivers: DataFrame, donors: DataFrame, n_dims: int, k: int) -> DataFrame:
-    """Rows lacking the anchor meet every row of the other side (exact; sized by those rows); the k best are kept per task first."""
-    cand = receivers.withColumn("__b", F.lit(0)).join(donors.withColumn("__b", F.lit(0)), "__b").drop("__b")
-    return _rank(_score(cand, n_dims), k)
-
-
-def _score(cand: DataFrame, n_dims: int) -> DataFrame:
-    c = cand.withColumn("dist", nan_euclidean(F.col("rv"), F.col("dv"), n_dims))
-    c = c.withColumn("j", F.explode("tgt"))
-    ok = (F.col("j") < 0) | F.col("dv")[F.col("j")].isNotNull()
-    return c.where(ok & F.col("dist").isNotNull() & (F.col("rid") != F.col("did"))).select("rid", "j", "did", "dist", "dv")
-
-
-def _rank(scored: DataFrame, k: int) -> DataFrame:
-    w = Window.partitionBy("rid", "j").orderBy("dist", "did")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 class _KnnModel(Model, Saved):
-    SAVED = ("donors", "cols", "anchor", "means", "k")
+    SAVED = ("donors", "cols", "means", "k")
 
-    def __init__(self, donors, cols, anchor, means, k):
+    def __init__(self, donors, cols, means, k):
         super().__init__()
-        self.donors, self.cols, self.anchor, self.means, self.k = donors, cols, anchor, means, k
+        self.donors, self.cols, self.means, self.k = donors, cols, means, k
 
     def _transform(self, df):
         cols = [c for c in self.cols if c in df.columns]
@@ -193,7 +37,7 @@ class _KnnModel(Model, Saved):
         tgt = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(i)) for i, c in zip(idx, cols)]), lambda x: x.isNotNull())
         base = df.withColumn("rv", rv).withColumn("tgt", tgt).withColumn("rid", F.concat(F.lit("r"), vector_id(F.col("rv"))))
         receivers = base.where(F.size("tgt") > 0).select("rid", "rv", "tgt").dropDuplicates(["rid"])
-        nn = band_knn(receivers, self.donors, len(self.cols), self.anchor, self.k)
+        nn = nearest(receivers, self.donors, len(self.cols), self.k)
         fills = nn.groupBy("rid", "j").agg(F.avg(F.col("dv")[F.col("j")]).alias("v"))
         wide = fills.groupBy("rid").agg(F.map_from_entries(F.collect_list(F.struct("j", "v"))).alias("__fill"))
         out = base.join(wide, "rid", "left")
@@ -220,19 +64,12 @@ class KnnImpute(Estimator):
 
     def _fit(self, df):
         cols = [c for c in self.cols if c in df.columns]
-        stats = df.agg(*[F.count(F.col(f"`{c}`")).alias(f"n::{c}") for c in cols],
-                       *[F.avg(F.col(f"`{c}`")).alias(f"m::{c}") for c in cols],
-                       *[F.stddev_pop(F.col(f"`{c}`")).alias(f"s::{c}") for c in cols], F.count(F.lit(1)).alias("n")).first()
-        # the complete columns of the widest spread carry the grid (each gives a lower bound of
-        # the distance); without one, the single most complete column is the (1-D) band
-        complete = [i for i, c in enumerate(cols) if stats[f"n::{c}"] == stats["n"]]
-        complete.sort(key=lambda i: -(stats[f"s::{cols[i]}"] or 0.0))
-        anchor = complete[:GRID_ANCHORS] or [max(range(len(cols)), key=lambda i: (stats[f"n::{cols[i]}"], -i))]
+        stats = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m::{c}") for c in cols]).first()
         dv = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
         # identical donor vectors share an id; ties among them are interchangeable (same values)
         donors = df.select(F.concat(F.lit("d"), vector_id(dv)).alias("did"), dv.alias("dv"))
         means = {c: stats[f"m::{c}"] for c in cols}
-        return _KnnModel(donors, cols, anchor, means, self.k)
+        return _KnnModel(donors, cols, means, self.k)
 
 
 def smote(df: DataFrame, label: str = "label", features: str = "features", k: int = SMOTE_NEIGHBOURS,
@@ -241,7 +78,7 @@ def smote(df: DataFrame, label: str = "label", features: str = "features", k: in
 
     For class c with n_c rows and need = n_max - n_c: member m (rank b in a
     hash order) seeds floor(need / n_c) (+1 if b < need mod n_c) synthetic
-    rows; each picks one of m's k nearest same-class neighbours (exact band
+    rows; each picks one of m's k nearest same-class neighbours (exact
     search) and a gap u in [0, 1) from hashes of (m, t, seed):
     x_new = x + u * (nn - x).  Original rows are kept unchanged.
     """
@@ -262,7 +99,7 @@ def smote(df: DataFrame, label: str = "label", features: str = "features", k: in
         donors = members.select(F.col("rid").alias("did"), F.col("rv").alias("dv"))
         recv = members.withColumn("tgt", F.array(F.lit(-1)))
         if members.count() > 1:
-            nn = band_knn(recv.drop("__m"), donors, dim, list(range(min(dim, GRID_ANCHORS))), k)
+            nn = nearest(recv.drop("__m"), donors, dim, k)
         else:
             nn = donors.limit(0).select(F.col("did").alias("rid"), F.lit(1).alias("rank"), "dv")
         nn_arr = nn.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("rank", "dv"))).alias("nns"))
