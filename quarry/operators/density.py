@@ -38,22 +38,32 @@ GRID_DIMS = 3
 PART_ROWS = 65_536
 #: Two boxes of at most so many row pairs are compared row by row.
 FEW_PAIRS = 1024
+#: Distances of at most so many dimensions are written out as one expression.
+UNROLLED = 8
+
+
+def _sum2(arrays: list[str], d: int, differ) -> Column:
+    """Sum of squares of ``differ`` of the arrays' entries, in order; written out only for few dimensions."""
+    if d <= UNROLLED:
+        terms = [differ(*[F.col(a)[i] for a in arrays]) for i in range(d)]
+        return sum((t * t for t in terms), F.lit(0.0))
+    spots = F.sequence(F.lit(0), F.lit(d - 1))
+    terms = F.transform(spots, lambda i: differ(*[F.get(F.col(a), i) for a in arrays]))
+    return F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t * t)
 
 
 def _dist2(x: str, y: str, d: int) -> Column:
-    return sum((F.col(x)[i] - F.col(y)[i]) * (F.col(x)[i] - F.col(y)[i]) for i in range(d))
+    return _sum2([x, y], d, lambda a, b: a - b)
 
 
 def _gap2(alo: str, ahi: str, blo: str, bhi: str, d: int) -> Column:
     """Least squared distance between two boxes."""
-    gaps = [F.greatest(F.lit(0.0), F.col(alo)[i] - F.col(bhi)[i], F.col(blo)[i] - F.col(ahi)[i]) for i in range(d)]
-    return sum(v * v for v in gaps)
+    return _sum2([alo, ahi, blo, bhi], d, lambda al, ah, bl, bh: F.greatest(F.lit(0.0), al - bh, bl - ah))
 
 
 def _reach2(alo: str, ahi: str, blo: str, bhi: str, d: int) -> Column:
     """Greatest squared distance between rows of two boxes."""
-    ends = [F.greatest(F.col(ahi)[i] - F.col(blo)[i], F.col(bhi)[i] - F.col(alo)[i]) for i in range(d)]
-    return sum(v * v for v in ends)
+    return _sum2([alo, ahi, blo, bhi], d, lambda al, ah, bl, bh: F.greatest(ah - bl, bh - al))
 
 
 def _box(x: str, d: int) -> list[Column]:

@@ -37,7 +37,7 @@ def run(spark, points, eps, least):
     return {r["id"]: r["cluster"] for r in rows}
 
 
-@pytest.mark.parametrize("dims,eps,least,seed", [(1, 0.05, 4, 1), (2, 0.3, 5, 2), (3, 0.6, 6, 3), (6, 1.6, 4, 4)])
+@pytest.mark.parametrize("dims,eps,least,seed", [(1, 0.05, 4, 1), (2, 0.3, 5, 2), (3, 0.6, 6, 3), (6, 1.6, 4, 4), (12, 2.4, 3, 5)])
 def test_random_points(spark, dims, eps, least, seed):
     rng = random.Random(seed)
     centres = [[rng.uniform(-3, 3) for _ in range(dims)] for _ in range(4)]
