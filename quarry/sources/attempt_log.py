@@ -1,7 +1,7 @@
-"""Append-only attempt log (S-4 .. S-6), one Parquet dataset partitioned by run.
+"""Attempt log (S-4 .. S-6), one Parquet dataset partitioned by run and iteration.
 
-Writes are one append per round (never per row); reads prune partitions by
-``run_id``.  Plans and metric maps are stored as JSON text, as in the
+Writes are one per round (never per row), and a round that is written again
+replaces itself; reads prune partitions by ``run_id``.  Plans and metric maps are stored as JSON text, as in the
 modelled tool's log, and decoded on read.
 """
 
@@ -47,7 +47,11 @@ class AttemptLog:
         return p.getFileSystem(conf).exists(p)
 
     def append(self, run_id: str, iteration: int, attempts: DataFrame) -> None:
-        """S-4: append one round of attempts (the attempts frame of ``evaluate_plans``)."""
+        """S-4: add one round of attempts (the attempts frame of ``evaluate_plans``).
+
+        Only the partition of this run and iteration is overwritten, so a retried
+        round is stored once; a round without attempts changes nothing.
+        """
         rows = attempts.select(
             F.md5(F.concat_ws("|", F.lit(run_id), F.lit(str(iteration)), F.col("plan_id"), F.col("position").cast("string"))).alias("id"),
             F.lit(iteration).cast("int").alias("iteration"),
@@ -60,7 +64,7 @@ class AttemptLog:
             F.col("position").cast("int").alias("seq"),
             F.lit(run_id).alias("run_id"),
         )
-        rows.write.mode("append").partitionBy("run_id").parquet(self.path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "iteration").parquet(self.path)
 
     def load(self, run_id: str) -> DataFrame:
         """S-5: attempts of one run ordered by iteration (then write order); unknown run -> empty."""

@@ -28,6 +28,18 @@ def test_attempt_log_round_trip_isolation_and_order(spark, scratch):
     assert [r["run_id"] for r in log.runs().collect()] == ["run1", "run2"]
 
 
+def test_a_retried_round_is_stored_once(spark, scratch):
+    log = AttemptLog(spark, scratch + "/log")
+    first = attempts(spark, "p1", 0.6).unionByName(attempts(spark, "p2", 0.5))
+    log.append("run/1 =x", 1, first)
+    log.append("run/1 =x", 2, attempts(spark, "p3", 0.7))
+    log.append("other", 1, attempts(spark, "q1", 0.1))
+    log.append("run/1 =x", 1, attempts(spark, "p1", 0.65))
+    log.append("run/1 =x", 2, first.limit(0))
+    assert [(r["iteration"], r["plan_id"], r["score"]) for r in log.load("run/1 =x").collect()] == [(1, "p1", 0.65), (2, "p3", 0.7)]
+    assert log.all().count() == 3 and log.load("other").count() == 1
+
+
 def test_plan_memory_top_k(spark, scratch):
     mem = PlanMemory(spark, scratch + "/mem")
     assert mem.count() == 0 and mem.similar([1.0] * 8).count() == 0
