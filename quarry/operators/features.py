@@ -13,6 +13,7 @@ assembler picks up whatever survived.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.ml import Estimator, Model, Transformer
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.ml.regression import LinearRegression
@@ -23,6 +24,7 @@ from quarry.session import checkpoint
 
 from quarry.functions.ranking import dense_codes
 from quarry.functions.stats import column_quantiles
+from quarry.operators.chained import RIDGE, cross_products, solve
 from quarry.operators.folds import CROSS_COLUMN, CROSS_FOLDS
 from quarry.operators.persist import Saved
 
@@ -31,6 +33,7 @@ WINSOR_FACTOR = 1.5
 TARGET_SMOOTHING = 10.0  # documented smoothing m of (sum_y + m * prior) / (n + m)
 ITERATIVE_MAX_SWEEPS = 10
 ITERATIVE_TOL = 1e-3
+PATTERN_CELLS = 2_000_000  # numbers in the cross-product matrices of all missingness patterns on the driver
 
 
 def _q(c):
@@ -456,43 +459,68 @@ class IterativeImpute(Estimator, _Stage):
     Mean start, then per sweep and per column (ascending missingness) a
     linear regression on the other columns, fitted on rows where the column is
     observed, replaces the missing entries.  Stops after 10 sweeps or when the
-    largest change of an imputed mean falls below the tolerance.  Lineage is
-    cut each sweep with ``checkpoint()`` in the session's checkpoint folder.
+    largest change of an imputed mean falls below the tolerance.
+
+    All sweeps run on one table of cross products by missingness pattern
+    (:mod:`quarry.operators.chained`): three jobs in all.  Where the patterns'
+    matrices together pass ``PATTERN_CELLS`` numbers, the same regressions are
+    fitted on the rows instead, one job per column and sweep.
     """
 
-    def __init__(self, cols, max_sweeps=ITERATIVE_MAX_SWEEPS, tol=ITERATIVE_TOL):
+    def __init__(self, cols, max_sweeps=ITERATIVE_MAX_SWEEPS, tol=ITERATIVE_TOL, pattern_cells=PATTERN_CELLS):
         super().__init__()
-        self.cols, self.max_sweeps, self.tol = list(cols), max_sweeps, tol
+        self.cols, self.max_sweeps, self.tol, self.pattern_cells = list(cols), max_sweeps, tol, pattern_cells
 
     def _fit(self, df):
         cols = self._present(df, self.cols)
-        stats = df.agg(*[F.avg(_q(c)).alias(f"m::{c}") for c in cols],
+        stats = df.agg(*[F.avg(_q(c)).alias(f"m::{c}") for c in cols], *[F.stddev_pop(_q(c)).alias(f"s::{c}") for c in cols],
                        *[F.count(_q(c)).alias(f"n::{c}") for c in cols], F.count(F.lit(1)).alias("n")).first()
+        cols = [c for c in cols if stats[f"n::{c}"]]  # nothing to learn from a column without values
         means = {c: stats[f"m::{c}"] for c in cols}
         missing = sorted([c for c in cols if stats[f"n::{c}"] < stats["n"]], key=lambda c: -stats[f"n::{c}"])
-        coefs = {}
-        if len(cols) >= 2 and missing:
-            flags = [F.col(f"`{c}`").isNull().alias(f"{c}__miss") for c in missing]
-            cur = df.select(*[F.coalesce(_q(c), F.lit(means[c])).alias(c) for c in cols], *flags)
-            prev = None
-            for _ in range(self.max_sweeps):
-                for c in missing:
-                    others = [o for o in cols if o != c]
-                    va = VectorAssembler(inputCols=others, outputCol="__x")
-                    train = va.transform(cur.where(~F.col(f"{c}__miss")))
-                    lr = LinearRegression(featuresCol="__x", labelCol=c, regParam=1e-6, solver="normal").fit(train)
-                    coefs[c] = ([float(w) for w in lr.coefficients], lr.intercept, others)
-                    pred = F.lit(lr.intercept)
-                    for w, o in zip(lr.coefficients, others):
-                        pred = pred + F.lit(float(w)) * F.col(f"`{o}`")
-                    cur = cur.withColumn(c, F.when(F.col(f"{c}__miss"), pred).otherwise(F.col(f"`{c}`")))
-                cur = checkpoint(cur)
-                now = cur.agg(*[F.avg(F.when(F.col(f"{c}__miss"), F.col(f"`{c}`"))).alias(c) for c in missing]).first()
-                if prev is not None and max(abs((now[c] or 0) - (prev[c] or 0)) for c in missing) < self.tol:
-                    break
-                prev = now
+        if len(cols) < 2 or not missing:
+            return _IterativeModel(means, {}, missing)
+        gaps = df.agg(F.countDistinct(F.concat(*[F.when(_q(c).isNull(), "1").otherwise("0") for c in missing]))).first()[0]
+        if gaps * (len(cols) + 1) ** 2 > self.pattern_cells:
+            coefs = self._by_rows(df, cols, means, missing)
+        else:
+            coefs = self._by_patterns(df, cols, means, {c: stats[f"s::{c}"] or 1.0 for c in cols}, missing)
         return _IterativeModel(means, coefs, missing)
 
+    def _by_patterns(self, df, cols, means, scales, missing):
+        d, m, s = len(cols), [means[c] for c in cols], [scales[c] for c in cols]
+        cells = cross_products(df, cols, m, s).toPandas()  # gaps * (d + 1)^2 / 2 rows, bounded by pattern_cells
+        patterns = sorted(cells["pattern"].unique())
+        products = np.zeros((len(patterns), (d + 1) ** 2))
+        products[cells["pattern"].map({p: i for i, p in enumerate(patterns)}), cells["cell"]] = cells["v"]
+        products = products.reshape(-1, d + 1, d + 1)
+        products = np.triu(products) + np.transpose(np.triu(products, 1), (0, 2, 1))
+        got = solve(patterns, products, [cols.index(c) for c in missing], m, s, self.max_sweeps, self.tol)
+        return {cols[c]: (w, b, [o for o in cols if o != cols[c]]) for c, (w, b) in got.items()}
+
+    def _by_rows(self, df, cols, means, missing):
+        coefs = {}
+        flags = [F.col(f"`{c}`").isNull().alias(f"{c}__miss") for c in missing]
+        cur = df.select(*[F.coalesce(_q(c), F.lit(means[c])).alias(c) for c in cols], *flags)
+        prev = None
+        for _ in range(self.max_sweeps):
+            for c in missing:
+                others = [o for o in cols if o != c]
+                va = VectorAssembler(inputCols=others, outputCol="__x")
+                train = va.transform(cur.where(~F.col(f"{c}__miss")))
+                lr = LinearRegression(featuresCol="__x", labelCol=c, regParam=RIDGE, solver="normal").fit(train)
+                coefs[c] = ([float(w) for w in lr.coefficients], lr.intercept, others)
+                pred = F.lit(lr.intercept)
+                for w, o in zip(lr.coefficients, others):
+                    pred = pred + F.lit(float(w)) * F.col(f"`{o}`")
+                cur = cur.withColumn(c, F.when(F.col(f"{c}__miss"), pred).otherwise(F.col(f"`{c}`")))
+            cur = checkpoint(cur)
+            now = cur.agg(*[F.avg(F.when(F.col(f"{c}__miss"), F.col(f"`{c}`"))).alias(c) for c in missing]).first()
+            if prev is not None and max(abs((now[c] or 0) - (prev[c] or 0)) for c in missing) < self.tol:
+                break
+            prev = now
+        return coefs
+
 
 class _IterativeModel(Model, Saved):
     SAVED = ("means", "coefs", "order")
