@@ -147,31 +147,12 @@ def exact_quantiles(counts: DataFrame, specs: list[tuple], probs: list[float]) -
 
 
 def column_quantiles(df: DataFrame, cols: list[str], probs: list[float]) -> dict:
-    """Exact interpolated quantiles of several numeric columns without ``percentile``.
+    """Exact interpolated quantiles of several numeric columns, from scans of the raw columns.
 
-    One unpivot -> ``groupBy(column, value).count()`` job builds a value-count
-    table (persisted for the few small descent jobs), one aggregation gives the
-    non-null count and range, then :func:`exact_quantiles` selects the order
-    statistics.  Returns {column: [value per prob]} (None for empty columns).
+    Nothing is unpivoted and no value is shuffled: every round is one
+    aggregation into one row (:func:`quarry.functions.sketches.order_statistics`).
+    Returns {column: [value per prob]} (None for empty columns).
     """
-    from pyspark import StorageLevel
-
-    if not cols:
-        return {}
-    kv = F.explode(F.array(*[F.struct(F.lit(i).alias("ordinal"), F.col(f"`{c}`").cast("double").alias("v"))
-                             for i, c in enumerate(cols)]))
-    counts = (
-        df.select(kv.alias("kv")).select("kv.ordinal", "kv.v")
-        .where(F.col("v").isNotNull() & ~F.isnan("v"))
-        .select("ordinal", (F.col("v") + F.lit(0.0)).alias("v"))
-        .groupBy("ordinal", "v").agg(F.count(F.lit(1)).alias("n"))
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    )
-    try:
-        st = counts.groupBy("ordinal").agg(F.sum("n").alias("N"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()
-        specs = [(r["ordinal"], int(r["N"]), r["lo"], r["hi"]) for r in st]
-        got = exact_quantiles(counts, specs, probs) if specs else {}
-    finally:
-        counts.unpersist()
-    return {c: (None if all(got.get((i, q)) is None for q in probs) else [got.get((i, q)) for q in probs])
-            for i, c in enumerate(cols)}
+    from quarry.functions.sketches import order_statistics
+
+    return order_statistics(df, {c: probs for c in cols})
