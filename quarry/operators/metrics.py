@@ -9,9 +9,8 @@ Everything is computed from small aggregated tables:
 
 * classification counts come from the confusion table
   ``groupBy(groups, label, prediction).count()``;
-* AUC / ROC use score-grouped counts with a two-level prefix sum (score
-  buckets from an approximate quantile sketch, then a window inside each
-  (group, bucket)), so no task holds all distinct scores of a fold;
+* AUC / ROC use score-grouped counts with a prefix scan over their global
+  order, so no task holds all distinct scores of a fold;
 * log-loss, Brier and the regression errors are plain averages;
 * the median absolute error is selected exactly from per-fold value counts.
 
@@ -22,16 +21,15 @@ divisions give 0 (precision/recall/F1), NULL for sensitivity/specificity.
 
 from __future__ import annotations
 
-from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.ranking import running_totals
 
 # Fixed values of the scoring rule.
 CV_STD_PENALTY = 0.5
 COMPLEXITY_PENALTY = 0.01
 PROB_EPS = 1e-15
-SCORE_BUCKETS = 256  # prefix-sum buckets: each (group, bucket) window holds ~1/256 of a group's scores
 
 BINARY_METRICS = [
     "f1_macro", "f1_weighted", "precision_macro", "recall_macro", "sensitivity", "specificity",
@@ -115,42 +113,26 @@ def label_metrics(conf: DataFrame, groups: list[str], binary: bool) -> DataFrame
     return m.drop("__c", "__s", "__pt", "__pp", "__tt")
 
 
-def _score_buckets(scored: DataFrame, score: str, n: int = SCORE_BUCKETS) -> DataFrame:
-    """Attach a monotone bucket id of ``score`` (approximate quantile splits)."""
-    qs = [i / n for i in range(1, n)]
-    cuts = scored.approxQuantile(score, qs, 1.0 / (4 * n)) if scored.take(1) else []
-    splits = sorted(set(c for c in cuts if c is not None))
-    splits = [float("-inf")] + splits + [float("inf")]
-    return Bucketizer(splits=splits, inputCol=score, outputCol="__bkt", handleInvalid="keep").transform(scored)
-
-
 def ranked_score_counts(preds: DataFrame, groups: list[str], score: str, positive: Column) -> DataFrame:
     """Per (groups, score): pos, neg and the counts of negatives/positives strictly below.
 
-    Two-level prefix sum: bucket totals (small window over buckets) plus the
-    running sum inside (groups, bucket).
+    The counts are made once, written in (groups, score) order with their
+    running totals (:func:`quarry.functions.ranking.running_totals`), and the
+    totals at the group's first score are taken off.  No group is held by one
+    task.  Rows with a NULL group are left out; NULL scores count as largest.
     """
     g = preds.groupBy(*groups, F.col(score).alias("__s")).agg(
         F.sum(positive.cast("long")).alias("pos"), F.sum((~positive).cast("long")).alias("neg")
-    )
-    g = _score_buckets(g, "__s")
-    tot = g.groupBy(*groups, "__bkt").agg(F.sum("pos").alias("bpos"), F.sum("neg").alias("bneg"))
-    w_b = Window.partitionBy(*groups).orderBy("__bkt").rowsBetween(Window.unboundedPreceding, -1)
-    tot = tot.withColumn("off_pos", F.coalesce(F.sum("bpos").over(w_b), F.lit(0))).withColumn(
-        "off_neg", F.coalesce(F.sum("bneg").over(w_b), F.lit(0))
-    ).drop("bpos", "bneg")
-    w_in = Window.partitionBy(*groups, "__bkt").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    g = g.withColumn("in_pos", F.coalesce(F.sum("pos").over(w_in), F.lit(0))).withColumn(
-        "in_neg", F.coalesce(F.sum("neg").over(w_in), F.lit(0))
-    )
-    j = g.join(tot, [*groups, "__bkt"])
-    return j.select(
+    ).fillna(0, ["pos", "neg"])
+    run = running_totals(g, [*groups, "__s"], {"pos": "__rp", "neg": "__rn"})
+    first = run.groupBy(*groups).agg(F.min("__rp").alias("__fp"), F.min("__rn").alias("__fn"))
+    return run.join(first, groups).select(
         *groups,
         F.col("__s").alias("score"),
         "pos",
         "neg",
-        (F.col("off_pos") + F.col("in_pos")).alias("pos_below"),
-        (F.col("off_neg") + F.col("in_neg")).alias("neg_below"),
+        (F.col("__rp") - F.col("__fp")).alias("pos_below"),
+        (F.col("__rn") - F.col("__fn")).alias("neg_below"),
     )
 
 
