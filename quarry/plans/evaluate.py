@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import time
 
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -122,7 +122,7 @@ def cv_predictions(df: DataFrame, plan: dict, column_types: dict, task: str, cla
     from concurrent.futures import ThreadPoolExecutor
 
     with ThreadPoolExecutor(max_workers=parallelism or k) as pool:
-        parts = list(pool.map(one, range(k)))
+        parts = list(pool.map(inheritable_thread_target(df.sparkSession)(one), range(k)))  # fits carry the caller's job tags
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
