@@ -25,7 +25,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.density import dbscan
+from quarry.operators.density import dbscan, dbscan_sweep  # noqa: F401 - dbscan is offered here
 from quarry.operators.prep import nonconstant_columns
 from quarry.session import checkpoint
 
@@ -38,6 +38,8 @@ DBSCAN_MIN_SAMPLES = 5
 DBSCAN_MIN_POINTS = 10
 MICRO_CLUSTERS = 256
 SEED = 42
+#: Up to so many clusters stand as literals in the plan of the silhouette.
+FEW_CLUSTERS = 64
 METHOD_ORDER = ["kmeans", "hierarchical", "dbscan"]
 
 
@@ -86,9 +88,13 @@ def silhouette_sq(df: DataFrame, features: str = "features", label: str = "clust
         F.count(F.lit(1)).alias("n"),
         F.array(*[F.sum(F.col("x")[i]) for i in range(dim)]).alias("y"),
         F.sum("nx").alias("psi"),
-    ).collect()
-    if len(stats) < 2:
+    )
+    few = stats.limit(FEW_CLUSTERS + 1).collect()
+    if len(few) < 2:
         return None
+    if len(few) > FEW_CLUSTERS:
+        return _silhouette_by_blocks(base, stats)
+    stats = few
     # cluster table as literals: bounded by the cluster count
     parts = []
     for r in stats:
@@ -105,11 +111,67 @@ def silhouette_sq(df: DataFrame, features: str = "features", label: str = "clust
     return rows.agg(F.avg(s)).first()[0]
 
 
+def _silhouette_step():
+    """A function on a block of rows and one of clusters, made here so that it travels to the workers by value."""
+    import numpy as np
+    import pyarrow as pa
+
+    def vectors(column):
+        flat = column.combine_chunks().flatten().to_numpy()
+        return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+
+    def step(table):
+        """(rid, mean squared distance to the rest of its cluster, least one to another cluster) as far as the block has them."""
+        side = table.column("side").to_numpy()
+        rows, clusters = table.filter(pa.array(side == 0)), table.filter(pa.array(side == 1))
+        if not rows.num_rows or not clusters.num_rows:
+            return pa.table({"rid": pa.array([], pa.int64()), "a": pa.array([], pa.float64()), "b": pa.array([], pa.float64())})
+        names = clusters.column("c").to_numpy()
+        order = np.argsort(names)
+        names, y = names[order], vectors(clusters.column("x"))[order]
+        n, psi = clusters.column("rid").to_numpy()[order].astype(float), clusters.column("s").to_numpy()[order]
+        x, c, nx = vectors(rows.column("x")), rows.column("c").to_numpy(), rows.column("s").to_numpy()
+        a, b = np.full(len(x), np.nan), np.full(len(x), np.inf)
+        for lo in range(0, len(x), 1024):
+            hi, every = min(lo + 1024, len(x)), np.arange(min(1024, len(x) - lo))
+            at = np.minimum(np.searchsorted(names, c[lo:hi]), len(names) - 1)
+            own = names[at] == c[lo:hi]
+            total = nx[lo:hi, None] * n + psi - 2 * (x[lo:hi] @ y.T)
+            many = own & (n[at] > 1)
+            a[lo:hi][many] = total[every[many], at[many]] / (n[at[many]] - 1)
+            total /= n
+            total[every[own], at[own]] = np.inf
+            b[lo:hi] = total.min(1)
+        return pa.table({"rid": rows.column("rid"), "a": pa.array(a, mask=np.isnan(a)), "b": b})
+
+    return step
+
+
+def _silhouette_by_blocks(base: DataFrame, stats: DataFrame) -> float | None:
+    """The mean silhouette where clusters are many: blocks of rows meet blocks of clusters as matrix products."""
+    base = checkpoint(base.withColumn("rid", F.monotonically_increasing_id()))
+    stats = checkpoint(stats)
+    n, k = base.count(), stats.count()
+    rows_in, clusters_in = -(-n // min(max(n // 16, 1024), 16_384)), -(-k // 8192)
+    deal = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m)).cast("int")
+    span = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
+    rows = base.select(F.lit(0).alias("side"), F.col("c").cast("long").alias("c"), "rid", F.col("nx").alias("s"), "x", deal("rid", rows_in).alias("i"), span(clusters_in).alias("j"))
+    clusters = stats.select(F.lit(1).alias("side"), F.col("c").cast("long").alias("c"), F.col("n").alias("rid"), F.col("psi").alias("s"), F.col("y").alias("x"), span(rows_in).alias("i"), deal("c", clusters_in).alias("j"))
+    met = rows.union(clusters).repartition(min(1000, rows_in * clusters_in), "i", "j")
+    near = met.groupBy("i", "j").applyInArrow(_silhouette_step(), "rid long, a double, b double")
+    each = near.groupBy("rid").agg(F.max("a").alias("a"), F.min("b").alias("b"))
+    s = F.when(F.col("a").isNull(), F.lit(0.0)).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return each.agg(F.avg(s)).first()[0]
+
+
 def davies_bouldin(df: DataFrame, cols: list[str], label: str = "cluster") -> float | None:
     """C-6: mean over clusters of max_j (s_i + s_j) / d(c_i, c_j); noise is a cluster here."""
-    cents = df.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols]).collect()
+    centres = df.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols])
+    cents = centres.limit(FEW_CLUSTERS + 1).collect()
     if len(cents) < 2:
         return None
+    if len(cents) > FEW_CLUSTERS:
+        return _davies_bouldin_by_blocks(df, centres, cols, label)
     cmap = {r[label]: np.array([r[c] for c in cols], dtype=float) for r in cents}
     expr = F.lit(None).cast("double")
     for k, v in cmap.items():
@@ -130,6 +192,49 @@ def davies_bouldin(df: DataFrame, cols: list[str], label: str = "cluster") -> fl
     return float(np.mean(vals))
 
 
+def _davies_bouldin_step():
+    """A function on two blocks of clusters, made here so that it travels to the workers by value."""
+    import numpy as np
+    import pyarrow as pa
+
+    def step(table):
+        """(c, greatest (s_i + s_j) / d(c_i, c_j)) of the clusters of one block over those of the other."""
+        side = table.column("side").to_numpy()
+        left, right = (table.filter(pa.array(side == k)) for k in (0, 1))
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"c": pa.array([], pa.int64()), "worst": pa.array([], pa.float64())})
+        (c, s, x), (d, t, y) = ((k.column("c").to_numpy(), k.column("s").to_numpy(), k.column("x").combine_chunks().flatten().to_numpy().reshape(k.num_rows, -1)) for k in (left, right))
+        worst = np.empty(len(c))
+        for i in range(len(c)):
+            gap = np.sqrt(((y - x[i]) ** 2).sum(1))
+            r = np.divide(s[i] + t, gap, out=np.full(len(d), np.inf), where=gap > 0)
+            worst[i] = np.where(d == c[i], 0.0, r).max()
+        return pa.table({"c": c, "worst": worst})
+
+    return step
+
+
+def _davies_bouldin_by_blocks(df: DataFrame, centres: DataFrame, cols: list[str], label: str) -> float | None:
+    """The index where clusters are many: centres stay a table, and blocks of them meet pairwise."""
+    centres = checkpoint(centres.select(F.col(label).cast("long").alias("c"), F.array(*cols).alias("y")))
+    rows = df.select(F.col(label).cast("long").alias("c"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
+    # the rows of a large cluster are dealt to several tasks
+    deals = 16
+    rows = rows.withColumn("deal", F.pmod(F.xxhash64("x"), F.lit(deals)).cast("int"))
+    spread = centres.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(deals - 1))))
+    gap = F.sqrt(F.aggregate(F.zip_with("x", "y", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+    scatter = rows.join(spread, ["c", "deal"]).groupBy("c").agg(F.avg(gap).alias("s"))
+    known = checkpoint(centres.join(scatter, "c").select("c", "s", F.col("y").alias("x")))
+    n = known.count()
+    blocks = -(-n // min(max(n // 16, 256), 8192))
+    block, span = F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = known.select(F.lit(0).alias("side"), "c", "s", "x", block.alias("i"), span.alias("j"))
+    right = known.select(F.lit(1).alias("side"), "c", "s", "x", span.alias("i"), block.alias("j"))
+    met = left.union(right).repartition(min(1000, blocks * blocks), "i", "j")
+    worst = met.groupBy("i", "j").applyInArrow(_davies_bouldin_step(), "c long, worst double")
+    return worst.groupBy("c").agg(F.max("worst").alias("worst")).agg(F.avg("worst")).first()[0]
+
+
 def _kmeans_labels(vec: DataFrame, k: int, seed: int):
     model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster", maxIter=50).fit(vec)
     return model, model.transform(vec)
@@ -228,8 +333,7 @@ def discover_clusters(df: DataFrame, key: list[str], features: list[str], method
                     if s is not None and (best is None or s > best[2]):
                         best = ("hierarchical", k, s, wl.select(*key, "cluster"))
             elif m == "dbscan":
-                for eps in DBSCAN_EPS:
-                    lab = dbscan(vec, key, cols, eps, DBSCAN_MIN_SAMPLES)
+                for eps, lab in zip(DBSCAN_EPS, dbscan_sweep(vec, key, cols, list(DBSCAN_EPS), DBSCAN_MIN_SAMPLES), strict=True):
                     stats = lab.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("k"),
                                     F.count_if(F.col("cluster") >= 0).alias("nn")).first()
                     if stats["k"] < 2 or stats["nn"] < DBSCAN_MIN_POINTS:

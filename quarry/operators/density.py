@@ -19,11 +19,21 @@ holds a third of all rows never meets in one task.
 
 Bounds are sums in the order of the distance itself, and rounding is monotone:
 a box never decides otherwise than its rows would.
+
+One case takes a shorter way to the same labels when the keys are distinct:
+
+* With over ``UNROLLED`` dimensions no grid separates rows.  Equal vectors become
+  one with a weight, and blocks of vectors meet pairwise: a matrix product decides
+  most pairs, those near eps are summed again in the order of the distance.  That
+  is quadratic in time, but a task holds two blocks, and a block pair gives counts,
+  a spanning forest of its links and least labels, never its pairs.  A sweep counts
+  the neighbours for every eps in one pass.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +50,8 @@ PART_ROWS = 65_536
 FEW_PAIRS = 1024
 #: Distances of at most so many dimensions are written out as one expression.
 UNROLLED = 8
+#: Vectors of a block are a sixteenth of all, within these bounds.
+BLOCK_ROWS = (1024, 16_384)
 
 
 def _sum2(arrays: list[str], d: int, differ) -> Column:
@@ -148,6 +160,152 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+def _block_steps():
+    """Functions on the vectors of two blocks, made here so that they travel to the workers by value."""
+    import numpy as np
+    import pyarrow as pa
+
+    def sides(table):
+        """(columns, vectors) of the rows of either side."""
+        side = table.column("side").to_numpy()
+        for s in (0, 1):
+            rows = table.filter(pa.array(side == s))
+            flat = rows.column("x").combine_chunks().flatten().to_numpy()
+            yield rows, flat.reshape(rows.num_rows, -1) if rows.num_rows else np.zeros((0, 1))
+
+    def tiles(x, y, eps2s):
+        """(first row, first column, k, rows within eps k of columns) for every part of the two blocks with such a pair."""
+        xx, yy = (x * x).sum(1), (y * y).sum(1)
+        slack = 1e-15 * (x.shape[1] + 4) * (xx.max(initial=0) + yy.max(initial=0))
+        for i in range(0, len(x), 1024):
+            for j in range(0, len(y), 2048):
+                a, b = x[i : i + 1024], y[j : j + 2048]
+                dist = xx[i : i + 1024, None] + yy[None, j : j + 2048] - 2 * (a @ b.T)
+                if (dist > max(eps2s) + slack).all():
+                    continue
+                for k, eps2 in enumerate(eps2s):
+                    hit = dist <= eps2 - slack
+                    r, c = np.nonzero(~hit & ~(dist > eps2 + slack))
+                    for lo in range(0, len(r), 1 << 18):
+                        p, q = r[lo : lo + (1 << 18)], c[lo : lo + (1 << 18)]
+                        total = np.zeros(len(p))
+                        for t in range(x.shape[1]):
+                            gap = a[p, t] - b[q, t]
+                            total += gap * gap
+                        hit[p, q] = total <= eps2
+                    if hit.any():
+                        yield i, j, k, hit
+
+    def counts(key, table, eps2s):
+        (left, x), (right, y) = sides(table)
+        w, v = (t.column("w").to_numpy().astype(float) for t in (left, right))
+        near, back = np.zeros((len(eps2s), len(x))), np.zeros((len(eps2s), len(y)))
+        for i, j, k, hit in tiles(x, y, eps2s):
+            hit = hit.astype(float)
+            near[k, i : i + len(hit)] += hit @ v[j : j + hit.shape[1]]
+            back[k, j : j + hit.shape[1]] += w[i : i + len(hit)] @ hit
+        c = [left.column("c").to_numpy()]
+        if key[0].as_py() != key[1].as_py():
+            c, near = [*c, right.column("c").to_numpy()], np.concatenate([near, back], 1)
+        return pa.table({"c": np.concatenate(c), **{f"n{k}": near[k].astype(np.int64) for k in range(len(eps2s))}})
+
+    def tree(hit):
+        """Pairs (row, column) that connect what ``hit`` connects, fewer than its rows and columns."""
+        rows, cols = hit.any(1), hit.any(0)
+        found = []
+        while rows.any():
+            now = np.array([rows.argmax()])
+            rows[now] = False
+            while len(now):
+                part = hit[now]
+                new = np.flatnonzero(part.any(0) & cols)
+                cols[new] = False
+                found.append((now[part[:, new].argmax(0)], new))
+                part = hit[:, new]
+                now = np.flatnonzero(part.any(1) & rows)
+                rows[now] = False
+                if len(now):
+                    found.append((now, new[part[now].argmax(1)]))
+        return np.concatenate([r for r, _ in found]), np.concatenate([c for _, c in found])
+
+    def forests(key, table, eps2s):
+        (left, x), (right, y) = sides(table)
+        c, d = left.column("c").to_numpy(), right.column("c").to_numpy()
+        found = [np.zeros((2, 0), np.int64)]
+        for i, j, _, hit in tiles(x, y, eps2s):
+            r, q = tree(hit)
+            found.append(np.stack([c[i + r], d[j + q]]))
+        u, v = np.concatenate(found, 1)
+        return pa.table({"u": u, "v": v})
+
+    def borders(key, table, eps2s):
+        (left, x), (right, y) = sides(table)
+        label, none = right.column("w").to_numpy(), np.iinfo(np.int64).max
+        best = np.full(len(x), none)
+        for i, j, _, hit in tiles(x, y, eps2s):
+            least = np.where(hit, label[None, j : j + hit.shape[1]], none).min(1)
+            best[i : i + len(hit)] = np.minimum(best[i : i + len(hit)], least)
+        some = best < none
+        return pa.table({"c": left.column("c").to_numpy()[some], "w": best[some]})
+
+    return counts, forests, borders
+
+
+def _meet(left: DataFrame, right: DataFrame | None, blocks: int, step, eps2s: list[float], schema: str) -> DataFrame:
+    """``step`` on each two blocks of rows (c, w, x); without ``right`` on each unordered two of ``left``."""
+    block, last = F.pmod(F.xxhash64("c"), F.lit(blocks)).cast("int"), F.lit(blocks - 1)
+    rows = left.select("c", "w", "x", block.alias("b"))
+    others = rows if right is None else right.select("c", "w", "x", block.alias("b"))
+    start, end = (F.lit(0), last) if right is not None else (F.col("b"), F.col("b"))
+    a = rows.select(F.lit(0).alias("side"), "c", "w", "x", F.col("b").alias("i"), F.explode(F.sequence(start, last)).alias("j"))
+    b = others.select(F.lit(1).alias("side"), "c", "w", "x", F.explode(F.sequence(F.lit(0), end)).alias("i"), F.col("b").alias("j"))
+    met = a.union(b).repartition(min(1000, blocks * blocks), "i", "j")
+
+    def run(key, table):
+        return step(key, table, eps2s)
+
+    return met.groupBy("i", "j").applyInArrow(run, schema)
+
+
+def _by_blocks(pts: DataFrame, n: int, epss: list[float], least: int) -> Iterator[DataFrame | None]:
+    """For each eps (id, cluster) of every row that is not noise, or None if all are."""
+    counts, forests, borders = _block_steps()
+    deal = F.pmod(F.xxhash64("id"), F.lit(n // PART_ROWS + 1)).cast("int")
+    pts = pts.withColumn("part", deal)
+    tally = checkpoint(pts.groupBy("x", "part").agg(F.count(F.lit(1)).alias("w"), F.min("id").alias("first")))
+    vecs = tally.groupBy("x").agg(F.sum("w").alias("w"), F.min("first").alias("first"))
+    vecs = checkpoint(vecs.withColumn("c", F.monotonically_increasing_id()))
+    members = checkpoint(pts.join(tally.select("x", "part").join(vecs.select("x", "c"), "x"), ["x", "part"]).select("id", "part", "c"))
+
+    def blocks(m: int) -> int:
+        return -(-m // min(max(m // 16, BLOCK_ROWS[0]), BLOCK_ROWS[1]))
+
+    eps2s, names = [e * e for e in epss], [f"n{k}" for k in range(len(epss))]
+    near = _meet(vecs, None, blocks(vecs.count()), counts, eps2s, "c long, " + ", ".join(f"{k} long" for k in names))
+    near = checkpoint(near.groupBy("c").agg(*[F.sum(k).alias(k) for k in names]))
+    sizes = near.join(vecs.select("c", "w"), "c").agg(*[F.count_if(F.col(k) >= least) for k in names], *[F.count_if((F.col(k) < least) & (F.col(k) > F.col("w"))) for k in names]).first()
+    for k, name in enumerate(names):
+        n_cores, n_loose = sizes[k], sizes[len(names) + k]
+        if not n_cores:
+            yield None
+            continue
+        known = vecs.join(near.select("c", name), "c")
+        cores = checkpoint(known.where(F.col(name) >= least).select("c", "w", "x", "first"))
+        links = checkpoint(_meet(cores, None, blocks(n_cores), forests, [eps2s[k]], "u long, v long"))
+        comps = connected_components(links).withColumnRenamed("node", "c")
+        nodes = checkpoint(cores.select("c", "first").join(comps, "c", "left").select("c", "first", F.coalesce("comp", "c").alias("comp")))
+        firsts = nodes.groupBy("comp").agg(F.min("first").alias("first"))
+        codes = firsts.join(dense_codes(firsts, "first", "cluster"), "first").select("comp", "cluster")
+        labels = checkpoint(nodes.join(codes, "comp").select("c", F.col("cluster").alias("w")))
+        if n_loose:
+            loose = known.where((F.col(name) < least) & (F.col(name) > F.col("w"))).select("c", "w", "x")
+            there = cores.select("c", "x").join(labels, "c")
+            border = _meet(loose, there, blocks(max(n_cores, n_loose)), borders, [eps2s[k]], "c long, w long")
+            labels = labels.union(border.groupBy("c").agg(F.min("w")))
+        spread = members.select("c", "part").distinct().join(labels, "c")
+        yield members.join(spread, ["c", "part"]).select("id", F.col("w").cast("int").alias("cluster"))
+
+
 def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samples: int = 5) -> DataFrame:
     """DBSCAN labels ``(key..., cluster)``: 0.. in order of each cluster's smallest core key, noise -1.
 
@@ -155,15 +313,37 @@ def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samp
     row is its own.  Rows with a null or non-finite coordinate are noise and
     nobody's neighbour; an empty table gives an empty result.
     """
-    if not eps > 0:
-        raise ValueError(f"eps must be above 0, got {eps}")
-    d, eps2 = len(cols), eps * eps
+    return next(dbscan_sweep(vec, key, cols, [eps], min_samples))
+
+
+def dbscan_sweep(vec: DataFrame, key: list[str], cols: list[str], epss: list[float], min_samples: int = 5) -> Iterator[DataFrame]:
+    """The labels of :func:`dbscan` for each of ``epss``, one after the other."""
+    for eps in epss:
+        if not eps > 0:
+            raise ValueError(f"eps must be above 0, got {eps}")
+    d = len(cols)
     keyed = vec.select(*key, F.struct(*key).alias("__id"))
     pts = vec.select(F.struct(*key).alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     pts = pts.where(F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf")))))
     n, far = pts.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("x", F.abs)))).first()
+    noise = F.lit(-1).alias("cluster")
     if not n:
-        return keyed.select(*key, F.lit(-1).alias("cluster"))
+        yield from (keyed.select(*key, noise) for _ in epss)
+        return
+    found = None
+    if d > UNROLLED and pts.select("id").distinct().count() == n:
+        found = _by_blocks(pts, n, epss, min_samples)
+    for eps in epss:
+        got = next(found) if found is not None else _by_cells(pts, n, far, d, eps, min_samples)
+        if got is None:
+            yield keyed.select(*key, noise)
+        else:
+            yield keyed.join(got.toDF("__id", "__cluster"), "__id", "left").select(*key, F.coalesce("__cluster", F.lit(-1)).alias("cluster"))
+
+
+def _by_cells(pts: DataFrame, n: int, far: float, d: int, eps: float, min_samples: int) -> DataFrame:
+    """(id, cluster) of every row that is not noise, by micro-cells."""
+    eps2 = eps * eps
     # sides give way a little to the rounding of far coordinates, so that cells never exceed eps across
     side = eps / math.sqrt(d) * (1 - min(0.5, max(1e-9, far * math.sqrt(d) / eps * 2.0**-50)))
     deal = F.pmod(F.xxhash64("id"), F.lit(n // PART_ROWS + 1)).cast("int")
@@ -197,5 +377,4 @@ def dbscan(vec: DataFrame, key: list[str], cols: list[str], eps: float, min_samp
     sure, hits = _meetings(loose, pairs, boxes.select("c", "lo", "hi").join(labels, "c"), cores.select("c", "part", "x"), parts, d, eps2)
     own = loose.join(labels, "c").select("id", "cluster")
     border = own.union(sure.select("id", "cluster")).union(hits.select("id", "cluster")).groupBy("id").agg(F.min("cluster").alias("cluster"))
-    found = core_labels.union(border).toDF("__id", "__cluster")
-    return keyed.join(found, "__id", "left").select(*key, F.coalesce("__cluster", F.lit(-1)).alias("cluster"))
+    return core_labels.union(border)

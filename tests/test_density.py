@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions.graph import connected_components
-from quarry.operators.density import dbscan
+from quarry.operators import density
+from quarry.operators.density import dbscan, dbscan_sweep
 
 
 def brute(points, eps, least):
@@ -87,3 +88,23 @@ def test_components_of_a_hub_and_a_chain(spark):
     edges = [(0, i) for i in range(1, 400)] + [(1000 + i, 1001 + i) for i in range(150)] + [(7, 7)]
     got = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 1000 for i in range(151)) and len(got) == 551
+
+
+def test_many_dimensions_by_blocks(spark, monkeypatch):
+    """Three eps of one sweep over blocks of vectors: counts, links and borders across blocks, copies as weights."""
+    monkeypatch.setattr(density, "BLOCK_ROWS", (16, 40))
+    monkeypatch.setattr(density, "_by_cells", lambda *_: pytest.fail("cells of many dimensions"))
+    rng = random.Random(7)
+    centres = [[rng.uniform(-2, 2) for _ in range(10)] for _ in range(5)]
+    pts = [[c + rng.gauss(0, 0.3) for c in rng.choice(centres)] for _ in range(180)] + [[0.5 * i] + [4.0] * 9 for i in range(12)]
+    points = [((i * 31) % 997, *x) for i, x in enumerate(pts)] + [(3000 + i, *pts[3]) for i in range(9)]
+    df = spark.createDataFrame(points, "id long, " + ", ".join(f"x{i} double" for i in range(10)))
+    epss = [0.1, 0.5, 1.3]
+    for eps, got in zip(epss, dbscan_sweep(df, ["id"], [f"x{i}" for i in range(10)], epss, 3), strict=True):
+        assert {r["id"]: r["cluster"] for r in got.collect()} == brute(points, eps, 3)
+
+
+def test_repeated_keys_stay_with_cells(spark):
+    points = [(1, 0.0), (1, 0.0), (2, 0.1), (3, 5.0)]
+    df = spark.createDataFrame(points, "id long, x0 double")
+    assert sorted(tuple(r) for r in dbscan(df, ["id"], ["x0"], 0.5, 3).collect()) == [(1, 0)] * 4 + [(2, 0), (3, -1)]
