@@ -20,8 +20,12 @@ holds a third of all rows never meets in one task.
 Bounds are sums in the order of the distance itself, and rounding is monotone:
 a box never decides otherwise than its rows would.
 
-One case takes a shorter way to the same labels when the keys are distinct:
+Two cases take a shorter way to the same labels when the keys are distinct:
 
+* On one axis the rows are dealt to tiles, each with the rows of 3 eps beyond its
+  borders.  A tile sorts its values, counts by binary search and cuts clusters at
+  gaps above eps; only chains across tile borders meet in a graph.  A table with
+  over ``TILE_ROWS`` rows in a tile of least width stays with the cells.
 * With over ``UNROLLED`` dimensions no grid separates rows.  Equal vectors become
   one with a weight, and blocks of vectors meet pairwise: a matrix product decides
   most pairs, those near eps are summed again in the order of the distance.  That
@@ -37,6 +41,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.graph import connected_components
 from quarry.functions.ranking import dense_codes, positions
@@ -50,6 +55,8 @@ PART_ROWS = 65_536
 FEW_PAIRS = 1024
 #: Distances of at most so many dimensions are written out as one expression.
 UNROLLED = 8
+#: Most rows of a tile on one axis, and its least width in eps.
+TILE_ROWS, TILE_EPS = 1 << 18, 16
 #: Vectors of a block are a sixteenth of all, within these bounds.
 BLOCK_ROWS = (1024, 16_384)
 
@@ -160,6 +167,120 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return out.distinct()
 
 
+def _tile_labels():
+    """A function for one tile of ``_on_a_line``, made here so that it travels to the workers by value."""
+    import numpy as np
+    import pyarrow as pa
+
+    def spans(u, eps2):
+        """For each of the ascending values the last one within eps: by binary search, then by the distance itself."""
+        last = np.searchsorted(u, u + np.sqrt(eps2), "right") - 1
+        while True:
+            after = np.minimum(last + 1, len(u) - 1)
+            up = (after > last) & ((u[after] - u) * (u[after] - u) <= eps2)
+            down = (u[last] - u) * (u[last] - u) > eps2
+            if not (up.any() or down.any()):
+                return last
+            last = last + up - down
+
+    def labels(table, eps2, least, ends):
+        """The tile's own rows (id, core, node, other node) and the links between its nodes and those of the tile before.
+
+        Nodes are runs of core values, numbered from 0 in ascending order; ``ends`` is a second number of the last one.
+        """
+        v, own = table.column("v").to_numpy(), table.column("own").to_numpy()
+        tile, ids = table.column("tile")[0].as_py(), table.column("id").combine_chunks()
+        u, at, copies = np.unique(v, return_inverse=True, return_counts=True)
+        last = spans(u, eps2)
+        upto = np.concatenate([[0], np.cumsum(copies)])
+        core = upto[last + 1] - upto[np.searchsorted(last, np.arange(len(u)))] >= least
+        inside = np.zeros(len(u), bool)
+        inside[at[own]] = True
+        cores, lo, hi = np.flatnonzero(core), np.flatnonzero(inside)[0], np.flatnonzero(inside)[-1]
+        starts = np.ones(len(cores), bool)
+        starts[1:] = last[cores[:-1]] < cores[1:]
+        mine = inside[cores]
+        first = tile * (ends + 1)
+        run = np.cumsum(starts & mine) - 1
+        linked = bool(mine.any()) and not starts[np.flatnonzero(mine)[0]]
+        node = first + run + (1 if linked else 0)
+        node = np.where(cores < lo, first - 1, np.where(cores > hi, first + ends + 1, node))
+        name, other = np.full(len(u), -1, np.int64), np.full(len(u), -1, np.int64)
+        some, two = core.copy(), np.zeros(len(u), bool)
+        name[cores] = node
+        loose = np.flatnonzero(~core)
+        if len(cores) and len(loose):
+            k = np.searchsorted(cores, loose)
+            left, right = np.maximum(k - 1, 0), np.minimum(k, len(cores) - 1)
+            near_left = (k > 0) & (last[cores[left]] >= loose)
+            near_right = (k < len(cores)) & (last[loose] >= cores[right])
+            some[loose], two[loose] = near_left | near_right, near_left & near_right
+            name[loose] = np.where(near_left, node[left], node[right])
+            other[loose] = node[right]
+        links = [(first + int(run[mine][-1]) + (1 if linked else 0), first + ends)] if mine.any() else []
+        links += [(first, first - 1)] if linked else []
+        rows = at[own]
+        n = len(links)
+        none = pa.nulls(n, pa.bool_())
+        return pa.table({
+            "id": pa.concat_arrays([ids.filter(pa.array(own)), pa.nulls(n, ids.type)]),
+            "core": pa.concat_arrays([pa.array(core[rows]), none]),
+            "node": pa.concat_arrays([pa.array(name[rows], mask=~some[rows]), pa.array([a for a, _ in links], pa.int64())]),
+            "other": pa.concat_arrays([pa.array(other[rows], mask=~two[rows]), pa.array([b for _, b in links], pa.int64())]),
+        })
+
+    return labels
+
+
+def _on_a_line(pts: DataFrame, lo: float, hi: float, n: int, eps: float, least: int) -> DataFrame | None:
+    """(id, cluster) of every row of one finite coordinate, or None where tiles would be too full."""
+    far = max(abs(lo), abs(hi))
+    width = max(TILE_EPS * eps, (hi - lo) * TILE_ROWS / (4 * n))
+    if not eps > far * 2.0**-40 or not (hi - lo) / width < 2.0**40:
+        return None
+    v = F.col("x")[0]
+    while True:
+        tile = F.floor((v - F.lit(lo)) / F.lit(width)).cast("long")
+        if pts.groupBy(tile.alias("tile")).count().agg(F.max("count")).first()[0] <= TILE_ROWS:
+            break
+        if width == TILE_EPS * eps:
+            return None
+        width = max(TILE_EPS * eps, width / 8)
+    ends = (1 << 20) - 1  # above the number of nodes of a tile
+    labels, eps2 = _tile_labels(), eps * eps
+    halo = 3 * eps
+    at = v - F.lit(lo)
+    before = F.when(at - F.col("home") * F.lit(width) <= halo, F.col("home") - 1)
+    after = F.when((F.col("home") + 1) * F.lit(width) - at <= halo, F.col("home") + 1)
+    dealt = pts.withColumn("home", tile).select("id", v.alias("v"), "home", F.explode(F.filter(F.array("home", before, after), lambda t: t.isNotNull())).alias("tile"))
+    dealt = dealt.select("id", "v", "tile", (F.col("home") == F.col("tile")).alias("own"))
+    schema = T.StructType([T.StructField("id", pts.schema["id"].dataType), T.StructField("core", T.BooleanType()), T.StructField("node", T.LongType()), T.StructField("other", T.LongType())])
+
+    def tiles(table):
+        import pyarrow.compute as pc
+
+        if not pc.any(table.column("own")).as_py():
+            import pyarrow as pa
+
+            empty = table.slice(0, 0)
+            return pa.table({"id": empty.column("id"), "core": pa.array([], pa.bool_()), "node": pa.array([], pa.int64()), "other": pa.array([], pa.int64())})
+        return labels(table, eps2, least, ends)
+
+    out = checkpoint(dealt.groupBy("tile").applyInArrow(tiles, schema))
+    met = out.where("id is null").select(F.col("node").alias("u"), F.col("other").alias("v"))
+    named = checkpoint(connected_components(met))
+    rows = out.where("id is not null")
+    local = rows.where("core").groupBy("node").agg(F.min("id").alias("first")).join(F.broadcast(named), "node", "left")
+    local = checkpoint(local.select("node", "first", F.coalesce("comp", "node").alias("comp")))
+    firsts = local.groupBy("comp").agg(F.min("first").alias("first"))
+    codes = firsts.join(dense_codes(firsts, "first", "cluster"), "first").select("comp", F.col("cluster").cast("int").alias("cluster"))
+    nodes = checkpoint(local.select("node", "comp").union(named.select("node", "comp")).distinct().join(codes, "comp").select("node", "cluster"))
+    others = nodes.toDF("other", "second")
+    one = rows.where("node is not null and other is null").join(nodes, "node").select("id", "cluster")
+    two = rows.where("other is not null").join(nodes, "node").join(others, "other").select("id", F.least("cluster", "second"))
+    return one.union(two).union(rows.where("node is null").select("id", F.lit(-1)))
+
+
 def _block_steps():
     """Functions on the vectors of two blocks, made here so that they travel to the workers by value."""
     import numpy as np
@@ -325,16 +446,24 @@ def dbscan_sweep(vec: DataFrame, key: list[str], cols: list[str], epss: list[flo
     keyed = vec.select(*key, F.struct(*key).alias("__id"))
     pts = vec.select(F.struct(*key).alias("id"), F.array(*[F.col(c).cast("double") for c in cols]).alias("x"))
     pts = pts.where(F.forall("x", lambda v: v.isNotNull() & (F.abs(v) < F.lit(float("inf")))))
-    n, far = pts.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("x", F.abs)))).first()
+    ends = [F.min(F.col("x")[0]), F.max(F.col("x")[0])]
+    n, far, lo, hi = pts.agg(F.count(F.lit(1)), F.max(F.array_max(F.transform("x", F.abs))), *ends).first()
     noise = F.lit(-1).alias("cluster")
     if not n:
         yield from (keyed.select(*key, noise) for _ in epss)
         return
     found = None
-    if d > UNROLLED and pts.select("id").distinct().count() == n:
-        found = _by_blocks(pts, n, epss, min_samples)
+    if (d == 1 or d > UNROLLED) and pts.select("id").distinct().count() == n:
+        found = _by_blocks(pts, n, epss, min_samples) if d > 1 else (_on_a_line(pts, lo, hi, n, eps, min_samples) for eps in epss)
     for eps in epss:
-        got = next(found) if found is not None else _by_cells(pts, n, far, d, eps, min_samples)
+        got = next(found) if found is not None else None
+        if got is None:
+            noise_only = found is not None and d > 1
+            got = None if noise_only else _by_cells(pts, n, far, d, eps, min_samples)
+        elif d == 1:
+            rest = vec.where(~F.coalesce(F.abs(F.col(cols[0]).cast("double")) < F.lit(float("inf")), F.lit(False)))
+            yield got.select(*[F.col("id")[k].alias(k) for k in key], "cluster").union(rest.select(*key, noise))
+            continue
         if got is None:
             yield keyed.select(*key, noise)
         else:

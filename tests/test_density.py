@@ -90,6 +90,22 @@ def test_components_of_a_hub_and_a_chain(spark):
     assert all(got[i] == 0 for i in range(400)) and all(got[1000 + i] == 1000 for i in range(151)) and len(got) == 551
 
 
+@pytest.mark.parametrize("seed,eps,least", [(1, 0.02, 3), (2, 0.05, 4), (3, 0.2, 2), (4, 1.0, 5)])
+def test_line_by_tiles(spark, monkeypatch, seed, eps, least):
+    """On one axis every row is dealt once and to the borders of tiles, no cells are made; chains cross many tiles."""
+    monkeypatch.setattr(density, "TILE_ROWS", 60)
+    monkeypatch.setattr(density, "TILE_EPS", 8)
+    monkeypatch.setattr(density, "_by_cells", lambda *_: pytest.fail("cells on one axis"))
+    rng = random.Random(seed)
+    xs = [rng.choice([rng.uniform(-30, 30), round(rng.uniform(-30, 30) / eps / 4) * eps, rng.uniform(-1, 1) * 6 * eps]) for _ in range(260)]
+    xs = xs[: 200 if eps < 1 else 60] + [-20 + 0.9 * eps * i for i in range(60)]
+    points = [((i * 37) % 1009, x) for i, x in enumerate(xs)] + [(2000, xs[0]), (2001, None), (2002, float("nan"))]
+    if eps == 1.0:
+        monkeypatch.setattr(density, "TILE_ROWS", 1000)
+    want = brute(points, eps, least)
+    assert run(spark, points, eps, least) == want
+
+
 def test_many_dimensions_by_blocks(spark, monkeypatch):
     """Three eps of one sweep over blocks of vectors: counts, links and borders across blocks, copies as weights."""
     monkeypatch.setattr(density, "BLOCK_ROWS", (16, 40))
