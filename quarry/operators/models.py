@@ -58,6 +58,10 @@ def plan_params(plan) -> dict:
     return {k: v for k, v in raw.items() if not str(k).startswith("__")}
 
 
+#: The earlier name, still imported elsewhere.
+_params = plan_params
+
+
 class _FittedModel(Model, Saved):
     """Wraps a fitted Spark model and normalises its outputs to prediction/probs."""
 
