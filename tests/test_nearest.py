@@ -81,3 +81,29 @@ def test_empty_and_unusable(spark):
     assert run(spark, [], donors, 2, 3) == {} and run(spark, [("r", [1.0, None], [1])], [], 2, 3) == {}
     assert run(spark, [("r", [1.0, None], [1]), ("s", [None, None], [0, 1])], donors, 2, 3) == {}
     assert run(spark, [("r", [1.0, None], [-1])], donors, 2, 3) == {("r", -1): [(0.0, "a")]}
+
+
+def test_many_leaves_and_bounded_rows(spark, monkeypatch):
+    """Trees of small leaves over shared coordinates: exact, and what is kept stays near the number of requests and donors."""
+    monkeypatch.setattr(module, "LEAF_ROWS", 16)
+    monkeypatch.setattr(module, "DEAL_ROWS", 20, raising=False)
+    monkeypatch.setattr(module, "BLOCK", 300, raising=False)
+    rows, stored = [], module.checkpoint
+
+    def counted(df):
+        out = stored(df)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "checkpoint", counted)
+    rng = random.Random(5)
+    # the widest coordinate is the one that the requests lack; another has few values
+    donors = [(f"d{i:05d}", [rng.gauss(0, 1), rng.choice([0.0, 1.0, 2.0]), rng.gauss(0, 1000)]) for i in range(1200)]
+    donors += [(f"e{i:05d}", [None, rng.choice([0.0, 1.0, 2.0]), rng.gauss(0, 1000)]) for i in range(200)]
+    asked = [(f"r{i:05d}", [rng.gauss(0, 1.2), rng.choice([0.0, 1.0, 5.0]), None], [2]) for i in range(150)]
+    asked += [(f"s{i:05d}", [None, rng.choice([0.0, 1.0, 2.0]), None], [0, 2]) for i in range(60)]
+    got, want = run(spark, asked, donors, 3, 5), brute(asked, donors, 3, 5)
+    assert got.keys() == want.keys()
+    for key in want:
+        assert [d for _, d in got[key]] == [d for _, d in want[key]] and got[key][0][0] == want[key][0][0], key
+    assert max(rows) <= 3 * (len(asked) + len(donors)) and sum(rows) <= 6 * (len(asked) + len(donors))
