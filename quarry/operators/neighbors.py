@@ -35,7 +35,7 @@ class _KnnModel(Model, Saved):
         # (a hot duplicated row costs one receiver, and the join back is skew-split by AQE)
         rv = F.array(*[F.col(f"`{c}`").cast("double") if c in cols else F.lit(None).cast("double") for c in self.cols])
         tgt = F.filter(F.array(*[F.when(F.col(f"`{c}`").isNull(), F.lit(i)) for i, c in zip(idx, cols)]), lambda x: x.isNotNull())
-        base = df.withColumn("rv", rv).withColumn("tgt", tgt).withColumn("rid", F.concat(F.lit("r"), vector_id(F.col("rv"))))
+        base = df.withColumn("rv", rv).withColumn("tgt", tgt).withColumn("rid", F.unhex(vector_id(F.col("rv"))))
         receivers = base.where(F.size("tgt") > 0).select("rid", "rv", "tgt").dropDuplicates(["rid"])
         nn = nearest(receivers, self.donors, len(self.cols), self.k)
         fills = nn.groupBy("rid", "j").agg(F.avg(F.col("dv")[F.col("j")]).alias("v"))
@@ -67,7 +67,7 @@ class KnnImpute(Estimator):
         stats = df.agg(*[F.avg(F.col(f"`{c}`")).alias(f"m::{c}") for c in cols]).first()
         dv = F.array(*[F.col(f"`{c}`").cast("double") for c in cols])
         # identical donor vectors share an id; ties among them are interchangeable (same values)
-        donors = df.select(F.concat(F.lit("d"), vector_id(dv)).alias("did"), dv.alias("dv"))
+        donors = df.select(F.unhex(vector_id(dv)).alias("did"), dv.alias("dv"))
         means = {c: stats[f"m::{c}"] for c in cols}
         return _KnnModel(donors, cols, means, self.k)
 
