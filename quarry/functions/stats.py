@@ -84,10 +84,12 @@ def exact_quantiles(counts: DataFrame, specs: list[tuple], probs: list[float]) -
                 st["wide"] = True
     # each round separates the ends of every open range, so it ends for any distribution
     while pending:
-        spec = spark.createDataFrame(
-            [(t, targets[t]["ordinal"], float(targets[t]["lo"]), float(targets[t]["hi"]), targets[t].pop("wide", False)) for t in sorted(pending)],
-            "tid int, ordinal int, lo double, hi double, wide boolean",
-        )
+        # targets of one range share its histogram
+        ranges = {}
+        for t in sorted(pending):
+            st = targets[t]
+            ranges.setdefault((st["ordinal"], float(st["lo"]), float(st["hi"]), st.pop("wide", False)), []).append(t)
+        spec = spark.createDataFrame([(of[0], *r) for r, of in ranges.items()], "tid int, ordinal int, lo double, hi double, wide boolean")
         # targets are schema-sized (4 per numeric column): a bounded broadcast
         j = counts.join(F.broadcast(spec), "ordinal").where(((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))) | (F.col("wide") & (F.abs("v") == float("inf"))))
         # halves, so that the range of any two doubles is finite
@@ -102,9 +104,11 @@ def exact_quantiles(counts: DataFrame, specs: list[tuple], probs: list[float]) -
         hist = j.groupBy("tid", b.cast("int").alias("b")).agg(
             F.sum("n").alias("cnt"), F.count(F.lit(1)).alias("rows"), F.min("v").alias("bmin"), F.max("v").alias("bmax")
         ).collect()
-        by_t = {}
+        by_t, own = {}, {}
         for r in hist:
-            by_t.setdefault(r["tid"], []).append(r)
+            own.setdefault(r["tid"], []).append(r)
+        for of in ranges.values():
+            by_t.update({t: own.get(of[0], []) for t in of})
         fetch = []
         for t in list(pending):
             st = targets[t]
@@ -122,15 +126,18 @@ def exact_quantiles(counts: DataFrame, specs: list[tuple], probs: list[float]) -
                     break
                 acc += r["cnt"]
         if fetch:
-            fspec = spark.createDataFrame([(t, targets[t]["ordinal"], float(a), float(z)) for t, a, z, _ in fetch],
-                                          "tid int, ordinal int, lo double, hi double")
+            spans = {}
+            for t, a, z, _ in fetch:
+                spans.setdefault((targets[t]["ordinal"], float(a), float(z)), []).append(t)
+            fspec = spark.createDataFrame([(of[0], *s) for s, of in spans.items()], "tid int, ordinal int, lo double, hi double")
             rows = counts.join(F.broadcast(fspec), "ordinal").where(
                 (F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi"))).select("tid", "v", "n").collect()
             got = {}
             for r in rows:
                 got.setdefault(r["tid"], []).append((r["v"], r["n"]))
+            first = {t: of[0] for of in spans.values() for t in of}
             for t, _, _, acc in fetch:
-                for v, n in sorted(got.get(t, [])):
+                for v, n in sorted(got.get(first[t], [])):
                     if acc + n > targets[t]["rank"]:
                         values[t] = v
                         break
