@@ -48,5 +48,5 @@ def run(spark, sf_dir: str):
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = staged(docs, f"pipeline-{name}")
+            docs = staged(docs, f"pipeline-{name}", texts=True)
     return docs

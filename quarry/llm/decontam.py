@@ -235,7 +235,7 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, text: str, max_words: int, f
             out = _pass(out, held, text, finish if p == parts - 1 else None)
             held = []
             if p < parts - 1:
-                out = staged(out, "scanned")
+                out = staged(out, "scanned", texts=True)
     return out
 
 

@@ -33,6 +33,8 @@ BANDS, ROWS = 51, 5
 #: All positions serve the estimate.  Below AGREE, 4.7 standard deviations under 0.75, a pair is not compared on its sets.
 POSITIONS, AGREE = 512, 0.66
 SLICE, TILE, PROBES = 20_000, 1024, 500
+#: Rows that go are sent to all tasks up to this many (two numbers each); more of them are joined by a shuffle.
+SENT_ROWS = 200_000
 
 
 def superminhash(x: np.ndarray, doc: np.ndarray, n_docs: int, positions: int) -> np.ndarray:
@@ -222,7 +224,7 @@ def _grouped(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, n and first, the least row of the group (null without a set), for every row of ``docs``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
     schema = "doc_id long, text_key long, n long, digest binary, bands array<long>, sketch binary"
-    marked = staged(rows.mapInArrow(_sketch, schema), "sketches")
+    marked = staged(rows.mapInArrow(_sketch, schema), "sketches", texts=True)
     nodes = marked.where("n > 0").groupBy("digest").agg(
         F.min(_order()).alias("first"), F.min(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "text_key")).alias("of"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")
     )
@@ -239,14 +241,16 @@ def _grouped(docs: DataFrame) -> DataFrame:
     near = staged(members.groupBy("node").agg(F.max("top").alias("top")).select("node", F.col("top.node").alias("hub")), "near")
     wanted = near.select("node").join(nodes.select("node", "of"), "node").select("node", F.col("of.col1").alias("doc"), F.col("of.text_key").alias("text_key"))
     named = rows.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text_key", "text")
-    texts = staged(named.join(wanted, ["doc", "text_key"]).dropDuplicates(["node"]).select("node", "text"), "texts")
+    # one row a node, made where the join leaves its rows: texts cross the shuffle once
+    texts = named.join(wanted, ["doc", "text_key"]).dropDuplicates(["doc", "text_key", "node"])
+    texts = staged(texts.select("node", "text"), "texts")
 
     pairs = near.select(F.col("node").alias("probe"), F.col("hub").alias("anchor")).where("probe <> anchor")
-    links = staged(_confirmed(pairs, texts), "links")
+    links = staged(_confirmed(pairs, texts), "links", texts=True)
     groups = staged(components(links), "groups")
     for nearest in (True, False):
-        more = staged(_open_pairs(members, nodes, groups, nearest), "pairs")
-        links = staged(_confirmed(more, texts), "links")
+        more = staged(_open_pairs(members, nodes, groups, nearest), "pairs", texts=True)
+        links = staged(_confirmed(more, texts), "links", texts=True)
         known = groups.select(F.col("node").alias("a"), F.col("comp").alias("b"))  # one edge a node says what the earlier links said
         groups = staged(components(links.unionByName(known)), "groups")
 
@@ -294,9 +298,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
     pairs = staged(rows.groupBy(*pair).agg(F.max(F.coalesce(goes, F.lit(False))).alias("goes"), F.count(F.lit(1)).alias("n_rows")).where("goes or n_rows > 1"), "extra")
     same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text_key") == F.col("_k"))
     keyed = docs.withColumns({"_id": F.col("doc_id").cast("long"), "_text_key": F.xxhash64("text")})
-    stay = keyed.join(pairs.where("goes").select("_i", "_k"), same, "left_anti")
-    repeated = pairs.where("not goes").select("_i", "_k")
-    if not repeated.isEmpty():
-        once = stay.join(repeated, same, "left_semi").dropDuplicates(["_id", "_text_key"])
-        stay = stay.join(repeated, same, "left_anti").unionByName(once)
+    n = {r["goes"]: r["count"] for r in pairs.groupBy("goes").count().collect()}
+
+    def named(goes: bool) -> DataFrame:
+        """The pairs; while they are few, whole texts are neither sorted nor shuffled for them."""
+        own = pairs.where(F.col("goes") == goes).select("_i", "_k")
+        return F.broadcast(own) if n.get(goes, 0) <= SENT_ROWS else own
+
+    stay = keyed.join(named(True), same, "left_anti")
+    if n.get(False):
+        once = stay.join(named(False), same, "left_semi").dropDuplicates(["_id", "_text_key"])
+        stay = stay.join(named(False), same, "left_anti").unionByName(once)
     return stay.drop("_id", "_text_key")

@@ -266,7 +266,7 @@ def pack(docs: DataFrame, tokenizer: str, keep_ids: bool = False) -> DataFrame:
     empty table gives no rows.
     """
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    pieces = staged(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, keep_ids), schema), "pieces")
+    pieces = staged(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, keep_ids), schema), "pieces", texts=True)
     counts = {r.length: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # CAPACITY rows at most
     slots = docs.sparkSession.sparkContext.broadcast(_slots(pack_histogram(counts)))
     ranked = position_in_group(pieces, ["length"], ["doc_id", "start", "ids_crc32"], "rank", rows=sum(counts.values()))

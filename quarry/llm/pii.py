@@ -249,7 +249,7 @@ def _marked(docs: DataFrame, text: str, keep: list[str], text_kept: bool, pass_t
         raise ValueError(f"columns exist already: {sorted(clash)}")
     spark = docs.sparkSession
     rows = docs.select(*keep, F.col(text).alias("_text"))
-    found = staged(rows.select("_text").mapInArrow(_contexts, "near array<struct<entity: bigint, term: bigint>>"), "contexts")
+    found = staged(rows.select("_text").mapInArrow(_contexts, "near array<struct<entity: bigint, term: bigint>>"), "contexts", texts=True)
     reveals = staged(disclosures(found, rows).select("term").distinct(), "terms")
     passes = max(1, -(-reveals.count() // pass_terms))
     out = rows
@@ -263,7 +263,7 @@ def _marked(docs: DataFrame, text: str, keep: list[str], text_kept: bool, pass_t
             run = _then_masked(run)
         out = out.mapInArrow(run, schema)
         if not last:
-            out = staged(out, "marked")
+            out = staged(out, "marked", texts=True)
     return out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager, nullcontext
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,14 +17,34 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/quarry-llm/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+#: Rows of an Arrow batch of whole texts; a task holds a batch on both sides of its Python worker.
+TEXT_ROWS, BATCH_KEY = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def text_batches(spark: SparkSession):
+    """Arrow batches of at most TEXT_ROWS rows for the jobs run inside; the session's own setting comes back."""
+    before = spark.conf.get(BATCH_KEY)
+    if 0 < int(before) <= TEXT_ROWS:
+        yield
+        return
+    spark.conf.set(BATCH_KEY, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
+def staged(df: DataFrame, name: str, texts: bool = False) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     Later plans start from the files: nothing upstream runs twice, row order
-    and ids are fixed, and a lost executor loses nothing.
+    and ids are fixed, and a lost executor loses nothing.  With ``texts``,
+    Python workers get the rows in small batches.
     """
     path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
+    with text_batches(df.sparkSession) if texts else nullcontext():
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

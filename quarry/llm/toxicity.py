@@ -398,7 +398,7 @@ def fit(docs: DataFrame, labels: DataFrame, epochs: int = EPOCHS, seed: int = SE
     dealt = rows.select(F.pmod(at, F.lit(n_shards)).cast("int").alias("shard"), at.alias("at"), "text", F.col("toxic").cast("int").alias("toxic"), "lang",
                         (F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("calibration")), F.lit(5)) == 0).alias("calibrates"))
     packed = dealt.groupBy("shard").applyInArrow(_pack, "shard int, words binary, ends binary, y binary, calibrates binary, langs array<string>")
-    shards = staged(packed, "toxicity-shards")
+    shards = staged(packed, "toxicity-shards", texts=True)
 
     rng = np.random.default_rng(seed)
     total = _total(shards, _counter)

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -173,6 +174,35 @@ def test_one_row_of_each_group_stays(spark):
     assert sorted(kept, key=str) == sorted(want, key=str)
 
 
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_few_near_duplicates_leave_without_sorting_texts(spark, monkeypatch, sent):
+    monkeypatch.setattr(neardup, "SENT_ROWS", sent)
+    a, b, c = (" ".join(words(40, 900 + i)) for i in range(3))
+    rows = [(1, a), (7, a.rsplit(" ", 1)[0] + " changed"), (2, b), (2, b), (3, b), (None, b), (None, c), (4, None), (4, None)]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("SortMergeJoin" in plan) == (sent == 0)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, a), (2, b), (None, c), (4, None)], key=str)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_texts_are_staged_in_small_batches(spark):
+    from quarry.llm.stage import BATCH_KEY, TEXT_ROWS, staged
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    before = spark.conf.get(BATCH_KEY)
+    got = [r.n for r in staged(spark.range(0, 5 * TEXT_ROWS, 1, 1).mapInArrow(sizes, "n long"), "sizes", texts=True).collect()]
+    assert sum(got) == 5 * TEXT_ROWS and max(got) <= TEXT_ROWS
+    assert spark.conf.get(BATCH_KEY) == before
+
+
 def test_superminhash_estimates_similarity():
     r = np.random.default_rng(3)
     x = r.integers(0, 1 << 63, 400).astype(np.uint64)
